@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from driftlens.functions import fixed
-from driftlens.functions.text import string_array
+from driftlens.functions.text import bind
 
 
 def lexicon_scores(text: Column, lexicon: dict[str, list[str]] | None = None) -> Column:
@@ -17,21 +17,25 @@ def lexicon_scores(text: Column, lexicon: dict[str, list[str]] | None = None) ->
     more letters) adds 0.25 to the larger of anxiety and excitement.
     """
     lexicon = fixed.AFFECT_LEXICON if lexicon is None else lexicon
-    lower = F.lower(text)
-    tokens = F.regexp_extract_all(lower, F.lit(r"[a-zऀ-ॿ]+"), F.lit(0))
-    base = {}
-    for dim in fixed.AFFECT_DIMENSIONS:
-        cues = lexicon.get(dim, [])
-        words = [c for c in cues if " " not in c]
-        hits = F.size(F.array_intersect(tokens, string_array(words)))
-        for phrase in (c for c in cues if " " in c):
-            hits = hits + lower.contains(phrase).cast("int")
-        base[dim] = F.least(F.lit(1.0), hits / 2.0)
-    scores = F.struct(*[base[d].alias(d) for d in fixed.AFFECT_DIMENSIONS])
+
+    def base(low: Column) -> Column:
+        tokens = F.regexp_extract_all(low, F.lit(r"[a-zऀ-ॿ]+"), F.lit(0))
+        found = F.array_distinct(F.filter(tokens, lambda t: t.isin(every_word)))
+        return bind(F.struct(found.alias("found"), low.alias("low")), per_dimension)
+
+    def per_dimension(x: Column) -> Column:
+        out = []
+        for dim in fixed.AFFECT_DIMENSIONS:
+            words = [c for c in lexicon.get(dim, []) if " " not in c]
+            hits = F.size(F.filter(x["found"], lambda t: t.isin(words))) if words else F.lit(0)
+            for phrase in (c for c in lexicon.get(dim, []) if " " in c):
+                hits = hits + x["low"].contains(phrase).cast("int")
+            out.append(F.least(F.lit(1.0), hits / 2.0).alias(dim))
+        return F.struct(*out)
+
+    every_word = sorted({c for d in fixed.AFFECT_DIMENSIONS for c in lexicon.get(d, []) if " " not in c})
     loud = text.contains("!!") | text.rlike(r"(?U)\b[A-Z]{4,}\b")
-    # one-element transform: binds the scores once instead of repeating the
-    # token scan in every branch below
-    return F.get(F.transform(F.array(F.struct(scores.alias("s"), loud.alias("loud"))), _apply_loudness), F.lit(0))
+    return bind(F.struct(bind(F.lower(text), base).alias("s"), loud.alias("loud")), _apply_loudness)
 
 
 def _apply_loudness(x: Column) -> Column:

@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from driftlens.functions import fixed
-from driftlens.functions.text import contains_any
+from driftlens.functions.text import bind, contains_any
 
 
 def _padded(text: Column) -> Column:
@@ -16,23 +16,26 @@ def _padded(text: Column) -> Column:
 
 def stance(text: Column, kind: Column, debunk=None, question=None, spread=None) -> Column:
     """debunking > questioning > spreading > reacting, first rule that fires."""
-    t = _padded(text)
-    asks = kind.isin(fixed.COMMENT_KINDS) & F.trim(t).endswith("?")
-    return (
-        F.when(contains_any(t, fixed.DEBUNK_CUES if debunk is None else debunk), "debunking")
-        .when(contains_any(t, fixed.QUESTION_CUES if question is None else question) | asks, "questioning")
-        .when(
-            kind.isin(fixed.SPREAD_KINDS) | contains_any(t, fixed.SPREAD_CUES if spread is None else spread),
-            "spreading",
+    def decide(t: Column) -> Column:
+        asks = kind.isin(fixed.COMMENT_KINDS) & F.trim(t).endswith("?")
+        return (
+            F.when(contains_any(t, fixed.DEBUNK_CUES if debunk is None else debunk), "debunking")
+            .when(contains_any(t, fixed.QUESTION_CUES if question is None else question) | asks, "questioning")
+            .when(
+                kind.isin(fixed.SPREAD_KINDS) | contains_any(t, fixed.SPREAD_CUES if spread is None else spread),
+                "spreading",
+            )
+            .otherwise("reacting")
         )
-        .otherwise("reacting")
-    )
+
+    return bind(_padded(text), decide)
 
 
 def occurrences(text: Column, phrase: str) -> Column:
-    """Non-overlapping occurrences of a literal phrase."""
+    """Non-overlapping occurrences of a literal phrase. Most phrases do not
+    occur at all, and a plain containment test is far cheaper than a replace."""
     removed = F.length(text) - F.length(F.replace(text, F.lit(phrase), F.lit("")))
-    return (removed / len(phrase)).cast("int")
+    return F.when(text.contains(phrase), (removed / len(phrase)).cast("int")).otherwise(0)
 
 
 def sector_hits(text: Column, sectors: dict[str, list[str]] | None = None) -> Column:
@@ -40,14 +43,17 @@ def sector_hits(text: Column, sectors: dict[str, list[str]] | None = None) -> Co
     topic, so a topic's sector is decided on summed structs, never on one long
     concatenated string."""
     sectors = fixed.SECTORS if sectors is None else sectors
-    t = _padded(text)
-    columns = []
-    for name, keywords in sectors.items():
-        total = F.lit(0)
-        for keyword in keywords:
-            total = total + occurrences(t, keyword)
-        columns.append(total.alias(name))
-    return F.struct(*columns)
+
+    def count(t: Column) -> Column:
+        columns = []
+        for name, keywords in sectors.items():
+            total = F.lit(0)
+            for keyword in keywords:
+                total = total + occurrences(t, keyword)
+            columns.append(total.alias(name))
+        return F.struct(*columns)
+
+    return bind(_padded(text), count)
 
 
 def sector_from_hits(hits: dict[str, Column], min_hits: int = 1) -> Column:
@@ -61,11 +67,7 @@ def sector_from_hits(hits: dict[str, Column], min_hits: int = 1) -> Column:
 
 def sector(text: Column, sectors: dict[str, list[str]] | None = None, min_hits: int = 1) -> Column:
     names = list(fixed.SECTORS if sectors is None else sectors)
-    bound = F.transform(
-        F.array(sector_hits(text, sectors)),
-        lambda h: sector_from_hits({n: h[n] for n in names}, min_hits),
-    )
-    return F.get(bound, F.lit(0))
+    return bind(sector_hits(text, sectors), lambda h: sector_from_hits({n: h[n] for n in names}, min_hits))
 
 
 def strict_sector(text: Column, sectors: dict[str, list[str]] | None = None) -> Column:

@@ -23,6 +23,15 @@ def string_array(values: list[str]) -> Column:
     return F.array(*[F.lit(v) for v in values]) if values else F.array().cast("array<string>")
 
 
+def bind(value: Column, fn) -> Column:
+    """``fn(value)`` with ``value`` evaluated once per row.
+
+    A Column used in several places is an expression repeated in several
+    places; a one-element transform gives it a name instead.
+    """
+    return F.get(F.transform(F.array(value), fn), F.lit(0))
+
+
 def nonblank(col: Column) -> Column:
     """NULL for an empty string: the value that a falsy check would skip."""
     return F.when(col != "", col)
@@ -95,17 +104,19 @@ def decode_entities(text: Column, entities=None) -> Column:
     for entity, char in (fixed.HTML_ENTITIES if entities is None else entities).items():
         if entity != "&amp;":
             text = F.replace(text, F.lit(entity), F.lit(char))
-    for pattern, base in ((r"&#(\d{1,7});", 10), (r"&#[xX]([0-9a-fA-F]{1,6});", 16)):
-        codes = F.array_distinct(F.regexp_extract_all(text, F.lit(pattern), F.lit(1)))
-        prefix = "&#" if base == 10 else "&#x"
+    text = _decode_numeric(text, r"&#(\d{1,7});", 10, "&#")
+    text = _decode_numeric(text, r"&#x([0-9a-fA-F]{1,6});", 16, "&#x")
+    return F.replace(text, F.lit("&amp;"), F.lit("&"))
 
-        def substitute(acc: Column, code: Column, base=base, prefix=prefix) -> Column:
-            value = F.conv(code, base, 16)
-            char = F.decode(F.unhex(F.lpad(value, 8, "0")), "UTF-32")
-            return F.replace(acc, F.concat(F.lit(prefix), code, F.lit(";")), char)
 
-        text = F.aggregate(codes, text, substitute)
-    return F.replace(text, F.lit("&amp;"), F.lit("&"))
+def _decode_numeric(text: Column, pattern: str, base: int, prefix: str) -> Column:
+    codes = F.array_distinct(F.regexp_extract_all(text, F.lit(pattern), F.lit(1)))
+
+    def substitute(acc: Column, code: Column) -> Column:
+        char = F.decode(F.unhex(F.lpad(F.conv(code, base, 16), 8, "0")), "UTF-32")
+        return F.replace(acc, F.concat(F.lit(prefix), code, F.lit(";")), char)
+
+    return F.aggregate(codes, text, substitute)
 
 
 _TRAILER = (
@@ -130,24 +141,25 @@ def sanitize_post(text: Column, max_chars: int = fixed.DIGEST_CHARS) -> Column:
 
 # -- tokens, scripts and languages -------------------------------------------
 def topic_tokens(text: Column, stopwords=None) -> Column:
-    stop = string_array(fixed.TOPIC_STOPWORDS if stopwords is None else stopwords)
+    stop = fixed.TOPIC_STOPWORDS if stopwords is None else stopwords
     found = F.regexp_extract_all(F.lower(text), F.lit(r"#?[a-z][a-z0-9]+"), F.lit(0))
-    return F.filter(found, lambda t: ~F.array_contains(stop, F.ltrim(t, F.lit("#"))))
+    return F.filter(found, lambda t: ~F.ltrim(t, F.lit("#")).isin(stop))
 
 
 def _count_class(text: Column, keep: str) -> Column:
-    return F.length(F.regexp_replace(text, f"[^{keep}]", ""))
+    return F.length(F.regexp_replace(text, f"[^{keep}]+", ""))
 
 
 def detect_script(text: Column) -> Column:
-    deva = _count_class(text, r"ऀ-ॿ")
-    latin = _count_class(text, "a-zA-Z")
-    arabic = _count_class(text, r"؀-ۿ")
-    return (
-        F.when((deva > latin) & (deva > arabic), "devanagari")
-        .when((arabic > latin) & (arabic > deva), "arabic")
-        .otherwise("latin")
+    counts = F.struct(
+        _count_class(text, r"ऀ-ॿ").alias("deva"), _count_class(text, "a-zA-Z").alias("latin"),
+        _count_class(text, r"؀-ۿ").alias("arabic"),
     )
+    return bind(counts, lambda c: (
+        F.when((c["deva"] > c["latin"]) & (c["deva"] > c["arabic"]), "devanagari")
+        .when((c["arabic"] > c["latin"]) & (c["arabic"] > c["deva"]), "arabic")
+        .otherwise("latin")
+    ))
 
 
 def _latin_words(text: Column) -> Column:
@@ -155,11 +167,17 @@ def _latin_words(text: Column) -> Column:
 
 
 def is_hinglish(text: Column, lexicon=None, threshold: float = 0.25) -> Column:
-    words = _latin_words(text)
-    known = string_array(fixed.HINGLISH_WORDS if lexicon is None else lexicon)
-    hits = F.size(F.filter(words, lambda w: F.array_contains(known, w)))
-    share = F.coalesce(F.try_divide(hits, F.size(words)), F.lit(0.0))
-    return (detect_script(text) == "latin") & (F.size(words) >= 3) & (share >= threshold)
+    known = fixed.HINGLISH_WORDS if lexicon is None else lexicon
+
+    def dense(words: Column) -> Column:
+        share = F.coalesce(F.try_divide(_count_in(words, known), F.size(words)), F.lit(0.0))
+        return (F.size(words) >= 3) & (share >= threshold)
+
+    return (detect_script(text) == "latin") & bind(_latin_words(text), dense)
+
+
+def _count_in(words: Column, known: list[str]) -> Column:
+    return F.size(F.filter(words, lambda w: w.isin(known)))
 
 
 def profile_language(text: Column, profiles=None) -> Column:
@@ -167,20 +185,23 @@ def profile_language(text: Column, profiles=None) -> Column:
     Ties go to the language listed first."""
     profiles = fixed.LANGUAGE_PROFILES if profiles is None else profiles
     words = F.regexp_extract_all(F.lower(text), F.lit(r"(?U)\w+"), F.lit(0))
-    votes = {
-        lang: F.size(F.filter(words, lambda w, s=string_array(stop): F.array_contains(s, w)))
-        for lang, stop in profiles.items()
-    }
-    best = F.greatest(*votes.values()) if len(votes) > 1 else next(iter(votes.values()))
-    choice = F.when(best <= 0, "en")
-    for lang, n in votes.items():
-        choice = choice.when(n == best, lang)
-    return choice.otherwise("en")
+
+    def votes(w: Column) -> Column:
+        return F.struct(*[_count_in(w, stop).alias(lang) for lang, stop in profiles.items()])
+
+    def choose(v: Column) -> Column:
+        best = F.array_max(F.array(*[v[lang] for lang in profiles]))
+        choice = F.when(best <= 0, "en")
+        for lang in profiles:
+            choice = choice.when(v[lang] == best, lang)
+        return choice.otherwise("en")
+
+    return bind(bind(words, votes), choose)
 
 
 def detect_lang(text: Column, lexicon=None, profiles=None) -> Column:
     return (
-        F.when(text.isNull() | (F.trim(F.regexp_replace(text, r"(?U)\s+", " ")) == ""), "unknown")
+        F.when(text.isNull() | ~text.rlike(r"(?U)\S"), "unknown")
         .when(detect_script(text) == "devanagari", "hi")
         .when(is_hinglish(text, lexicon), "hi-Latn")
         .otherwise(profile_language(text, profiles))
@@ -191,6 +212,10 @@ def detect_lang(text: Column, lexicon=None, profiles=None) -> Column:
 _LABEL_EDGES = " -–—,:;"
 
 
+def _words(text: Column) -> Column:
+    return F.filter(F.split(text, r"(?U)\s+"), lambda w: w != "")
+
+
 def label_from_text(text: Column, max_words: int = 7) -> Column:
     """Readable topic name from one post, or NULL when it yields none."""
     t = F.regexp_replace(text, r"(?U)#\w+|@\w[\w.]*|https?://\S+|\[[^\]]*\]", " ")
@@ -199,25 +224,24 @@ def label_from_text(text: Column, max_words: int = 7) -> Column:
         lambda p: p != "",
     )
 
-    def words_of(p: Column) -> Column:
-        return F.filter(F.split(p, r"(?U)\s+"), lambda w: w != "")
-
-    first, second = F.get(parts, F.lit(0)), F.get(parts, F.lit(1))
-    longest = F.when(
-        second.isNotNull() & (F.size(words_of(second)) > F.size(words_of(first))), second
-    ).otherwise(first)
-    body = F.trim(
-        F.regexp_replace(
-            longest, r"(?i)^(breaking|alert|urgent|warning|update|news|fyi|exclusive)\s*[:\-!]\s*", ""
-        )
-    )
-    words = words_of(body)
-    short = F.rtrim(F.array_join(F.slice(words, 1, max_words), " "), F.lit(" ,;:-"))
-    shouting = (F.upper(short) == short) & (F.lower(short) != short)
-    cased = F.when(shouting, F.initcap(F.lower(short))).otherwise(short)
-    label = F.concat(F.upper(F.substring(cased, 1, 1)), F.substring(cased, 2, 1_000_000))
-    usable = longest.isNotNull() & (F.size(words) >= 2) & body.rlike("[A-Za-z]")
-    return F.when(usable, label)
+    def longest(p: Column) -> Column:
+        first, second = F.get(p, F.lit(0)), F.get(p, F.lit(1))
+        return F.when(F.size(_words(second)) > F.size(_words(first)), second).otherwise(first)
+
+    def without_prefix(p: Column) -> Column:
+        return F.trim(F.regexp_replace(p, r"(?i)^(breaking|alert|urgent|warning|update|news|fyi|exclusive)\s*[:\-!]\s*", ""))
+
+    def finish(body: Column) -> Column:
+        short = F.rtrim(F.array_join(F.slice(_words(body), 1, max_words), " "), F.lit(" ,;:-"))
+        usable = (F.size(_words(body)) >= 2) & body.rlike("[A-Za-z]")
+        return F.when(usable, bind(short, capitalised))
+
+    def capitalised(s: Column) -> Column:
+        shouting = (F.upper(s) == s) & (F.lower(s) != s)
+        cased = F.when(shouting, F.initcap(F.lower(s))).otherwise(s)
+        return bind(cased, lambda c: F.concat(F.upper(F.substring(c, 1, 1)), F.substring(c, 2, 1_000_000)))
+
+    return bind(bind(parts, lambda p: without_prefix(longest(p))), finish)
 
 
 # -- JSON --------------------------------------------------------------------

@@ -21,6 +21,10 @@ def postings(posts: DataFrame) -> DataFrame:
     )
 
 
+def _occurrences(term: str) -> Column:
+    return F.size(F.filter("w", lambda x: x == term))
+
+
 def search_bm25(posts: DataFrame, terms: list[str], k1: float = 1.2, b: float = 0.75,
                 limit: int = 20) -> DataFrame:
     """Posts with every term, best BM25 first (limit at most 200).
@@ -33,7 +37,7 @@ def search_bm25(posts: DataFrame, terms: list[str], k1: float = 1.2, b: float =
     tokens = posts.select("platform", "post_id", search_tokens(F.col("text")).alias("w"))
     counted = tokens.select(
         "platform", "post_id", F.size("w").alias("doc_len"),
-        *[F.size(F.filter("w", lambda x, t=t: x == t)).alias(f"tf{i}") for i, t in enumerate(terms)],
+        *[_occurrences(t).alias(f"tf{i}") for i, t in enumerate(terms)],
     )
     stats = counted.agg(
         F.count("*").alias("n_docs"), F.avg("doc_len").alias("avg_len"),
