@@ -38,7 +38,7 @@ SPREAD = [" sich ", " avec "]
 INTERESTS = {"building": ["building"], "driving": ["automobile"], "home": ["household", "furniture"]}
 GAZETTEER_CHARS = "a-z0-9_"
 AS_OF_YEAR = 2024
-FLAG_AT = 0.33
+FLAG_AT = 0.177
 K = 5
 SEGMENT_RECORDS = 1000
 
@@ -157,7 +157,7 @@ class Views:
     # -- derived stages ------------------------------------------------------
     def behaviour_plan(self) -> DataFrame:
         posts = self.posts.select("platform", "post_id", "author_id", "created_at", "text_hash")
-        return bh.behaviour_likelihood(posts, self.accounts, min_accounts=10)
+        return bh.behaviour_likelihood(posts, self.accounts, min_accounts=17)
 
     @cached_property
     def behaviour(self) -> DataFrame:
@@ -322,7 +322,7 @@ VIEW_SQL: dict[str, tuple[list[str], str]] = {
         FROM customer JOIN nation ON c_nationkey = n_nationkey
         LEFT JOIN (SELECT o_custkey, min(o_orderdate) AS first, count(*) AS following FROM orders GROUP BY 1) o ON o_custkey = c_custkey"""),
     "v_assign": (["v_core"], """
-        SELECT platform, post_id, CAST(label AS BIGINT) AS topic_id, 1.0 AS prob FROM v_core
+        SELECT platform, post_id, CAST(label AS BIGINT) AS topic_id, 1.0::DOUBLE AS prob FROM v_core
         JOIN embeddings ON vec_id = event_id % (SELECT count(*) FROM embeddings)"""),
     "v_text_emo": (["v_texts"], f"""
         SELECT doc_id, CASE WHEN loud AND anx >= exc THEN least(1.0, greatest(anx, exc) + 0.25) ELSE anx END AS anxiety,
@@ -337,7 +337,7 @@ VIEW_SQL: dict[str, tuple[list[str], str]] = {
         SELECT *, epoch_us(created_at) / 1e6 - lag(epoch_us(created_at) / 1e6) OVER (
           PARTITION BY platform, author_id ORDER BY created_at, post_id) AS gap_s FROM v_core"""),
     "v_template": (["v_posts"], """
-        SELECT platform, author_id, sum(CASE WHEN accounts >= 10 THEN n ELSE n - 1 END) / sum(n) AS template
+        SELECT platform, author_id, sum(CASE WHEN accounts >= 17 THEN n ELSE n - 1 END) / sum(n) AS template
         FROM (SELECT platform, author_id, text_hash, count(*) AS n FROM v_posts GROUP BY 1, 2, 3)
         JOIN (SELECT text_hash, count(DISTINCT author_id) AS accounts FROM v_posts GROUP BY 1) USING (text_hash) GROUP BY 1, 2"""),
     "v_night": (["v_core", "v_accounts"], """
@@ -383,7 +383,7 @@ VIEW_SQL: dict[str, tuple[list[str], str]] = {
     "v_edges": (["v_core", "v_author_of", "v_accounts"], """
         SELECT * FROM (
           SELECT platform AS src_platform, author_id AS src_account, coalesce(a.platform_of, platform) AS dst_platform,
-            coalesce(a.author, 'post:' || l.target) AS dst_account, l.kind2 AS kind, created_at AS ts, post_id, weight
+            coalesce(a.author, 'post:' || l.target) AS dst_account, l.kind2 AS kind, created_at AS ts, post_id, CAST(weight AS DOUBLE) AS weight
           FROM (SELECT *, parent_post_id AS target, 'reply' AS kind2, 1.0 AS weight FROM v_core WHERE parent_post_id IS NOT NULL
                 UNION ALL SELECT *, origin_post_id AS target, CASE WHEN kind = 'repost' THEN 'repost' ELSE 'forward' END,
                   CASE WHEN kind = 'repost' THEN 0.8 ELSE 0.9 END FROM v_core WHERE origin_post_id IS NOT NULL) l
