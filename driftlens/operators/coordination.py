@@ -293,7 +293,7 @@ def cluster_evidence(posts: DataFrame, assign: DataFrame, coord_clusters: DataFr
 
 def synchrony_fingerprint(posts: DataFrame, assign: DataFrame, coord_accounts: DataFrame, cluster, topic_id: int,
                           threshold: float = fixed.COORDINATED_SCORE, min_organic: int = 10,
-                          fallback: int = 400) -> dict[str, DataFrame]:
+                          fallback: int = 400, seconds: int = fixed.SYNC_SECONDS) -> dict[str, DataFrame]:
     """Timing of a cluster's flagged accounts next to ordinary posters of its
     topic in the window from 30 minutes before to 60 minutes after.
 
@@ -319,7 +319,7 @@ def synchrony_fingerprint(posts: DataFrame, assign: DataFrame, coord_accounts: D
         window.select(*columns).withColumn("group", F.lit("organic"))
     )
     both = cut_lineage(both, "fingerprint")
-    return {"stats": fingerprint_stats(both), "times": fingerprint_times(both)}
+    return {"stats": fingerprint_stats(both, seconds), "times": fingerprint_times(both)}
 
 
 def fingerprint_stats(both: DataFrame, seconds: int = fixed.SYNC_SECONDS) -> DataFrame:
@@ -334,7 +334,7 @@ def fingerprint_stats(both: DataFrame, seconds: int = fixed.SYNC_SECONDS) -> Dat
     near = stream.groupBy("group").agg(F.count_if(close).alias("_near"))
     return counts.join(median, "group", "left").join(near, "group").select(
         "group", "posts", "accounts", "median_gap_s",
-        F.round(F.col("_near") / F.greatest(F.lit(1), F.col("posts") - 1), 3).alias("within_minute"),
+        F.round(F.col("_near") / F.greatest(F.lit(1), F.col("posts") - 1), 3).alias("within_window"),
     )
 
 
