@@ -70,10 +70,11 @@ def burstiness(n: Column, mean: Column, sd: Column) -> Column:
 
 
 def gap_bin(gap: Column, bins: int = 12, low: float = 1.0, high: float = 86400.0) -> Column:
-    """Log-spaced bin number, values clipped into the range."""
+    """Log-spaced bin number, values clipped into the range; NULL stays NULL
+    (``least`` and ``greatest`` would skip it)."""
     clipped = F.least(F.greatest(gap, F.lit(low)), F.lit(high))
     position = F.floor(F.log10(clipped / low) * bins / math.log10(high / low))
-    return F.least(position, F.lit(bins - 1)).cast("int")
+    return F.when(gap.isNotNull(), F.least(position, F.lit(bins - 1)).cast("int"))
 
 
 def gap_entropy_from_counts(counts: Column, bins: int = 12) -> Column:

@@ -36,10 +36,13 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", m
     current = cut_lineage(
         e.where("u != v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "cc"
     )
-    previous = None
+    def fingerprint(d: DataFrame):
+        return d.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+
+    previous = fingerprint(current)
     for _ in range(max_rounds):
         stars = cut_lineage(_small_star(_large_star(current)), "cc")
-        state = stars.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+        state = fingerprint(stars)
         current = stars
         if state == previous:
             break
@@ -55,7 +58,7 @@ def _large_star(e: DataFrame) -> DataFrame:
     both = e.union(e.select("v", "u"))
     smallest = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
     moved = both.where("v > u").join(smallest, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-    return moved.where("u != v").distinct()
+    return moved.where("u != v")
 
 
 def _small_star(e: DataFrame) -> DataFrame:
@@ -85,18 +88,12 @@ def hash_embed(texts: DataFrame, key: str, text: str = "text", dims: int = 384)
     from pyspark.ml.feature import HashingTF, Normalizer
     from pyspark.ml.functions import vector_to_array
 
-    words = F.filter(F.split(F.lower(tx.normalize_for_model(F.col(text))), " "), lambda w: w != "")
-
-    def grams(word):
-        padded = F.concat(F.lit(" "), word, F.lit(" "))
-        last = F.length(padded)
-        threes = F.transform(F.sequence(F.lit(1), last - 2), lambda i: F.substr(padded, i, F.lit(3)))
-        fours = F.when(
-            last >= 4, F.transform(F.sequence(F.lit(1), F.greatest(last - 3, F.lit(1))), lambda i: F.substr(padded, i, F.lit(4)))
-        ).otherwise(F.array().cast("array<string>"))
-        return F.concat(threes, fours)
-
-    d = texts.select(F.col(key), F.flatten(F.transform(words, grams)).alias("_grams"))
+    padded = F.concat(F.lit(" "), F.lower(tx.normalize_for_model(F.col(text))), F.lit(" "))
+    # an n-gram inside a space-padded word may hold a space at its ends only;
+    # lookaheads find the overlapping ones in one scan
+    threes = F.regexp_extract_all(padded, F.lit("(?=(.[^ ].))"), F.lit(1))
+    fours = F.regexp_extract_all(padded, F.lit("(?=(.[^ ]{2}.))"), F.lit(1))
+    d = texts.select(F.col(key), F.concat(threes, fours).alias("_grams"))
     d = HashingTF(numFeatures=dims, inputCol="_grams", outputCol="_tf").transform(d)
     d = Normalizer(inputCol="_tf", outputCol="_unit").transform(d)
     return d.select(key, vector_to_array("_unit", "float32").alias("vector"))
@@ -292,7 +289,8 @@ def text_groups(posts: DataFrame, min_sim: float | None = None, embedder=None,
     group; with it, keys whose vectors are near duplicates share one. Each
     distinct text is embedded once.
     """
-    keyed = posts.select(tx.duplicate_key(F.col("text")).alias("text_key"), "text")
+    key = F.col("text_key") if "text_key" in posts.columns else tx.duplicate_key(F.col("text"))
+    keyed = posts.select(key.alias("text_key"), "text")
     unique = keyed.groupBy("text_key").agg(F.min("text").alias("text"))
     if min_sim is None:
         return unique.select("text_key", F.col("text_key").alias("text_group"))

@@ -97,7 +97,7 @@ def _(v: Views):
 
 @query("g07_topic_nature", with_views(["v_nature"], "SELECT topic_id, coordinated_share, nature FROM v_nature"))
 def _(v: Views):
-    return tr.topic_nature(v.posts_core, v.assign, v.flagged, threshold=0.115)
+    return tr.topic_nature(v.posts_core, v.assign, v.flagged, threshold=0.157)
 
 
 BURST_STATS_SQL = """
@@ -204,9 +204,9 @@ def _(v: Views):
     return _tags(tl.trending_hashtags(v.posts_core)[1])
 
 
-@query("g24_trending_hashtags_viral", with_views(["v_core"], f"SELECT * FROM ({_TAG_SQL}) WHERE peak_per_hour >= 4 ORDER BY spike DESC, posts DESC, keyword LIMIT 12"))
+@query("g24_trending_hashtags_viral", with_views(["v_core"], f"SELECT * FROM ({_TAG_SQL}) WHERE peak_per_hour >= 3 ORDER BY spike DESC, posts DESC, keyword LIMIT 12"))
 def _(v: Views):
-    return _tags(tl.trending_hashtags(v.posts_core, min_peak=4)[0])
+    return _tags(tl.trending_hashtags(v.posts_core, min_peak=3)[0])
 
 
 @query("g25_cluster_timing", with_views(["v_core", "v_assign", "v_clusters", "v_coord"], f"""

@@ -213,7 +213,7 @@ class Views:
         from driftlens.operators.timelines import with_topic
 
         def build() -> DataFrame:
-            nature = tr.topic_nature(self.posts_core, self.assign, self.flagged, threshold=0.115)
+            nature = tr.topic_nature(self.posts_core, self.assign, self.flagged, threshold=0.157)
             seen = with_topic(self.posts_core, self.assign).groupBy("topic_id").agg(
                 F.min("created_at").alias("first_seen"), F.max("created_at").alias("last_seen")
             )
@@ -341,7 +341,7 @@ VIEW_SQL: dict[str, tuple[list[str], str]] = {
         FROM (SELECT platform, author_id, text_hash, count(*) AS n FROM v_posts GROUP BY 1, 2, 3)
         JOIN (SELECT text_hash, count(DISTINCT author_id) AS accounts FROM v_posts GROUP BY 1) USING (text_hash) GROUP BY 1, 2"""),
     "v_night": (["v_core", "v_accounts"], """
-        SELECT platform, author_id, night_share, CASE WHEN floor((epoch_us(first) - epoch_us(created_at)) / 86400e6) < 180 THEN 1.0 ELSE 0.0 END AS young
+        SELECT platform, author_id, night_share, CASE WHEN floor((epoch_us(first) - epoch_us(created_at)) / 86400e6) < 180 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS young
         FROM (SELECT platform, author_id, avg(CASE WHEN hour(created_at + INTERVAL 330 MINUTE) < 5 THEN 1.0 ELSE 0.0 END) AS night_share,
                 min(created_at) AS first FROM v_core GROUP BY 1, 2)
         LEFT JOIN (SELECT platform, account_id AS author_id, created_at FROM v_accounts WHERE created_at IS NOT NULL) USING (platform, author_id)"""),
@@ -372,7 +372,7 @@ VIEW_SQL: dict[str, tuple[list[str], str]] = {
           count(*) % 5 + 1 AS level, CAST(count(*) AS DOUBLE) AS weight FROM v_core JOIN v_assign USING (platform, post_id) GROUP BY 1, 2, 3"""),
     "v_nature": (["v_flagposts", "v_assign"], """
         SELECT topic_id, round(avg(CASE WHEN coordinated THEN 1.0 ELSE 0.0 END), 4) AS coordinated_share,
-          CASE WHEN avg(CASE WHEN coordinated THEN 1.0 ELSE 0.0 END) >= 0.115 THEN 'manufactured' ELSE 'organic' END AS nature
+          CASE WHEN avg(CASE WHEN coordinated THEN 1.0 ELSE 0.0 END) >= 0.157 THEN 'manufactured' ELSE 'organic' END AS nature
         FROM v_flagposts JOIN v_assign USING (platform, post_id) GROUP BY 1"""),
     "v_topics": (["v_nature", "v_core", "v_assign"], """
         SELECT topic_id, 'topic ' || CAST(topic_id AS VARCHAR) AS label, ['rain' || CAST(topic_id AS VARCHAR), 'market'] AS keywords,
