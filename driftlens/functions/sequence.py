@@ -25,10 +25,8 @@ def with_previous(df: DataFrame, keys: list[str], order: list[str], slot: Column
     across = Window.partitionBy(*keys).orderBy("_slot")
     summary = summary.select(*keys, "_slot", F.lag("_last").over(across).alias("_far"))
     joined = rows.join(summary, [*keys, "_slot"], "left")
-    joined = joined.withColumn("_prev", F.coalesce("_near", "_far"))
-    for n in names:
-        joined = joined.withColumn(n, F.col("_prev")[n])
-    return joined.drop("_slot", "_packed", "_near", "_far", "_prev")
+    before = F.coalesce("_near", "_far")
+    return joined.withColumns({n: before[n] for n in names}).drop("_slot", "_packed", "_near", "_far")
 
 
 def top_n_per_group(df: DataFrame, group: list[str], order: list[Column], n: int,

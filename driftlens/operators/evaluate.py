@@ -109,7 +109,7 @@ def weight_ablation(cluster_feats: DataFrame, account_feats: DataFrame, truth: D
         variants.append((f"account -{name}", dict(fixed.CLUSTER_WEIGHTS), {**fixed.ACCOUNT_WEIGHTS, name: 0.0}))
     flagged = None
     for name, cw, aw in variants:
-        clusters = score_clusters(cluster_feats, cw).select("cluster")
+        clusters = score_clusters(cluster_feats, cw, threshold=threshold).select("cluster")
         accounts = score_accounts(account_feats.join(clusters, "cluster", "left_semi"), aw).where(F.col("score") >= threshold)
         one = accounts.select("account_id").distinct().withColumn("variant", F.lit(name))
         flagged = one if flagged is None else flagged.unionByName(one)

@@ -35,11 +35,11 @@ def _(v: Views):
 @query("t02_assign_posts", """
     WITH c AS (SELECT label, list(m ORDER BY i) AS center FROM (SELECT label, i, avg(CAST(embedding[i] AS DOUBLE)) AS m FROM embeddings, range(1, 65) r(i) GROUP BY 1, 2) GROUP BY 1)
     SELECT label, vec_id, round(s, 4) AS prob FROM (SELECT label, vec_id, list_cosine_similarity(CAST(embedding AS DOUBLE[]), center) AS s FROM embeddings JOIN c USING (label))
-    WHERE s >= 0.4 AND label IN (SELECT label FROM embeddings JOIN c USING (label) WHERE list_cosine_similarity(CAST(embedding AS DOUBLE[]), center) >= 0.4 GROUP BY 1 HAVING count(*) >= 5)""")
+    WHERE s >= 0.2 AND label IN (SELECT label FROM embeddings JOIN c USING (label) WHERE list_cosine_similarity(CAST(embedding AS DOUBLE[]), center) >= 0.2 GROUP BY 1 HAVING count(*) >= 5)""")
 def _(v: Views):
     e = v.table("embeddings")
     members = e.select("label", "vec_id")
-    return tp.assign_posts(members, e.select("vec_id", F.col("embedding").alias("vector")), tau=0.4, min_posts=5, key="vec_id", cluster=["label"]).select("label", "vec_id", "prob")
+    return tp.assign_posts(members, e.select("vec_id", F.col("embedding").alias("vector")), tau=0.2, min_posts=5, key="vec_id", cluster=["label"]).select("label", "vec_id", "prob")
 
 
 @query("t03_match_across_windows")
@@ -172,7 +172,7 @@ def alerts(v: Views):
 _HEADLINE = """CASE WHEN coordinated_share >= 0.3 THEN 'Manufactured surge' ELSE 'Organic burst' END || ': ' || label || ' - ' || n_posts || ' posts from ' || n_accounts || ' accounts, '
       || CAST(round_even(coordinated_share * 100, 0) AS BIGINT) || '% from coordinated accounts'"""
 ALERT_SQL = f"""SELECT topic_id, round(100 * (0.35 * least(1.0, level / 5) + 0.30 * coordinated_share + 0.20 * least(1.0, abs(anxiety_shift) / 0.5) + 0.15 * reach), 6) AS priority,
-      {_HEADLINE} AS headline, start_ts, end_ts FROM reached JOIN v_topics USING (topic_id) WHERE n_posts >= 10"""
+      {_HEADLINE} AS headline, start_ts, end_ts FROM reached JOIN (SELECT topic_id, label FROM v_topics) USING (topic_id) WHERE n_posts >= 10"""
 
 
 @query("b05_generate_alerts", with_views(_ALERT_VIEWS, f"SELECT topic_id, priority, headline, {sql_ts('start_ts')} AS start_ts FROM ({ALERT_SQL})", _ALERT_EXTRA))

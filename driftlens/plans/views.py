@@ -69,7 +69,9 @@ class Views:
     # -- texts and posts -----------------------------------------------------
     @cached_property
     def texts(self) -> DataFrame:
-        d = self.table("documents").select("doc_id", "text", "lang")
+        # the file is a single row group: spread it before per-text work
+        n = self.spark.sparkContext.defaultParallelism
+        d = self.table("documents").select("doc_id", "text", "lang").repartition(n)
         return d.withColumns({"text_hash": F.md5("text"), "text_key": tx.duplicate_key(F.col("text"))})
 
     @cached_property
