@@ -161,16 +161,20 @@ def cluster_features(posts: DataFrame, clusters: DataFrame) -> DataFrame:
     )
 
 
-def score_clusters(features: DataFrame, weights: dict[str, float] | None = None, bias: float = fixed.CLUSTER_BIAS,
-                   min_accounts: int = fixed.MIN_CLUSTER_ACCOUNTS, threshold: float = fixed.COORDINATED_SCORE) -> DataFrame:
-    weights = fixed.CLUSTER_WEIGHTS if weights is None else weights
-    parts = {
+def cluster_parts() -> dict[str, Column]:
+    """The weighted terms of the cluster score."""
+    return {
         "sync": F.col("sync"), "concentration": 1.0 - F.col("hn"),
         "regularity": F.greatest(F.lit(0.0), -F.col("burstiness")),
         "dup_ratio": F.col("dup_ratio"), "regular_share": F.col("regular_share"),
     }
+
+
+def score_clusters(features: DataFrame, weights: dict[str, float] | None = None, bias: float = fixed.CLUSTER_BIAS,
+                   min_accounts: int = fixed.MIN_CLUSTER_ACCOUNTS, threshold: float = fixed.COORDINATED_SCORE) -> DataFrame:
+    weights = fixed.CLUSTER_WEIGHTS if weights is None else weights
     scored = features.where(F.col("n_accounts") >= min_accounts).withColumn(
-        "score", logistic(weighted_sum(weights, parts) - bias)
+        "score", logistic(weighted_sum(weights, cluster_parts()) - bias)
     )
     return scored.where(F.col("score") >= threshold)
 

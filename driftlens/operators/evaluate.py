@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from driftlens.functions import audience, fixed
-from driftlens.operators.coordination import score_accounts, score_clusters
+from driftlens.functions.numeric import logistic
+from driftlens.operators.coordination import cluster_parts
 from driftlens.operators.filters import organic_flag
 from driftlens.operators.timelines import with_emotions
 
@@ -100,19 +101,29 @@ def hash_roc(pairs: DataFrame, thresholds: list[int] | None = None, max_fpr: flo
 def weight_ablation(cluster_feats: DataFrame, account_feats: DataFrame, truth: DataFrame,
                     threshold: float = fixed.COORDINATED_SCORE) -> DataFrame:
     """(variant, tp, fp, fn, precision, recall, f1): scoring repeated with one
-    weight set to zero. Features are inputs, computed once; a variant is an
-    expression over them, and all variants are counted in one plan."""
-    variants = [("full model", dict(fixed.CLUSTER_WEIGHTS), dict(fixed.ACCOUNT_WEIGHTS))]
-    for name in fixed.CLUSTER_WEIGHTS:
-        variants.append((f"cluster -{name}", {**fixed.CLUSTER_WEIGHTS, name: 0.0}, dict(fixed.ACCOUNT_WEIGHTS)))
-    for name in fixed.ACCOUNT_WEIGHTS:
-        variants.append((f"account -{name}", dict(fixed.CLUSTER_WEIGHTS), {**fixed.ACCOUNT_WEIGHTS, name: 0.0}))
-    flagged = None
-    for name, cw, aw in variants:
-        clusters = score_clusters(cluster_feats, cw, threshold=threshold).select("cluster")
-        accounts = score_accounts(account_feats.join(clusters, "cluster", "left_semi"), aw).where(F.col("score") >= threshold)
-        one = accounts.select("account_id").distinct().withColumn("variant", F.lit(name))
-        flagged = one if flagged is None else flagged.unionByName(one)
+    weight set to zero. Features are inputs, computed once; the variants are rows
+    of weights next to them, so all are counted in one pass."""
+    cw, aw = fixed.CLUSTER_WEIGHTS, fixed.ACCOUNT_WEIGHTS
+    variants = [("full model", cw, aw)]
+    variants += [(f"cluster -{n}", {**cw, n: 0.0}, aw) for n in cw]
+    variants += [(f"account -{n}", cw, {**aw, n: 0.0}) for n in aw]
+    table = F.array(*[
+        F.struct(F.lit(name).alias("variant"), *[F.lit(float(c[n])).alias(f"c_{n}") for n in cw],
+                 *[F.lit(float(a[n])).alias(f"a_{n}") for n in aw])
+        for name, c, a in variants
+    ])
+
+    def weighted(columns: dict[str, Column], prefix: str) -> Column:
+        total = F.lit(0.0)
+        for n, c in columns.items():
+            total = total + F.col(f"w.{prefix}_{n}") * c
+        return total
+
+    cluster_score = logistic(weighted(cluster_parts(), "c") - fixed.CLUSTER_BIAS)
+    account_score = logistic(weighted({n: F.col(n) for n in aw}, "a") - fixed.ACCOUNT_BIAS)
+    big = cluster_feats.where(F.col("n_accounts") >= fixed.MIN_CLUSTER_ACCOUNTS).withColumn("w", F.explode(table))
+    kept = big.where(cluster_score >= threshold).select("cluster", "w")
+    flagged = account_feats.join(kept, "cluster").where(account_score >= threshold).select(F.col("w.variant").alias("variant"), "account_id").distinct()
     t = truth.select("account_id").distinct().withColumn("t", F.lit(1))
     n_truth = t.count()
     hits = flagged.join(t, "account_id", "left").groupBy("variant").agg(

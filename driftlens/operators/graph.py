@@ -222,20 +222,21 @@ def rank_in_other_view(raw: DataFrame, organic: DataFrame, depth: int = 500) ->
     return a.join(b, "account_id", "full")
 
 
-def communities(graph: DataFrame, rounds: int = 20, passes: int = 3, resolution: float = 1.0) -> DataFrame:
+def communities(graph: DataFrame, rounds: int = 6, passes: int = 2, resolution: float = 1.0,
+                settled: float = 0.01) -> DataFrame:
     """(account_id, community) by modularity: local moving, then aggregation.
 
-    In a round every node may move to the neighbouring community with the best
-    positive modularity gain. Moving all at once can swap two nodes for ever,
-    so a round moves only nodes whose target label is smaller (even rounds) or
-    larger (odd rounds). The communities then become the nodes of a smaller
-    graph and the moving repeats. The label is the smallest member.
+    In a round a node may move to the neighbouring community of the best
+    positive modularity gain. All nodes moving at once can swap for ever, so a
+    round moves the half picked by a hash of (node, round). A pass ends when
+    fewer than ``settled`` of the nodes move; its communities become the nodes
+    of a smaller graph for the next pass. The label is the smallest member.
     """
     links = cut_lineage(undirected(graph), "links")
-    member = cut_lineage(vertices(graph).select(F.col("account_id"), F.col("account_id").alias("node")), "member")
+    member = vertices(graph).select("account_id", F.col("account_id").alias("node"))
     loops = None
     for _ in range(passes):
-        label = _local_moving(links, loops, rounds, resolution)
+        label = _local_moving(links, loops, rounds, resolution, settled)
         if label is None:
             break
         member = cut_lineage(
@@ -252,50 +253,46 @@ def communities(graph: DataFrame, rounds: int = 20, passes: int = 3, resolution:
             old = loops.join(label, "node").select(F.col("community").alias("node"), "loop")
             inner = inner.unionByName(old).groupBy("node").agg(F.sum("loop").alias("loop"))
         loops = cut_lineage(inner, "loops")
-        links = cut_lineage(merged.where("src != dst"), "links")
+        links = merged.where("src != dst")
         if links.limit(1).count() == 0:
             break
     smallest = member.groupBy("node").agg(F.min("account_id").alias("community"))
     return member.join(smallest, "node").select("account_id", "community")
 
 
-def _local_moving(links: DataFrame, loops: DataFrame | None, rounds: int, resolution: float) -> DataFrame | None:
+def _local_moving(links: DataFrame, loops: DataFrame | None, rounds: int, resolution: float, settled: float) -> DataFrame | None:
     degree = links.groupBy(F.col("src").alias("node")).agg(F.sum("weight").alias("k"))
     if loops is not None:
         degree = degree.join(loops, "node", "left").select("node", (F.col("k") + F.coalesce("loop", F.lit(0.0))).alias("k"))
-    degree = cut_lineage(degree, "degree")
-    two_m = degree.agg(F.sum("k")).first()[0]
+    label = cut_lineage(degree.select("node", "k", F.col("node").alias("community")), "label")
+    two_m, n = label.agg(F.sum("k"), F.count("*")).first()
     if not two_m:
         return None
-    label = cut_lineage(degree.select("node", "k", F.col("node").alias("community")), "label")
     moved_any = False
     quiet = 0
-    for r in range(rounds):
+    for r in range(2 * rounds):
         total = label.groupBy("community").agg(F.sum("k").alias("tot"))
-        toward = links.join(label.select(F.col("node").alias("dst"), "community"), "dst").groupBy(
-            F.col("src").alias("node"), "community"
-        ).agg(F.sum("weight").alias("w"))
-        gain = (
-            toward.join(total, "community")
-            .join(label.select("node", "k", F.col("community").alias("own")), "node")
-            .withColumn("g", F.col("w") - resolution * F.col("k")
-                        * (F.col("tot") - F.when(F.col("community") == F.col("own"), F.col("k")).otherwise(0.0)) / F.lit(two_m))
-        )
+        active = F.pmod(F.xxhash64("node", F.lit(r // 2)), F.lit(2)) == r % 2
+        movers = label.where(active).select("node", "k", F.col("community").alias("own"))
+        toward = links.join(movers, F.col("src") == F.col("node")).join(
+            label.select(F.col("node").alias("dst"), "community"), "dst"
+        ).groupBy("node", "k", "own", "community").agg(F.sum("weight").alias("w"))
+        rest = F.col("tot") - F.when(F.col("community") == F.col("own"), F.col("k")).otherwise(0.0)
+        gain = toward.join(total, "community").withColumn("g", F.round(F.col("w") - resolution * F.col("k") * rest / F.lit(two_m), 9))
         stay = F.max(F.when(F.col("community") == F.col("own"), F.col("g")))
-        allowed = (F.col("community") < F.col("own")) if r % 2 == 0 else (F.col("community") > F.col("own"))
-        best = gain.groupBy("node", "k", "own").agg(
+        best = gain.groupBy("node").agg(
             F.coalesce(stay, F.lit(0.0)).alias("g0"),
-            F.max(F.when(allowed, F.struct(F.round("g", 9).alias("g"), F.xxhash64("community").alias("tie"), F.col("community").alias("c")))).alias("b"),
+            F.max(F.when(F.col("community") != F.col("own"), F.struct("g", F.xxhash64("community").alias("tie"), F.col("community").alias("c")))).alias("b"),
         )
-        choice = best.select("node", F.when(F.col("b.g") > F.greatest(F.col("g0"), F.lit(0.0)) + 1e-9, F.col("b.c")).alias("to"))
+        choice = best.where(F.col("b.g") > F.greatest(F.col("g0"), F.lit(0.0)) + 1e-9).select("node", F.col("b.c").alias("to"))
         new = cut_lineage(
             label.join(choice, "node", "left").select("node", "k", F.coalesce("to", "community").alias("community"),
                                                       F.col("to").isNotNull().alias("moved")), "label",
         )
-        moved = new.where("moved").limit(1).count()
+        moved = new.where("moved").count()
         label = new.drop("moved")
-        moved_any = moved_any or bool(moved)
-        quiet = 0 if moved else quiet + 1
+        moved_any = moved_any or moved > 0
+        quiet = quiet + 1 if moved <= settled * n else 0
         if quiet == 2:
             break
     if not moved_any:

@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from driftlens.functions import fixed
 from driftlens.operators import alerts as al
 from driftlens.operators import demographics as dm
 from driftlens.operators import evaluate as ev
@@ -15,8 +16,7 @@ from driftlens.plans.catalog_scalars import AGE_SQL, PADDED, STANCE_SQL, stance_
 from driftlens.plans.catalog_topics import _ALERT_EXTRA, _ALERT_VIEWS, _BEST, ALERT_SQL, alerts
 from driftlens.plans.views import Views, with_views
 
-# -- lineage: the library's stance rule reads its own word lists; the benchmark
-# texts hold none of them, so kinds decide -------------------------------------
+# -- lineage -----------------------------------------------------------------
 _LINEAGE = {
     "inside": "SELECT topic_id, platform, post_id, author_id, created_at, origin_post_id, kind FROM v_core JOIN v_assign USING (platform, post_id)",
     "lin": """SELECT * FROM inside UNION ALL SELECT w.topic_id, c.platform, c.post_id, c.author_id, c.created_at, c.origin_post_id, c.kind FROM v_core c
@@ -28,6 +28,17 @@ _LINEAGE = {
 _LV = ["v_core", "v_assign", "v_posts"]
 
 
+def _cues(words: list[str]) -> str:
+    quoted = [w.replace("'", "''") for w in words]
+    return "(" + " OR ".join(f"contains(padded, '{w}')" for w in quoted) + ")"
+
+
+# the library's own word lists, as the lineage operators use them by default
+_DEFAULT_STANCE = f"""CASE WHEN {_cues(fixed.DEBUNK_CUES)} THEN 'debunking' WHEN {_cues(fixed.QUESTION_CUES)} OR (kind IN ('reply', 'comment') AND ends_with(trim(padded), '?')) THEN 'questioning'
+      WHEN kind IN ('post', 'repost', 'forward', 'share') OR {_cues(fixed.SPREAD_CUES)} THEN 'spreading' ELSE 'reacting' END"""
+_STANCE_OF = {"sof": f"SELECT platform, post_id, {_DEFAULT_STANCE} AS stance FROM (SELECT platform, post_id, kind, {PADDED} AS padded FROM v_posts)"}
+
+
 def _classified(v: Views):
     """Lineage posts classified with the benchmark's stance words."""
     d = ln.lineage_posts(v.posts, v.assign).withColumn("stance", stance_of(F.col("text"), F.col("kind")))
@@ -63,19 +74,19 @@ def _(v: Views):
     return ln.repost_chains(_classified(v)).select("topic_id", "src", "dst", "rank")
 
 
-@query("l02_cluster_lineage", with_views(["v_core", "v_assign", "v_clusters", "v_coord"], """
-    SELECT cluster, count(*) AS n_posts, count(*) FILTER (kind IN ('post', 'repost', 'forward')) AS spreading FROM v_core c JOIN v_assign USING (platform, post_id) JOIN v_clusters k USING (topic_id)
-    JOIN (SELECT DISTINCT cluster, platform, account_id FROM v_coord) a USING (cluster) WHERE a.platform = c.platform AND a.account_id = c.author_id GROUP BY 1"""))
+@query("l02_cluster_lineage", with_views(["v_core", "v_assign", "v_clusters", "v_coord", "v_posts"], """
+    SELECT cluster, count(*) AS n_posts, count(*) FILTER (stance = 'spreading') AS spreading FROM v_core c JOIN sof USING (platform, post_id) JOIN v_assign USING (platform, post_id) JOIN v_clusters k USING (topic_id)
+    JOIN (SELECT DISTINCT cluster, platform, account_id FROM v_coord) a USING (cluster) WHERE a.platform = c.platform AND a.account_id = c.author_id GROUP BY 1""", _STANCE_OF))
 def _(v: Views):
     s = ln.cluster_lineage(v.posts, v.assign, v.coord_clusters, v.coord_accounts)["summary"]
     return s.select(F.col("topic_id").alias("cluster"), "n_posts", "spreading")
 
 
-@query("l14_lineage_overview", with_views(["v_core", "v_assign", "v_topics", "v_accounts"], f"""
+@query("l14_lineage_overview", with_views(["v_core", "v_assign", "v_topics", "v_accounts", "v_posts"], f"""
     SELECT topic_id, n_posts, {sql_ts('f.first')} AS earliest_observed, coalesce(a.handle, f.author) AS origin_handle FROM (SELECT topic_id FROM v_topics JOIN (SELECT topic_id, count(*) AS n FROM v_assign GROUP BY 1) USING (topic_id)
       ORDER BY coordinated_share DESC, n DESC, topic_id LIMIT 5) JOIN (SELECT topic_id, count(*) AS n_posts FROM lin GROUP BY 1) USING (topic_id)
-    JOIN (SELECT topic_id, min(created_at) AS first, min_by(author_id, (created_at, platform)) AS author, min_by(platform, (created_at, platform)) AS platform FROM lin WHERE kind IN ('post', 'repost', 'forward') GROUP BY 1) f USING (topic_id)
-    LEFT JOIN v_accounts a ON a.platform = f.platform AND a.account_id = f.author""", {k: _LINEAGE[k] for k in ("inside", "lin")}))
+    JOIN (SELECT topic_id, min(created_at) AS first, min_by(author_id, (created_at, platform)) AS author, min_by(platform, (created_at, platform)) AS platform FROM lin JOIN sof USING (platform, post_id) WHERE stance = 'spreading' GROUP BY 1) f USING (topic_id)
+    LEFT JOIN v_accounts a ON a.platform = f.platform AND a.account_id = f.author""", {**{k: _LINEAGE[k] for k in ("inside", "lin")}, **_STANCE_OF}))
 def _(v: Views):
     s = ln.lineage_overview(v.posts, v.assign, v.topics, v.accounts)["summary"]
     return s.select("topic_id", "n_posts", ts("earliest_observed").alias("earliest_observed"), "origin_handle")

@@ -101,10 +101,13 @@ def _(v: Views):
     return out["influencers"].select("view", "rank", "account_id", r6("influence").alias("influence"), "role", "rank_other_view", "handle")
 
 
-@query("w06_rank_in_other_view", with_views(["v_graph", "v_edges", "v_flagged"], f"""
-    SELECT account_id, coalesce(a.r, -1) AS rank_raw, coalesce(b.r, -1) AS rank_organic FROM (SELECT account_id, row_number() OVER (ORDER BY influence DESC, account_id) AS r
-      FROM (SELECT dst AS account_id, count(*) AS influence FROM v_graph GROUP BY 1) QUALIFY r <= 500) a
-    FULL JOIN (SELECT account_id, row_number() OVER (ORDER BY influence DESC, account_id) AS r FROM (SELECT dst AS account_id, count(*) AS influence FROM ({_ORGANIC}) GROUP BY 1) QUALIFY r <= 500) b USING (account_id)"""))
+def _ranked_sql(source: str) -> str:
+    return f"""SELECT account_id, r FROM (SELECT account_id, row_number() OVER (ORDER BY influence DESC, account_id) AS r
+      FROM (SELECT dst AS account_id, count(*) AS influence FROM {source} GROUP BY 1)) WHERE r <= 500"""
+
+
+@query("w06_rank_in_other_view", with_views(["v_graph", "v_edges", "v_flagged"], "SELECT account_id, coalesce(a.r, -1) AS rank_raw, coalesce(b.r, -1) AS rank_organic FROM a FULL JOIN b USING (account_id)",
+    {"og": _ORGANIC, "a": _ranked_sql("v_graph"), "b": _ranked_sql("og")}))
 def _(v: Views):
     """Ranks by number of interactors."""
     def score(g):
