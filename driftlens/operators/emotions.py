@@ -11,6 +11,7 @@ from driftlens.functions import fixed
 from driftlens.functions import text as tx
 from driftlens.functions.affect import compose_affect, lexicon_scores
 from driftlens.operators.filters import POST_KEY
+from driftlens.session import cut_lineage
 
 Scorer = Callable[[Column], Column]
 _SCORERS: dict[str, tuple[Scorer, str]] = {}
@@ -39,15 +40,21 @@ def score_unique_then_join(posts: DataFrame, engine: str = "lexicon-v1", scorer:
     first, so only new texts reach the scorer. Empty texts get the neutral
     result.
     """
+    raw = F.col("text_hash") if "text_hash" in posts.columns else F.md5(F.coalesce("text", F.lit("")))
+    keyed = posts.select(*POST_KEY, raw.alias("text_hash"), "text")
+    # equal raw texts collapse first, so only distinct ones are normalised
+    texts = keyed.groupBy("text_hash").agg(F.min("text").alias("text"))
     normal = tx.normalize_for_model(F.coalesce("text", F.lit("")))
-    keyed = posts.select(*POST_KEY, normal.alias("text")).withColumn("text_key", F.when(F.col("text") != "", F.md5("text")))
-    unique = keyed.where("text_key IS NOT NULL").groupBy("text_key").agg(F.first("text").alias("text"))
+    texts = cut_lineage(texts.select("text_hash", normal.alias("text")).withColumn(
+        "text_key", F.when(F.col("text") != "", F.md5("text"))), "texts")
+    unique = texts.where("text_key IS NOT NULL").groupBy("text_key").agg(F.min("text").alias("text"))
     if cache is None:
         scores = _scored(unique, engine, scorer)
     else:
         fresh = _scored(unique.join(cache.select("text_key"), "text_key", "left_anti"), engine, scorer)
         scores = fresh.unionByName(cache.select(*fresh.columns))
-    d = keyed.select(*POST_KEY, "text_key").join(scores, "text_key", "left")
+    by_hash = texts.select("text_hash", "text_key").join(scores, "text_key", "left")
+    d = keyed.select(*POST_KEY, "text_hash").join(by_hash, "text_hash")
     return d.select(
         *POST_KEY, *[F.coalesce(a, F.lit(0.0)).alias(a) for a in fixed.AFFECT_DIMENSIONS],
         F.coalesce("neutral", F.lit(1.0)).alias("neutral"), F.coalesce("sentiment", F.lit("neutral")).alias("sentiment"),

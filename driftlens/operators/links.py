@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from driftlens.functions import fixed
 from driftlens.functions import text as tx
-from driftlens.functions.numeric import cosine
+from driftlens.functions.numeric import dot
 from driftlens.session import cut_lineage
 
 
@@ -214,67 +214,64 @@ def _forest_links(tagged: DataFrame, min_sim: float, within: list[str]) -> DataF
 
 
 def _leader_links(tagged: DataFrame, min_sim: float, node: str, within: list[str] | None = None,
-                  bands: int = 16, seed: int = 7, max_rounds: int = 40) -> DataFrame:
+                  bands: int = 12, seed: int = 7) -> DataFrame:
     """(src, dst, similarity) verified links from hyperplane buckets.
 
-    Round by round: every bucket names its smallest member leader; members with
-    cosine >= ``min_sim`` to the leader are linked and leave; the rest get more
-    signature bits, so a bucket of unlike members splits and one of near copies
-    empties at once. Work per round is linear in the members left.
+    One round per band: every bucket of the vectors still alive names its
+    smallest member leader, members with cosine >= ``min_sim`` to the leader are
+    linked to it and leave. The next round buckets what is left, the leaders
+    among it, by fresh hyperplanes. A bucket of near copies empties at once
+    whatever its size, and a round costs one comparison per vector alive, so
+    the work is linear. Leaders stand for those they absorbed: links that exist
+    only between absorbed members are not looked for.
     """
     within = within or []
     spark = tagged.sparkSession
-    angle = math.acos(min(1.0, max(-1.0, min_sim)))
-    agree = 1.0 - angle / math.pi
-    width = max(2, int(math.log(0.25) / math.log(agree))) if agree < 1 else 16
-    step = max(1, width // 3)
-    bits = min(60, width + step * 12)
-    vectors = cut_lineage(tagged.select(F.col(node).alias("n"), "vector", *within), "vectors")
-    dims = len(vectors.select("vector").first()["vector"])
-    planes = np.random.default_rng(seed).standard_normal((bands, bits, dims)).astype(np.float32)
+    agree = 1.0 - math.acos(min(1.0, max(-1.0, min_sim))) / math.pi
+    width = max(2, min(40, int(math.log(0.35) / math.log(agree)))) if agree < 1 else 40
+    first = tagged.select("vector").first()
+    if first is None:
+        kind = tagged.schema[node].dataType.simpleString()
+        return spark.createDataFrame([], f"src {kind}, dst {kind}, similarity double")
+    dims = len(first["vector"])
+    planes = np.random.default_rng(seed).standard_normal((bands, width, dims)).astype(np.float32)
     planes = planes - planes.mean(axis=2, keepdims=True)  # counts are positive: drop the common direction
     shared = spark.sparkContext.broadcast(planes)
 
     def sign(batches):
-        p = shared.value.reshape(bands * bits, dims)
+        p = shared.value.reshape(bands * width, dims)
+        weights = 1 << np.arange(width, dtype=np.int64)
         for pdf in batches:
             if pdf.empty:
                 continue
-            m = np.asarray([np.asarray(v, dtype=np.float32) for v in pdf["vector"]])
-            on = (m @ p.T >= 0).reshape(len(m), bands, bits)
-            weights = (1 << np.arange(bits, dtype=np.int64))
-            codes = (on * weights).sum(axis=2).astype(np.int64)
+            unit = _unit_rows(pdf["vector"]).astype(np.float32)
+            codes = ((unit @ p.T >= 0).reshape(len(unit), bands, width) * weights).sum(axis=2).astype(np.int64)
             out = pdf.drop(columns=["vector"])
-            out["codes"] = list(codes)
+            out["codes"], out["unit"] = list(codes), list(unit)
             yield out
 
-    scope_types = "".join(f", {w} {tagged.schema[w].dataType.simpleString()}" for w in within)
+    scope = "".join(f", {w} {tagged.schema[w].dataType.simpleString()}" for w in within)
     kind = tagged.schema[node].dataType.simpleString()
-    signed = vectors.mapInPandas(sign, f"n {kind}{scope_types}, codes array<bigint>")
-    pending = cut_lineage(signed.select("n", *within, F.posexplode("codes").alias("band", "code")), "pending")
+    alive = cut_lineage(tagged.select(F.col(node).alias("n"), "vector", *within).mapInPandas(
+        sign, f"n {kind}{scope}, codes array<bigint>, unit array<float>"
+    ), "alive")
     links = []
-    used = width
-    for _ in range(max_rounds):
-        bucket = [*within, "band", "bucket"]
-        keyed = pending.withColumn("bucket", F.col("code").bitwiseAND((1 << min(used, bits)) - 1))
-        leaders = keyed.groupBy(*bucket).agg(F.min("n").alias("leader"), F.count("*").alias("size")).where("size > 1")
-        pairs = keyed.join(leaders.drop("size"), bucket).where("n != leader")
-        unique = pairs.select("n", "leader").distinct()
-        left = vectors.select("n", F.col("vector").alias("va"))
-        right = vectors.select(F.col("n").alias("leader"), F.col("vector").alias("vb"))
-        scored = cut_lineage(
-            unique.join(left, "n").join(right, "leader").select(
-                F.col("n").alias("src"), F.col("leader").alias("dst"), cosine(F.col("va"), F.col("vb")).alias("similarity")
-            ), "scored",
+    for band in range(bands):
+        bucket = [*within, "code"]
+        keyed = alive.withColumn("code", F.get("codes", F.lit(band)))
+        heads = keyed.groupBy(*bucket).agg(F.min("n").alias("leader"), F.max("n").alias("_hi")).where("leader != _hi").drop("_hi")
+        heads = cut_lineage(heads, "heads")
+        chosen = alive.join(heads.select(F.col("leader").alias("n")).distinct(), "n", "left_semi").select(
+            F.col("n").alias("leader"), F.col("unit").alias("_lead")
+        )
+        pairs = keyed.join(heads, bucket).where("n != leader").join(chosen, "leader")
+        good = cut_lineage(
+            pairs.select(F.col("n").alias("src"), F.col("leader").alias("dst"), dot(F.col("unit"), F.col("_lead")).alias("similarity"))
+            .where(F.col("similarity") >= min_sim), "linked",
         )
-        good = scored.where(F.col("similarity") >= min_sim)
         links.append(good)
-        settled = good.select(F.col("src").alias("n"), F.col("dst").alias("leader"))
-        rest = pairs.join(settled, ["n", "leader"], "left_anti").select("n", *within, "band", "code")
-        pending = cut_lineage(rest, "pending")
-        used += step
-        if used > bits or pending.limit(1).count() == 0:
-            break
+        if good.limit(1).count():
+            alive = cut_lineage(alive.join(good.select(F.col("src").alias("n")), "n", "left_anti"), "alive")
     out = links[0]
     for more in links[1:]:
         out = out.unionByName(more)
