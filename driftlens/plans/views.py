@@ -19,7 +19,7 @@ from driftlens.operators import emotions as em
 from driftlens.operators import ledger as lg
 from driftlens.operators import trends as tr
 from driftlens.operators import topics as tp
-from driftlens.session import stage_path, stage_table
+from driftlens.session import ship_package, stage_path, stage_table
 
 PLATFORM_OF = ["x", "telegram", "reddit", "youtube"]
 KIND_OF = {"click": "post", "view": "repost", "purchase": "reply", "signup": "comment", "error": "forward"}
@@ -52,6 +52,7 @@ class Views:
 
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark, self.dir = spark, sf_dir.rstrip("/")
+        ship_package(spark)
 
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.dir}/{name}.parquet")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+import shutil
 import tempfile
 import uuid
 
@@ -21,7 +23,24 @@ def build_session(app_name: str = "driftlens", master: str | None = None, **conf
         builder = builder.master(master)
     for key, value in conf.items():
         builder = builder.config(key, value)
-    return builder.getOrCreate()
+    spark = builder.getOrCreate()
+    ship_package(spark)
+    return spark
+
+
+_SHIPPED: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Makes this package importable in the Python workers, once per
+    application. A no-op when it was started from an archive (``--py-files``)."""
+    app = spark.sparkContext.applicationId
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    if app in _SHIPPED or not os.path.isdir(os.path.join(root, "driftlens")):
+        return
+    target = os.path.join(tempfile.mkdtemp(prefix="spark-", dir="/tmp"), "driftlens")
+    spark.sparkContext.addPyFile(shutil.make_archive(target, "zip", root, "driftlens"))
+    _SHIPPED.add(app)
 
 
 def shared_folder(spark: SparkSession) -> str:
