@@ -118,10 +118,6 @@ def _filter_rows(bits: int):
                 for h, repeated in ((own[times > 1], True), (own, False)):
                     a, b = _bit_pairs(h, bits)
                     again = np.ones(len(h), bool) if repeated else _has(once[s], a) & _has(once[s], b)
-                    # lines of one batch that share both bits of another line are caught here
-                    pair = a * bits + b if bits <= 1 << 31 else a
-                    _, back, n = np.unique(pair, return_inverse=True, return_counts=True)
-                    again |= n[back] > 1
                     for at in (a, b):
                         _put(twice[s], at[again])
                         _put(once[s], at)
