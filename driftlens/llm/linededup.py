@@ -166,7 +166,6 @@ def lost_lines(docs: DataFrame, text: str = "text", min_docs: int = MIN_DOCS, mi
     return lost.groupBy("doc_id").agg(F.collect_list("key").alias("lost"))
 
 
-@F.arrow_udf("struct<n_lines:long,n_dropped:long,text:string>")
 def _without(text: pa.Array, lost: pa.Array, min_chars: pa.Array) -> pa.Array:
     n_lines, n_dropped, kept = [], [], []
     for body, gone, least in zip(text_bytes(text), lost.to_pylist(), min_chars.to_pylist(), strict=True):
@@ -190,8 +189,9 @@ def _without(text: pa.Array, lost: pa.Array, min_chars: pa.Array) -> pa.Array:
 def cleaned_lines(docs: DataFrame, text: str = "text", min_docs: int = MIN_DOCS, min_chars: int = MIN_CHARS, max_filter_bytes: int = MAX_FILTER_BYTES, into: str = "_cleaned") -> DataFrame:
     """``docs`` with a column ``into``: struct (n_lines, n_dropped, text)."""
     lost = lost_lines(docs, text, min_docs, min_chars, max_filter_bytes).select(F.col("doc_id").alias("_lost_id"), F.col("lost").alias("_lost"))
+    without = F.arrow_udf(_without, "struct<n_lines:long,n_dropped:long,text:string>")
     joined = docs.join(lost.hint("shuffle_hash"), docs["doc_id"] == F.col("_lost_id"), "left")
-    return joined.withColumn(into, _without(docs[text], F.col("_lost"), F.lit(min_chars))).drop("_lost_id", "_lost")
+    return joined.withColumn(into, without(docs[text], F.col("_lost"), F.lit(min_chars))).drop("_lost_id", "_lost")
 
 
 def drop_repeated_lines(docs: DataFrame, text: str = "text", **options) -> DataFrame:
