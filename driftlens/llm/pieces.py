@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 MARK = "▁"
-REMEMBERED = 300_000
+REMEMBERED = 600_000
 PIECE_MODEL = "piece_bpe_32k.model"
 
 
