@@ -26,12 +26,12 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from driftlens.llm.bitfilter import ROW_SCHEMA, BitFilter, build_filter, slice_rows
 from driftlens.llm.textblock import text_bytes
 from driftlens.session import cut_lineage
 
 MIN_CHARS = 20
 MIN_DOCS = 3
-SLICES = 64
 BITS_PER_LINE = 32
 MAX_FILTER_BYTES = 64 << 20
 _STRIP = b" \t\n\x0b\x0c\r"
@@ -52,90 +52,24 @@ def _digest(key: bytes) -> bytes:
     return hashlib.blake2b(key, digest_size=16).digest()
 
 
-def _bit_pairs(hashes: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """Two positions inside a slice of ``bits`` bits (a power of two)."""
-    mask = np.uint64(bits - 1)
-    return (hashes & mask).astype(np.int64), (hashes >> np.uint64(29) & mask).astype(np.int64)
-
-
-def _has(words: np.ndarray, at: np.ndarray) -> np.ndarray:
-    return words[at >> 3] >> (at & 7).astype(np.uint8) & np.uint8(1) != 0
-
-
-def _put(words: np.ndarray, at: np.ndarray) -> None:
-    np.bitwise_or.at(words, at >> 3, np.left_shift(np.uint8(1), (at & 7).astype(np.uint8)))
-
-
-class TwiceSeen:
-    """The shared filter: one array of bits per slice."""
-
-    def __init__(self, slices: dict[int, np.ndarray], bits: int):
-        self.slices, self.bits = slices, bits
-
-    def suspects(self, hashes: np.ndarray) -> np.ndarray:
-        out = np.zeros(len(hashes), bool)
-        owner = (hashes >> np.uint64(58)).astype(np.int64)
-        for s in np.unique(owner):
-            if s in self.slices:
-                at = np.flatnonzero(owner == s)
-                a, b = _bit_pairs(hashes[at], self.bits)
-                out[at] = _has(self.slices[s], a) & _has(self.slices[s], b)
-        return out
-
-
 def _hash_rows(min_chars: int):
-    """One row per slice and batch: the hashes of the distinct lines of each
-    document row."""
+    """Packed hashes of the distinct lines of each document row."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             seen = [
                 xxhash.xxh3_64_intdigest(k)
                 for text in text_bytes(batch.column(0)) for k in {k for k in line_keys(text, min_chars) if k is not None}
             ]
-            hashes = np.array(seen, np.uint64)
-            owner = (hashes >> np.uint64(58)).astype(np.int32)
-            order = np.argsort(owner, kind="stable")
-            hashes, owner = hashes[order], owner[order]
-            own, first = np.unique(owner, return_index=True)
-            parts = np.split(hashes, first[1:]) if len(own) else []
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(own, pa.int32()), pa.array([len(p) for p in parts], pa.int64()), pa.array([p.tobytes() for p in parts], pa.binary())],
-                ["slice", "n", "hashes"],
-            )
-
-    return run
-
-
-def _filter_rows(bits: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        once: dict[int, np.ndarray] = {}
-        twice: dict[int, np.ndarray] = {}
-        for batch in batches:
-            for s, packed in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                if s not in once:
-                    once[s], twice[s] = np.zeros(bits // 8, np.uint8), np.zeros(bits // 8, np.uint8)
-                own, times = np.unique(np.frombuffer(packed, np.uint64), return_counts=True)
-                for h, repeated in ((own[times > 1], True), (own, False)):
-                    a, b = _bit_pairs(h, bits)
-                    again = np.ones(len(h), bool) if repeated else _has(once[s], a) & _has(once[s], b)
-                    for at in (a, b):
-                        _put(twice[s], at[again])
-                        _put(once[s], at)
-        for s, words in twice.items():
-            yield pa.RecordBatch.from_arrays([pa.array([s], pa.int32()), pa.array([words.tobytes()], pa.binary())], ["slice", "words"])
+            yield slice_rows(np.array(seen, np.uint64))
 
     return run
 
 
-def twice_seen(docs: DataFrame, text: str = "text", min_chars: int = MIN_CHARS, max_filter_bytes: int = MAX_FILTER_BYTES) -> TwiceSeen:
+def twice_seen(docs: DataFrame, text: str = "text", min_chars: int = MIN_CHARS, max_filter_bytes: int = MAX_FILTER_BYTES) -> BitFilter:
     """Builds the filter of lines that at least two documents may hold."""
-    rows = cut_lineage(docs.select(F.col(text).alias("text")).mapInArrow(_hash_rows(min_chars), "slice int, n long, hashes binary"), "line-hashes")
+    rows = cut_lineage(docs.select(F.col(text).alias("text")).mapInArrow(_hash_rows(min_chars), ROW_SCHEMA), "line-hashes")
     n = rows.agg(F.sum("n")).first()[0] or 0
-    wanted = max(n, 1) * BITS_PER_LINE // SLICES
-    bits = min(max(1 << 10, 1 << (wanted - 1).bit_length()), max_filter_bytes * 8 // SLICES)
-    built = rows.select("slice", "hashes").repartition(SLICES, "slice").mapInArrow(_filter_rows(bits), "slice int, words binary")
-    # SLICES rows of a bounded size
-    return TwiceSeen({r["slice"]: np.frombuffer(r["words"], np.uint8) for r in built.collect()}, bits)
+    return build_filter(rows, n, BITS_PER_LINE, max_filter_bytes, repeated=True)
 
 
 def _suspect_rows(shared, min_chars: int):
@@ -144,7 +78,7 @@ def _suspect_rows(shared, min_chars: int):
             ids, keys = [], []
             for doc_id, text in zip(batch.column(0).to_pylist(), text_bytes(batch.column(1)), strict=True):
                 own = list({k for k in line_keys(text, min_chars) if k is not None})
-                hit = shared.value.suspects(np.array([xxhash.xxh3_64_intdigest(k) for k in own], np.uint64)) if own else []
+                hit = shared.value.has(np.array([xxhash.xxh3_64_intdigest(k) for k in own], np.uint64)) if own else []
                 for k in np.flatnonzero(hit):
                     ids.append(doc_id)
                     keys.append(_digest(own[k]))

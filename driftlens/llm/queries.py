@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from driftlens.llm import linededup, neardup, quality, toxicity
-from driftlens.llm.tables import table
+from driftlens.llm import decontaminate, linededup, neardup, pieces, quality, toxicity, transducer
+from driftlens.llm.tables import table, tokenizer_path
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _ORACLES: dict[str, str] = {}
@@ -59,11 +59,58 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linededup.dedup_lines(table(spark, sf_dir, "documents"))
 
 
-@query("op4_minhash_near_dedup")
+@query("op3_token_counts")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return transducer.count_tokens(table(spark, sf_dir, "documents"), tokenizer_path(transducer.WORD_MODEL))
+
+
+# distinct 5-word shingles of a table {0} with id {1}
+SHINGLES_SQL = r"""
+{1}_words AS (
+  SELECT {1}, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[ \t\n\x0b\x0c\r]+'), lambda w: w <> '') AS w
+  FROM {0}
+), {1}_sets AS (
+  SELECT {1}, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+    ELSE list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) END AS s
+  FROM {1}_words
+), {1}_shingles AS (SELECT {1}, len(s) AS n, unnest(s) AS shingle FROM {1}_sets)
+"""
+
+NEAR_SQL = "WITH RECURSIVE " + SHINGLES_SQL.format("documents", "doc_id") + """,
+posting AS (SELECT shingle, list(doc_id) AS ids FROM doc_id_shingles GROUP BY shingle HAVING count(*) > 1),
+common AS (
+  SELECT a, b, count(*) AS n FROM (SELECT a, unnest(ids) AS b FROM (SELECT unnest(ids) AS a, ids FROM posting)) WHERE a < b GROUP BY a, b
+), links AS (
+  SELECT a, b FROM common JOIN doc_id_sets x ON x.doc_id = a JOIN doc_id_sets y ON y.doc_id = b
+  WHERE 100 * n >= 75 * (len(x.s) + len(y.s) - n)
+), edges AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+reach AS (SELECT doc_id, doc_id AS other FROM documents UNION SELECT r.doc_id, e.b FROM reach r JOIN edges e ON e.a = r.other)
+SELECT s.doc_id, len(s.s)::BIGINT AS n_shingles, c.component_id, (s.doc_id = c.component_id) AS kept
+FROM doc_id_sets s JOIN (SELECT doc_id, min(other) AS component_id FROM reach GROUP BY doc_id) c ON s.doc_id = c.doc_id
+"""
+
+
+@query("op4_minhash_near_dedup", NEAR_SQL)
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+@query("op7_sentencepiece")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.encode_documents(table(spark, sf_dir, "documents"), tokenizer_path(pieces.PIECE_MODEL))
+
+
+LEAKS_SQL = "WITH " + SHINGLES_SQL.format("documents", "doc_id") + ", " + SHINGLES_SQL.format("benchmark", "item_id") + """
+SELECT doc_id, item_id, count(*)::BIGINT AS shared, any_value(i.n)::BIGINT AS n_item, count(*) / any_value(i.n) AS containment
+FROM doc_id_shingles d JOIN item_id_shingles i ON d.shingle = i.shingle GROUP BY doc_id, item_id HAVING count(*) >= 0.75 * any_value(i.n)
+"""
+
+
+@query("op9_decontamination", LEAKS_SQL)
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 @query("op10_quality")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")

@@ -34,7 +34,8 @@ WORD_MODEL = "word_bpe_49k.json"
 LIMIT = 2048
 CHUNK = 192
 BLOCK_CHARS = 1 << 20
-MAX_STATES = 150_000
+MAX_STATES = 120_000
+MAX_FITS = 300_000
 _UNKNOWN, _START = 0, 1
 _END = 256  # symbol of a byte that ends a word: byte + _END
 
@@ -100,12 +101,12 @@ class Transducer:
         self._number[self._states[_START]] = _START
         self.column = np.full(2 * _END, -1, np.int32)
         self.next = np.full((1024, 32), -1, np.int32)
-        self.change = np.zeros((1024, 32), np.int16)
+        self.change = np.zeros((1024, 32), np.int8)
 
     def fits(self, left: tuple, right: tuple) -> bool:
         out = self._fits.get((left, right))
         if out is None:
-            if len(self._fits) > 2_000_000:
+            if len(self._fits) > MAX_FITS:
                 self._fits.clear()
             out = self._fits[left, right] = self.model.merged([(s,) for s in left + right]) == [x for x in (left, right) if x]
         return out
@@ -169,7 +170,7 @@ class Transducer:
             self._grow(np.array([_END]))
         grid[:n] = symbols
         grid = np.ascontiguousarray(grid.reshape(chunks, CHUNK).T)
-        out = np.zeros((CHUNK, chunks), np.int16)
+        out = np.zeros((CHUNK, chunks), np.int8)
         # every chunk from the unknown state: the constant part of its map
         state = np.full(chunks, _UNKNOWN, np.int32)
         for k in range(CHUNK):
