@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from driftlens.llm import decontaminate, fingerprints, linededup, neardup, pieces, quality, toxicity, transducer
+from driftlens.llm import decontaminate, fingerprints, linededup, neardup, pages, pieces, quality, toxicity, transducer, urls
 from driftlens.llm.tables import table, tokenizer_path
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -100,11 +100,21 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.fingerprint_documents(table(spark, sf_dir, "documents"))
 
 
+@query("op6_url_filter")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.judge_urls(table(spark, sf_dir, "pages"))
+
+
 @query("op7_sentencepiece")
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.encode_documents(table(spark, sf_dir, "documents"), tokenizer_path(pieces.PIECE_MODEL))
 
 
+@query("op8_html_text")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pages.extract_pages(table(spark, sf_dir, "pages"))
+
+
 LEAKS_SQL = "WITH " + SHINGLES_SQL.format("documents", "doc_id") + ", " + SHINGLES_SQL.format("benchmark", "item_id") + """
 SELECT doc_id, item_id, count(*)::BIGINT AS shared, any_value(i.n)::BIGINT AS n_item, count(*) / any_value(i.n) AS containment
 FROM doc_id_shingles d JOIN item_id_shingles i ON d.shingle = i.shingle GROUP BY doc_id, item_id HAVING count(*) >= 0.75 * any_value(i.n)
