@@ -27,6 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from driftlens.llm.bitfilter import ROW_SCHEMA, BitFilter, build_filter, slice_rows
+from driftlens.llm.tables import fresh
 from driftlens.llm.textblock import text_bytes
 from driftlens.session import cut_lineage
 
@@ -96,7 +97,10 @@ def lost_lines(docs: DataFrame, text: str = "text", min_docs: int = MIN_DOCS, mi
     found = named.mapInArrow(_suspect_rows(shared, min_chars), f"doc_id {kind}, key binary")
     pairs = cut_lineage(found.distinct(), "line-suspects")
     repeated = pairs.groupBy("key").agg(F.count("*").alias("n"), F.max("doc_id").alias("keeper")).where(F.col("n") >= min_docs)
-    lost = pairs.join(repeated.select("key", "keeper"), "key").where("doc_id < keeper")
+    # written, so that the join reads both sides from plain shuffles and a line
+    # that very many documents hold can be split over tasks
+    repeated = cut_lineage(repeated.select("key", "keeper"), "line-keepers")
+    lost = pairs.join(repeated, "key").where("doc_id < keeper")
     return lost.groupBy("doc_id").agg(F.collect_list("key").alias("lost"))
 
 
@@ -120,25 +124,27 @@ def _without(text: pa.Array, lost: pa.Array, min_chars: pa.Array) -> pa.Array:
     )
 
 
-def cleaned_lines(docs: DataFrame, text: str = "text", min_docs: int = MIN_DOCS, min_chars: int = MIN_CHARS, max_filter_bytes: int = MAX_FILTER_BYTES, into: str = "_cleaned") -> DataFrame:
+def cleaned_lines(docs: DataFrame, into: str, text: str = "text", min_docs: int = MIN_DOCS, min_chars: int = MIN_CHARS, max_filter_bytes: int = MAX_FILTER_BYTES) -> DataFrame:
     """``docs`` with a column ``into``: struct (n_lines, n_dropped, text)."""
-    lost = lost_lines(docs, text, min_docs, min_chars, max_filter_bytes).select(F.col("doc_id").alias("_lost_id"), F.col("lost").alias("_lost"))
+    gone = fresh(docs, "lost")
+    lost = lost_lines(docs, text, min_docs, min_chars, max_filter_bytes).withColumnRenamed("lost", gone)
     without = F.arrow_udf(_without, "struct<n_lines:long,n_dropped:long,text:string>")
-    joined = docs.join(lost.hint("shuffle_hash"), docs["doc_id"] == F.col("_lost_id"), "left")
-    return joined.withColumn(into, without(docs[text], F.col("_lost"), F.lit(min_chars))).drop("_lost_id", "_lost")
+    joined = docs.join(lost.hint("shuffle_hash"), "doc_id", "left")
+    return joined.withColumn(into, without(F.col(text), F.col(gone), F.lit(min_chars))).select(*docs.columns, into)
 
 
 def drop_repeated_lines(docs: DataFrame, text: str = "text", **options) -> DataFrame:
     """``docs`` with the repeated lines gone from its texts; a text that is left
     without any line is empty. ``n_chars``, where there, is counted anew."""
-    out = cleaned_lines(docs, text, **options)
-    changed = {text: F.col("_cleaned.text")}
+    into = fresh(docs, "cleaned")
+    out = cleaned_lines(docs, into, text, **options)
+    changed = {text: F.col(f"{into}.text")}
     if "n_chars" in docs.columns:
-        changed["n_chars"] = F.length("_cleaned.text").cast(docs.schema["n_chars"].dataType)
+        changed["n_chars"] = F.length(f"{into}.text").cast(docs.schema["n_chars"].dataType)
     return out.withColumns(changed).select(*docs.columns)
 
 
 def dedup_lines(docs: DataFrame, **options) -> DataFrame:
     """(doc_id, n_lines, n_dropped, kept_sha256) per document row."""
-    out = cleaned_lines(docs.select("doc_id", "text"), **options)
-    return out.select("doc_id", "_cleaned.n_lines", "_cleaned.n_dropped", F.sha2(F.col("_cleaned.text").cast("binary"), 256).alias("kept_sha256"))
+    out = cleaned_lines(docs.select("doc_id", "text"), "cleaned", **options)
+    return out.select("doc_id", "cleaned.n_lines", "cleaned.n_dropped", F.sha2(F.col("cleaned.text").cast("binary"), 256).alias("kept_sha256"))

@@ -276,5 +276,5 @@ def near_duplicates(docs: DataFrame, text: str = "text", percent: int = PERCENT)
 def keep_one_of_each(docs: DataFrame, text: str = "text", percent: int = PERCENT) -> DataFrame:
     """``docs`` without the documents that another one of their group stands
     for; all columns stay. Rows without a doc_id stay."""
-    gone = near_duplicates(docs, text, percent).where("NOT kept").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone.hint("shuffle_hash"), docs["doc_id"] == F.col("_gone"), "left_anti")
+    gone = near_duplicates(docs, text, percent).where("NOT kept").select("doc_id").distinct()
+    return docs.join(gone.hint("shuffle_hash"), "doc_id", "left_anti").select(*docs.columns)

@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from driftlens.llm import textblock as tb
 from driftlens.llm.tables import LANGUAGES, held_out, labelled_sample, languages
 
-SAMPLE_ROWS = 10_000
+SAMPLE_ROWS = 8_000
 THRESHOLD = 0.5
 BUCKETS = 1 << 18
 WIDTHS = {1: 16, 2: 8, 3: 8}
@@ -224,7 +224,8 @@ def train_toxicity(docs: DataFrame, labels: DataFrame, target: str = "toxic", ro
     got = sample.select("doc_id", "label", encode("text").alias("e")).select("doc_id", "label", "e.*").limit(2 * rows).toPandas()
     got = got.sort_values("doc_id", kind="stable")
     texts = [np.frombuffer(w, np.int32).reshape(2, -1) for w in got["words"]]
-    return fit_conv(texts, got["label"].to_numpy(float), got["lang"].to_numpy())
+    y, lang = got["label"].to_numpy(float), got["lang"].to_numpy()
+    return fit_conv(texts, y, lang)
 
 
 def toxicity_score(text: str | Column, model: ConvModel) -> Column:
