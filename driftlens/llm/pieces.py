@@ -3,16 +3,16 @@
 The vocabulary is a BPE model with byte fallback. A sequence of pieces is what
 the model's merges give for its text exactly when every two neighbours are what
 the merges give for the text of the two; so among the paths through the lattice
-of pieces one and only one ends at each boundary. The encoder walks the text once
-and keeps, for a window of the longest piece, the last piece of the path to each
-boundary. Whenever the paths to all boundaries of the window go through one
-common boundary, the ids up to there are final and leave the window, so memory
-does not follow the text's length.
+of pieces one and only one survives at each boundary. The walk along a text keeps
+a window bounded by the longest piece: for each boundary in it, the last piece of
+the surviving path. Ids are committed up to the boundary where the paths to all
+of the window meet; two characters that no piece holds side by side are such a
+boundary for certain.
 
-No piece holds a space mark after another character, and characters outside the
-vocabulary are pieces of their own; such places are common boundaries known
-beforehand. What lies between two of them is encoded once and remembered, up to
-``REMEMBERED`` entries.
+``Encoder.stream`` walks one text of any length that way. ``Encoder.encode_all``
+walks many texts side by side: a step depends on the window alone, so windows are
+numbered and steps tabulated as they are met (see ``transducer.Transducer``), and
+backpointers are followed from all certain boundaries of a block at once.
 
 Null and empty texts have no ids; null ids decode to an empty text.
 """
@@ -20,17 +20,21 @@ Null and empty texts have no ids; null ids decode to an empty text.
 from __future__ import annotations
 
 import codecs
-import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from driftlens.llm.transducer import END, Transducer
+
 MARK = "▁"
-REMEMBERED = 600_000
 PIECE_MODEL = "piece_bpe_32k.model"
+MAX_FITS = 200_000
+BLOCK_CHARS = 1 << 19
+ROWS = 256  # texts of a batch that are worked on together
 
 
 class Vocabulary:
@@ -60,20 +64,14 @@ class Vocabulary:
         return cls([model.id_to_piece(i) for i in n], [model.get_score(i) for i in n], [kind(i) for i in n])
 
 
-class Encoder(dict):
-    """Maps a part of a text to its ids, as packed int32, and remembers it."""
-
+class Encoder:
     def __init__(self, vocabulary: Vocabulary):
-        super().__init__()
         self.v = vocabulary
         self._fits: dict[tuple[str, str], bool] = {}
         # every beginning of a piece, and whether it is one
         self._starts = {p[:k]: False for p in vocabulary.ids for k in range(1, len(p))}
         self._starts.update(dict.fromkeys(vocabulary.ids, True))
-        inner = any(MARK in p.lstrip(MARK) for p in vocabulary.ids)
-        line = "" if any("\n" in p for p in vocabulary.ids) else "\\n"
-        pattern = rf"{MARK}*[^{MARK}{line}]+|{MARK}+|\n"
-        self._parts = re.compile(r".+" if inner else pattern, re.S)
+        self._blocks: _Blocks | None = None
 
     def merged(self, text: str) -> list[str]:
         """What the model's merges give: the best pair first, the leftmost of
@@ -93,7 +91,7 @@ class Encoder(dict):
         """The merges leave these two neighbours as they are."""
         out = self._fits.get((left, right))
         if out is None:
-            if len(self._fits) > 4 * REMEMBERED:
+            if len(self._fits) > MAX_FITS:
                 self._fits.clear()
             out = self._fits[left, right] = self.merged(left + right) == [x for x in (left, right) if x]
         return out
@@ -150,28 +148,125 @@ class Encoder(dict):
             end -= len(last[end])
         return out[::-1]
 
-    def __missing__(self, part: str) -> bytes:
-        if len(self) > REMEMBERED:
-            self.clear()
-        out: list[int] = []
-        for piece in self.stream(part):
-            known = self.v.ids.get(piece)
-            if known is not None:
-                out.append(known)
-            elif self.v.byte_ids:
-                out.extend(self.v.byte_ids[x] for x in piece.encode())
-            else:
-                out.append(self.v.unknown)
-        packed = np.array(out, np.int32).tobytes()
-        if len(part) <= 64:
-            self[part] = packed
-        return packed
+    def ids_of(self, piece: str) -> list[int]:
+        known = self.v.ids.get(piece)
+        if known is not None:
+            return [known]
+        return [self.v.byte_ids[x] for x in piece.encode()] if self.v.byte_ids else [self.v.unknown]
+
+    def encode_stream(self, text: str) -> Iterator[int]:
+        """Ids of one text of any length, each as soon as it is final."""
+        if text:
+            for piece in self.stream(MARK + text.replace(" ", MARK)):
+                yield from self.ids_of(piece)
+
+    def encode_all(self, texts: list[str]) -> list[np.ndarray]:
+        if self._blocks is None:
+            self._blocks = _Blocks(self)
+        out, part, size = [], [], 0
+        for text in texts:
+            part.append(MARK + text.replace(" ", MARK) if text else "")
+            size += len(text)
+            if size >= BLOCK_CHARS:
+                out += self._blocks.encode(part)
+                part, size = [], 0
+        return out + (self._blocks.encode(part) if part else [])
 
     def encode(self, text: str) -> np.ndarray:
-        if not text:
-            return np.zeros(0, np.int32)
-        marked = MARK + text.replace(" ", MARK)
-        return np.frombuffer(b"".join(map(self.__getitem__, self._parts.findall(marked))), np.int32)
+        return self.encode_all([text])[0]
+
+
+class _Tokens:
+    """The pieces as byte tuples, each also with its last byte marked as the end
+    of a part: what ``Transducer`` asks of a model."""
+
+    def __init__(self, encoder: Encoder):
+        self.encoder = encoder
+        chars = {c for p in encoder.v.ids for c in p}
+        self.pieces = [*encoder.v.ids, *sorted(chars - set(encoder.v.ids))]
+        plain = [tuple(p.encode()) for p in self.pieces]
+        self.tokens = plain + [(*t[:-1], t[-1] + END) for t in plain]
+
+    def stays(self, left: int, right: int) -> bool:
+        n = len(self.pieces)
+        return self.encoder.fits(self.pieces[left % n] if left >= 0 else "", self.pieces[right % n])
+
+
+_NARROW = 0x250  # characters below have a row of their own in the table of pairs
+
+
+class _Blocks:
+    """Encodes blocks of texts with a transducer over their bytes."""
+
+    def __init__(self, encoder: Encoder):
+        self.encoder = encoder
+        model = _Tokens(encoder)
+        self.machine = Transducer(model)
+        ids = [encoder.ids_of(p) for p in model.pieces] * 2
+        self.single = np.array([x[0] if len(x) == 1 else -1 for x in ids], np.int32)
+        self.several = {i: x for i, x in enumerate(ids) if len(x) > 1}
+        self.width = np.array([len(t) for t in model.tokens], np.int64)
+        self.known = np.zeros(0x110000, bool)
+        self.known[[ord(c) for p in model.pieces for c in p]] = True
+        self.row = np.full(0x110000, _NARROW + 1, np.int16)
+        self.row[:_NARROW] = np.arange(_NARROW)
+        self.row[ord(MARK)] = _NARROW
+        side = np.zeros((_NARROW + 2, _NARROW + 2), bool)
+        wide = set()
+        for p in encoder.v.ids:
+            for a, b in zip(p, p[1:]):
+                side[self.row[ord(a)], self.row[ord(b)]] = True
+                wide.add(ord(a) << 21 | ord(b))
+        self.side_by_side, self.pairs = side, np.array(sorted(wide), np.int64)
+        byte = [encoder.v.byte_ids.get(x, -1) for x in range(256)]
+        self.byte = np.array(byte, np.int32)
+
+    def encode(self, texts: list[str]) -> list[np.ndarray]:
+        joined = "".join(texts)
+        if not joined:
+            return [np.zeros(0, np.int32) for _ in texts]
+        points = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+        n = len(points)
+        known, row = self.known[points], self.row[points]
+        starts = np.ones(n + 1, bool)
+        held = self.side_by_side[row[:-1], row[1:]]
+        far = np.flatnonzero(held & ((row[:-1] > _NARROW) | (row[1:] > _NARROW)))
+        if len(far):
+            keys = points[far] << 21 | points[far + 1]
+            held[far] = self.pairs[np.minimum(np.searchsorted(self.pairs, keys), len(self.pairs) - 1)] == keys
+        starts[1:n] = ~(held & known[:-1] & known[1:])
+        bounds = np.concatenate([[0], np.cumsum([len(t) for t in texts])])
+        starts[bounds] = True
+        raw = np.frombuffer(joined.encode("utf-8", "surrogatepass"), np.uint8)
+        size = 1 + (points >= 0x80).astype(np.int64) + (points >= 0x800) + (points >= 0x10000)
+        edge = np.concatenate([[0], np.cumsum(size)])  # first byte of each character
+        final = np.zeros(len(raw), bool)
+        final[edge[1:] - 1] = starts[1:]
+        place = np.flatnonzero(np.repeat(known, size))  # bytes that the transducer reads
+        out = np.full(len(raw), -1, np.int32)
+        if len(place):
+            last = final[place]
+            _, token = self.machine.run(raw[place].astype(np.int32) + END * last)
+            at = np.flatnonzero(last)
+            begin = np.concatenate([[0], at[:-1] + 1])
+            while len(at):  # backpointers, from the ends of all parts at once
+                t = token[at]
+                out[place[at]] = self.single[t]
+                if self.several:
+                    for i in np.flatnonzero(self.single[t] < 0):
+                        ids = self.several[int(t[i])]
+                        out[place[at[i]] - len(ids) + 1 : place[at[i]] + 1] = ids
+                at = at - self.width[t]
+                more = at >= begin
+                at, begin = at[more], begin[more]
+        strange = np.repeat(~known, size)
+        if self.encoder.v.byte_ids:
+            out[strange] = self.byte[raw[strange]]
+        else:
+            out[edge[1:][~known] - 1] = self.encoder.v.unknown
+        kept = out >= 0
+        count = np.concatenate([[0], np.cumsum(kept)])[edge[bounds]]
+        return np.split(out[kept], count[1:-1])
 
 
 codecs.register_error("each_byte", lambda e: ("\ufffd", e.start + 1))
@@ -180,14 +275,26 @@ codecs.register_error("each_byte", lambda e: ("\ufffd", e.start + 1))
 class Decoder:
     def __init__(self, vocabulary: Vocabulary):
         plain = {"byte": lambda p: bytes([int(p[3:5], 16)]), "control": lambda _: b"", "unknown": lambda _: " \u2047 ".encode()}
-        self.bytes = [plain.get(k, lambda p: p.replace(MARK, " ").encode())(p) for p, k in zip(vocabulary.pieces, vocabulary.kinds, strict=True)]
-        self.marked = [k == "normal" and p.startswith(MARK) for p, k in zip(vocabulary.pieces, vocabulary.kinds, strict=True)]
+        parts = [plain.get(k, lambda p: p.replace(MARK, " ").encode())(p) for p, k in zip(vocabulary.pieces, vocabulary.kinds, strict=True)]
+        self.bytes = np.frombuffer(b"".join(parts), np.uint8)
+        self.size = np.array([len(x) for x in parts], np.int64)
+        self.at = np.cumsum(self.size) - self.size
+        # the space that the encoder put before the text
+        self.marked = np.array([k == "normal" and p.startswith(MARK) for p, k in zip(vocabulary.pieces, vocabulary.kinds, strict=True)])
+
+    def decode_all(self, ids: np.ndarray, bounds: np.ndarray) -> list[bytes]:
+        """Bytes of the texts with the ids ``ids[bounds[i]:bounds[i + 1]]``."""
+        size, at = self.size[ids], self.at[ids]
+        first = bounds[:-1][bounds[:-1] < bounds[1:]]
+        first = first[self.marked[ids[first]]]
+        size[first] -= 1
+        at[first] += 1
+        end = np.concatenate([[0], np.cumsum(size)])
+        flat = self.bytes[np.repeat(at - end[:-1], size) + np.arange(end[-1])].tobytes()
+        return [flat[i:j] for i, j in zip(end[bounds[:-1]], end[bounds[1:]], strict=True)]
 
     def decode(self, ids: list[int]) -> str:
-        out = b"".join(map(self.bytes.__getitem__, ids))
-        if ids and self.marked[ids[0]]:
-            out = out[1:]
-        return out.decode(errors="each_byte")
+        return self.decode_all(np.array(ids, np.int64), np.array([0, len(ids)]))[0].decode(errors="each_byte")
 
 
 _HELD: dict = {}
@@ -213,9 +320,12 @@ def encode_text(text: str | Column, shared) -> Column:
     @F.arrow_udf("array<int>")
     def run(column: pa.Array) -> pa.Array:
         encoder = _held(shared, Encoder)
-        parts = [encoder.encode(t) for t in (x.as_py() or "" for x in column)]
-        at = np.concatenate([[0], np.cumsum([len(p) for p in parts])]).astype(np.int32)
-        return pa.ListArray.from_arrays(pa.array(at), pa.array(np.concatenate(parts or [np.zeros(0, np.int32)])))
+        lists = []
+        for k in range(0, len(column), ROWS):
+            parts = encoder.encode_all([t or "" for t in column.slice(k, ROWS).to_pylist()])
+            at = np.concatenate([[0], np.cumsum([len(p) for p in parts])]).astype(np.int32)
+            lists.append(pa.ListArray.from_arrays(pa.array(at), pa.array(np.concatenate(parts))))
+        return pa.concat_arrays(lists) if lists else pa.array([], pa.list_(pa.int32()))
 
     return run(text)
 
@@ -226,7 +336,13 @@ def decode_ids(ids: str | Column, shared) -> Column:
     @F.arrow_udf("string")
     def run(column: pa.Array) -> pa.Array:
         decoder = _held(shared, Decoder)
-        return pa.array([decoder.decode(x.as_py() or []) for x in column], pa.string())
+        out = []
+        for k in range(0, len(column), ROWS):
+            part = column.slice(k, ROWS).fill_null([])
+            bounds = np.concatenate([[0], np.cumsum(pa.compute.list_value_length(part).to_numpy(zero_copy_only=False))]).astype(np.int64)
+            texts = decoder.decode_all(part.flatten().to_numpy(zero_copy_only=False).astype(np.int64), bounds)
+            out += [t.decode(errors="each_byte") for t in texts]
+        return pa.array(out, pa.string())
 
     return run(ids)
 

@@ -34,10 +34,10 @@ WORD_MODEL = "word_bpe_49k.json"
 LIMIT = 2048
 CHUNK = 192
 BLOCK_CHARS = 1 << 20
-MAX_STATES = 120_000
-MAX_FITS = 300_000
+MAX_STATES = 200_000
+MAX_FITS = 250_000
 _UNKNOWN, _START = 0, 1
-_END = 256  # symbol of a byte that ends a word: byte + _END
+END = 256  # symbol of a byte that ends a word: byte + END
 
 # The endings that the word pattern splits after an apostrophe.
 ENDINGS = ["s", "t", "re", "ve", "m", "ll", "d"]
@@ -52,12 +52,12 @@ def byte_letters() -> dict[str, int]:
 
 
 class WordModel:
-    """Merges of a byte-level BPE vocabulary with word ends, on symbol tuples."""
+    """A byte-level BPE vocabulary with word ends: tokens are tuples of symbols."""
 
     def __init__(self, merges: list[tuple[tuple[int, ...], tuple[int, ...]]], special: list[str]):
         self.rank = {pair: i for i, pair in reversed(list(enumerate(merges)))}
         self.special = special
-        self.tokens = {(s,) for s in range(2 * _END)} | {a + b for a, b in merges}
+        self.tokens = list(dict.fromkeys([(s,) for s in range(2 * END)] + [a + b for a, b in merges]))
 
     @classmethod
     def read(cls, path: str) -> WordModel:
@@ -68,7 +68,7 @@ class WordModel:
         def symbols(token: str) -> tuple[int, ...]:
             if token.endswith(suffix):
                 token = token[: -len(suffix)]
-                return (*(letters[c] for c in token[:-1]), letters[token[-1]] + _END)
+                return (*(letters[c] for c in token[:-1]), letters[token[-1]] + END)
             return tuple(letters[c] for c in token)
 
         merges = [m if isinstance(m, list) else m.split(" ") for m in spec["model"]["merges"]]
@@ -84,98 +84,148 @@ class WordModel:
             i = ranks.index(best)
             parts = [*parts[:i], parts[i] + parts[i + 1], *parts[i + 2 :]]
 
+    def stays(self, left: int, right: int) -> bool:
+        """The merges leave these two tokens as they are; a left of -1 is none."""
+        pair = [self.tokens[t] for t in (left, right) if t >= 0]
+        return self.merged([(s,) for t in pair for s in t]) == pair
+
+
+class _Table:
+    """Compiled transitions by (state, symbol), in arrays with open addressing:
+    states use few of the symbols, so a full grid would be nearly empty."""
+
+    def __init__(self, bits: int = 16):
+        self.bits, self.used = bits, 0
+        self.keys = np.full(1 << bits, -1, np.int64)
+        self.next, self.token = np.zeros(1 << bits, np.int32), np.zeros(1 << bits, np.int32)
+        self.change = np.zeros(1 << bits, np.int8)
+
+    def _first(self, keys: np.ndarray) -> np.ndarray:
+        return (keys.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """Slot of each key, -1 where there is none."""
+        slot = self._first(keys)
+        there = self.keys[slot]
+        open_ = np.flatnonzero((there != keys) & (there >= 0))
+        slot[there < 0] = -1
+        while len(open_):
+            probe = (slot[open_] + 1) & ((1 << self.bits) - 1)
+            there = self.keys[probe]
+            slot[open_] = np.where(there < 0, -1, probe)
+            open_ = open_[(there != keys[open_]) & (there >= 0)]
+        return slot
+
+    def add(self, keys: np.ndarray, values: np.ndarray) -> None:
+        """Puts new, distinct keys with rows (next, change, token)."""
+        if 2 * (self.used + len(keys)) > len(self.keys):
+            old, full = self, np.flatnonzero(self.keys >= 0)
+            grown = _Table(max(self.bits + 1, int(2 * (self.used + len(keys))).bit_length()))
+            grown.add(old.keys[full], np.stack([old.next[full], old.change[full], old.token[full]], axis=1))
+            self.__dict__ = grown.__dict__
+        self.used += len(keys)
+        slot, wait = self._first(keys), np.arange(len(keys))
+        while len(wait):
+            at = slot[wait]
+            free = np.flatnonzero(self.keys[at] < 0)
+            _, one = np.unique(at[free], return_index=True)
+            placed = free[one]
+            rows = wait[placed]
+            self.keys[slot[rows]] = keys[rows]
+            self.next[slot[rows]], self.change[slot[rows]], self.token[slot[rows]] = values[rows].T
+            wait = np.delete(wait, placed)
+            slot[wait] = (slot[wait] + 1) & ((1 << self.bits) - 1)
 
-class Transducer:
-    """Transitions as two tables (next state, change of the count), one column
-    per symbol met so far. -1 marks transitions that are not compiled yet."""
 
-    def __init__(self, model: WordModel):
-        self.model = model
-        self._fits: dict[tuple, bool] = {}
-        self._continues = {t[:k] for t in model.tokens for k in range(1, len(t))}
+class Transducer:
+    """Transitions (next state, change of the count, token that ends here),
+    compiled when first met. A state lists, for each place where a token under
+    way began, (node of the part read, token before, tokens before)."""
+
+    def __init__(self, model, max_states: int = MAX_STATES):
+        self.model, self.max_states = model, max_states
+        self._fits: dict[int, bool] = {}
+        # a trie of the tokens: node << 10 | symbol -> node
+        self._child: dict[int, int] = {}
+        self._token: dict[int, int] = {}
+        self._inner: set[int] = set()
+        for number, symbols in enumerate(model.tokens):
+            node = 0
+            for s in symbols:
+                self._inner.add(node)
+                node = self._child.setdefault(node << 10 | s, len(self._child) + 1)
+            self._token[node] = number
         self._clear()
 
     def _clear(self) -> None:
         self._number: dict[tuple, int] = {}
-        self._states: list[tuple] = [(), (((), (), 0),)]  # unknown; start of a word
+        self._states: list[tuple] = [(), ((0, -1, 0),)]  # unknown; start of a word
         self._number[self._states[_START]] = _START
-        self.column = np.full(2 * _END, -1, np.int32)
-        self.next = np.full((1024, 32), -1, np.int32)
-        self.change = np.zeros((1024, 32), np.int8)
-
-    def fits(self, left: tuple, right: tuple) -> bool:
-        out = self._fits.get((left, right))
-        if out is None:
-            if len(self._fits) > MAX_FITS:
-                self._fits.clear()
-            out = self._fits[left, right] = self.model.merged([(s,) for s in left + right]) == [x for x in (left, right) if x]
-        return out
+        self.table = _Table()
 
-    def _compile(self, state: int, symbol: int) -> tuple[int, int]:
+    def _compile(self, state: int, symbol: int) -> tuple[int, int, int]:
         if state == _UNKNOWN:
-            return (_START if symbol >= _END else _UNKNOWN), 0
-        token, before, kept = None, 0, []
+            return (_START if symbol >= END else _UNKNOWN), 0, -1
+        token, before, kept = -1, 0, []
         for under_way, left, count in self._states[state]:
-            part = (*under_way, symbol)
-            if token is None and part in self.model.tokens and self.fits(left, part):
-                token, before = part, count
-            if part in self._continues:
-                kept.append((part, left, count))
-        total = before + 1
-        if symbol >= _END:
-            return _START, total
-        content = (*((part, left, count - total) for part, left, count in kept), ((), token, 0))
+            node = self._child.get(under_way << 10 | symbol)
+            if node is None:
+                continue
+            ended = self._token.get(node, -1)
+            if token < 0 <= ended:
+                key = left << 32 | ended
+                good = self._fits.get(key)
+                if good is None:
+                    if len(self._fits) > MAX_FITS:
+                        self._fits.clear()
+                    good = self._fits[key] = self.model.stays(left, ended)
+                if good:
+                    token, before = ended, count
+            if node in self._inner:
+                kept.append((node, left, count))
+        total = before + 1 if token >= 0 else 0
+        if symbol >= END:
+            return _START, total, token
+        content = [(node, left, count - total) for node, left, count in kept]
+        if token >= 0:
+            content.append((0, token, 0))
+        content = tuple(content)
         number = self._number.get(content)
         if number is None:
             number = self._number[content] = len(self._states)
             self._states.append(content)
-        return number, total
-
-    def _grow(self, symbols: np.ndarray) -> None:
-        new = np.unique(symbols[self.column[symbols] < 0])
-        if len(new):
-            used = int(self.column.max()) + 1
-            self.column[new] = np.arange(used, used + len(new))
-        wide = int(self.column.max()) + 1 - self.next.shape[1]
-        if wide > 0:
-            wide = max(wide, 32)
-            self.next = np.pad(self.next, ((0, 0), (0, wide)), constant_values=-1)
-            self.change = np.pad(self.change, ((0, 0), (0, wide)))
-
-    def step(self, states: np.ndarray, symbols: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """States after one symbol each, and the changes of the counts."""
-        columns = self.column[symbols]
-        after = self.next[states, columns]
-        missing = np.flatnonzero(after < 0)
+        return number, total, token
+
+    def step(self, states: np.ndarray, symbols: np.ndarray) -> np.ndarray:
+        """Slots of the transitions from each state by its symbol."""
+        keys = states.astype(np.int64) << 10 | symbols
+        slot = self.table.find(keys)
+        missing = np.flatnonzero(slot < 0)
         if len(missing):
-            for key in np.unique(states[missing].astype(np.int64) * 1024 + symbols[missing]).tolist():
-                state, symbol = divmod(key, 1024)
-                to, change = self._compile(state, symbol)
-                if len(self._states) > len(self.next):
-                    self.next = np.pad(self.next, ((0, len(self.next)), (0, 0)), constant_values=-1)
-                    self.change = np.pad(self.change, ((0, len(self.change)), (0, 0)))
-                self.next[state, self.column[symbol]], self.change[state, self.column[symbol]] = to, change
-            after = self.next[states, columns]
-        return after, self.change[states, columns]
-
-    def changes(self, symbols: np.ndarray) -> np.ndarray:
-        """The change of the count at each symbol of a stream of whole words."""
-        if len(self._states) > MAX_STATES:
+            new = np.unique(keys[missing])
+            self.table.add(new, np.array([self._compile(k >> 10, k & 1023) for k in new.tolist()], np.int64))
+            slot = self.table.find(keys)
+        return slot
+
+    def run(self, symbols: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(change of the count, token that ends or -1) at each symbol of a stream
+        of whole words."""
+        if len(self._states) > self.max_states:
             self._clear()
-        self._grow(np.unique(symbols))
         n = len(symbols)
         chunks = -(-n // CHUNK)
-        grid = np.full(chunks * CHUNK, _END, np.int32)  # padding: one-byte words
-        if self.column[_END] < 0:
-            self._grow(np.array([_END]))
+        grid = np.full(chunks * CHUNK, END, np.int32)  # padding: one-byte words
         grid[:n] = symbols
+        flat = grid
         grid = np.ascontiguousarray(grid.reshape(chunks, CHUNK).T)
         out = np.zeros((CHUNK, chunks), np.int8)
+        ends_here = np.empty((CHUNK, chunks), np.int32)
         # every chunk from the unknown state: the constant part of its map
         state = np.full(chunks, _UNKNOWN, np.int32)
         for k in range(CHUNK):
-            state, out[k] = self.step(state, grid[k])
-        ends = grid >= _END
+            slot = self.step(state, grid[k])
+            state, out[k], ends_here[k] = self.table.next[slot], self.table.change[slot], self.table.token[slot]
+        ends = grid >= END
         resets = ends.any(axis=0)
         head = np.where(resets, ends.argmax(axis=0) + 1, CHUNK)
         # scan: a chunk with a word end hands on its own last state; one without
@@ -191,15 +241,16 @@ class Transducer:
             while c < chunks and not resets[c]:
                 c += 1
             length[i] = (c - first[i]) * CHUNK + (head[c] if c < chunks else 0)
-        flat_symbols, flat_out = grid.T.reshape(-1), np.ascontiguousarray(out.T).reshape(-1)
+        changes, tokens = (np.ascontiguousarray(x.T).reshape(-1) for x in (out, ends_here))
         k = 0
         live = np.flatnonzero(length > 0)
         while len(live):
             spots = at[live] + k
-            state_in[live], flat_out[spots] = self.step(state_in[live], flat_symbols[spots])
+            slot = self.step(state_in[live], flat[spots])
+            state_in[live], changes[spots], tokens[spots] = self.table.next[slot], self.table.change[slot], self.table.token[slot]
             k += 1
             live = live[length[live] > k]
-        return flat_out[:n]
+        return changes[:n], tokens[:n]
 
 
 # -- words -------------------------------------------------------------------
@@ -259,7 +310,7 @@ def word_symbols(text: str) -> tuple[np.ndarray, np.ndarray]:
     final = np.zeros(len(raw), bool)
     final[np.cumsum(size) - 1] = last
     keep = kind[owner] != _GAP
-    return raw[keep].astype(np.int32) + _END * final[keep], owner[keep]
+    return raw[keep].astype(np.int32) + END * final[keep], owner[keep]
 
 
 class Counter:
@@ -293,7 +344,7 @@ class Counter:
         symbols, place = word_symbols("\n".join(group))
         if len(symbols):
             bounds = np.concatenate([[0], np.cumsum([len(g) + 1 for g in group])])
-            total = np.concatenate([[0], np.cumsum(self.machine.changes(symbols), dtype=np.int64)])
+            total = np.concatenate([[0], np.cumsum(self.machine.run(symbols)[0], dtype=np.int64)])
             cut = np.searchsorted(place, bounds)
             np.add.at(out, owners, total[cut[1:]] - total[cut[:-1]])
 
