@@ -14,9 +14,9 @@ bucket keys.
 3. Candidates whose signatures agree on too few bins (five standard deviations
    below the threshold) are dropped; the others are confirmed on the full sets.
 4. Members of one bucket that the confirmed edges did not bring together are
-   compared once more by signature, in blocks of a fixed size and only across
-   components; what passes is confirmed on the full sets too. So a bucket's
-   choice of its centre loses no link.
+   compared once more, in blocks of a fixed size and only across components, by
+   signature and then on the full sets where they lie; only links leave the
+   tasks. So a bucket's choice of its centre loses no link.
 
 At similarity 0.75 a pair shares none of the 32 bands of 4 bins with a
 probability of 5e-6.
@@ -153,11 +153,11 @@ def _set_rows(shared):
     return run
 
 
-def _full_sets(docs: DataFrame, pairs: DataFrame, text: str) -> DataFrame:
-    """(doc_id, n, shingles) of the documents that ``pairs`` name. Whole texts
-    are read again where they lie; a filter of a fixed size keeps the sets of
-    other documents from moving."""
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+def _full_sets(docs: DataFrame, wanted: DataFrame, text: str) -> DataFrame:
+    """(doc_id, n, shingles) of the ``wanted`` documents. Whole texts are read
+    again where they lie; a filter of a fixed size keeps the sets of other
+    documents from moving."""
+    wanted = wanted.distinct()
     hashes = cut_lineage(wanted.select(F.xxhash64("doc_id").alias("h")).mapInArrow(_id_hashes, ROW_SCHEMA), "pair-ids")
     n = hashes.agg(F.sum("n")).first()[0] or 0
     shared = docs.sparkSession.sparkContext.broadcast(build_filter(hashes, n, 16, FILTER_BYTES, repeated=False))
@@ -185,64 +185,93 @@ def _plausible(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
 def _confirmed(docs: DataFrame, pairs: DataFrame, text: str, percent: int) -> DataFrame:
     """The pairs whose full sets reach the similarity."""
     overlap = F.arrow_udf(_overlap, "long")
-    both = _with_sides(pairs, _full_sets(docs, pairs, text), "n", "shingles")
+    named = pairs.select(F.explode(F.array("a", "b")).alias("doc_id"))
+    both = _with_sides(pairs, _full_sets(docs, named, text), "n", "shingles")
     both = both.select("a", "b", "a_n", "b_n", overlap("a_shingles", "b_shingles").alias("common"))
     return both.where(F.col("common") * 100 >= (F.col("a_n") + F.col("b_n") - F.col("common")) * percent).select("a", "b")
 
 
-def _across(percent: int, kind: pa.DataType):
-    """Pairs inside a group (bucket, lo, hi) of different components that sizes
-    and signatures allow. Groups arrive whole and sorted; each has about two
-    blocks of rows at most."""
-    def pairs_of(rows: list[tuple]) -> list[tuple]:
-        node, comp, n, own, low = zip(*rows, strict=True)
-        comp, own, n = np.unique(comp, return_inverse=True)[1], np.array(own), np.array(n)
-        sig = np.frombuffer(b"".join(low), np.uint16).reshape(-1, BINS)
-        split = len(set(own.tolist())) > 1
-        found = []
-        for i in range(len(node) - 1):
-            near = (sig[i + 1 :] == sig[i]).mean(axis=1) >= AGREEMENT
-            near &= comp[i + 1 :] != comp[i]
-            near &= np.minimum(n[i + 1 :], n[i]) * 100 >= np.maximum(n[i + 1 :], n[i]) * percent
-            if split:  # pairs of one block are compared in its own group
-                near &= own[i + 1 :] != own[i]
-            found += [(min(node[i], node[k]), max(node[i], node[k])) for k in np.flatnonzero(near) + i + 1]
-        return found
+def _shared_counts(one: np.ndarray, others: list[np.ndarray]) -> np.ndarray:
+    """Size of the intersection of a sorted set with each of others."""
+    flat = np.concatenate(others)
+    at = np.minimum(np.searchsorted(one, flat), len(one) - 1)
+    bounds = np.concatenate([[0], np.cumsum([len(o) for o in others])])
+    return tb.segment_counts(one[at] == flat, bounds)
+
+
+def _links_across(rows: list[tuple], bucket: int, percent: int) -> list[tuple]:
+    """Links between members of different components in one group of rows
+    (doc_id, component, own block, low, buckets, shingles). A pair that shares
+    several buckets is left to the first; signatures choose the pairs to verify
+    on the full sets, and what a link joins is one component from then on."""
+    node, comp, own, low, keys, sets = zip(*rows, strict=True)
+    comp, own = np.unique(comp, return_inverse=True)[1], np.array(own)
+    sig = np.frombuffer(b"".join(low), np.uint16).reshape(-1, BINS)
+    keys = np.array(keys, np.int64)
+    sets = [np.frombuffer(x, np.uint64) for x in sets]
+    n = np.array([len(x) for x in sets])
+    split, band = len(set(own.tolist())) > 1, int(np.flatnonzero(keys[0] == bucket)[0])
+    found = []
+    for i in range(len(node) - 1):
+        rest = np.flatnonzero(comp[i + 1 :] != comp[i]) + i + 1
+        if split:  # pairs of one block are compared in its own group
+            rest = rest[own[rest] != own[i]]
+        rest = rest[np.minimum(n[rest], n[i]) * 100 >= np.maximum(n[rest], n[i]) * percent]
+        rest = rest[(sig[rest] == sig[i]).mean(axis=1) >= AGREEMENT]
+        rest = rest[(keys[rest] == keys[i]).argmax(axis=1) == band]
+        if len(rest):
+            common = _shared_counts(sets[i], [sets[k] for k in rest])
+            for k in rest[common * 100 >= (n[rest] + n[i] - common) * percent]:
+                if comp[k] != comp[i]:
+                    found.append((min(node[i], node[k]), max(node[i], node[k])))
+                    comp[comp == comp[k]] = comp[i]
+    return found
+
 
+def _across(percent: int, kind: pa.DataType):
+    """Links inside each group (bucket, lo, hi). Groups arrive whole and sorted;
+    each has about two blocks of rows at most."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, rows = None, []
 
         def flush():
-            found = pairs_of(rows) if len(rows) > 1 else []
+            found = _links_across(rows, key[0], percent) if len(rows) > 1 else []
             return pa.RecordBatch.from_arrays([pa.array([p[0] for p in found], kind), pa.array([p[1] for p in found], kind)], ["a", "b"])
 
         for batch in batches:
-            for *now, node, comp, n, own, low in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for *now, node, comp, own, low, keys, shingles in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if now != key:
                     yield flush()
                     key, rows = now, []
-                rows.append((node, comp, n, own, low))
+                rows.append((node, comp, own, low, keys, shingles))
         yield flush()
 
     return run
 
 
-def _left_apart(crowded: DataFrame, nodes: DataFrame, components: DataFrame, percent: int) -> DataFrame:
-    """Plausible pairs of bucket mates that are in different components, the
-    bucket's centre aside (its pairs were all tested)."""
-    spark_type = nodes.schema["doc_id"].dataType
+def _left_apart(crowded: DataFrame, nodes: DataFrame, components: DataFrame) -> DataFrame:
+    """(bucket, doc_id, component, blocks): bucket mates in different components,
+    the bucket's centre aside (its pairs were all tested)."""
     comp = components.select(F.col("node").alias("doc_id"), "component")
     rest = crowded.where("doc_id != centre AND m > 2").join(comp, "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
+    rest = cut_lineage(rest, "near-mates")
     mixed = rest.groupBy("bucket").agg(F.min("component").alias("_lo"), F.max("component").alias("_hi"), F.count("*").alias("_m")).where("_lo < _hi")
-    rest = rest.join(mixed, "bucket").select("bucket", "doc_id", "component", F.ceil(F.col("_m") / BLOCK).alias("blocks"))
-    rest = rest.join(nodes.select("doc_id", "n", "low"), "doc_id")
-    rest = rest.withColumn("own", F.pmod(F.xxhash64("doc_id"), "blocks")).withColumn("other", F.explode(F.expr("sequence(0L, blocks - 1)")))
-    rest = rest.select("bucket", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "doc_id", "component", "n", "own", "low")
+    mixed = cut_lineage(mixed.select("bucket", F.ceil(F.col("_m") / BLOCK).alias("blocks")), "near-mixed")
+    return rest.join(mixed, "bucket").select("bucket", "doc_id", "component", "blocks")
+
+
+def _linked_mates(docs: DataFrame, apart: DataFrame, nodes: DataFrame, text: str, percent: int) -> DataFrame:
+    """Links between the mates that were left apart."""
     from pyspark.sql.pandas.types import to_arrow_type
 
-    groups = rest.repartition("bucket", "lo", "hi").sortWithinPartitions("bucket", "lo", "hi")
-    kind = spark_type.simpleString()
-    return groups.mapInArrow(_across(percent, to_arrow_type(spark_type)), f"a {kind}, b {kind}").distinct()
+    kind = docs.schema["doc_id"].dataType
+    sets = _full_sets(docs, apart.select("doc_id"), text).select("doc_id", "shingles")
+    rows = apart.join(nodes.select("doc_id", "low", "buckets"), "doc_id").join(sets, "doc_id")
+    rows = rows.withColumn("own", F.pmod(F.xxhash64("doc_id"), "blocks")).withColumn("other", F.explode(F.expr("sequence(0L, blocks - 1)")))
+    rows = rows.select("bucket", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "doc_id", "component", "own", "low", "buckets", "shingles")
+    groups = rows.repartition("bucket", "lo", "hi").sortWithinPartitions("bucket", "lo", "hi")
+    name = kind.simpleString()
+    return groups.mapInArrow(_across(percent, to_arrow_type(kind)), f"a {name}, b {name}")
 
 
 def near_duplicates(docs: DataFrame, text: str = "text", percent: int = PERCENT) -> DataFrame:
@@ -262,9 +291,9 @@ def near_duplicates(docs: DataFrame, text: str = "text", percent: int = PERCENT)
     star = cut_lineage(_plausible(star, nodes, percent), "near-stars")
     links = cut_lineage(_confirmed(docs, star, text, percent), "near-links")
     components = connected_components(links, "a", "b")
-    apart = cut_lineage(_left_apart(crowded, nodes, components, percent).join(star, ["a", "b"], "left_anti"), "near-apart")
+    apart = cut_lineage(_left_apart(crowded, nodes, components), "near-apart")
     if not apart.isEmpty():
-        more = cut_lineage(_confirmed(docs, apart, text, percent), "near-links")
+        more = cut_lineage(_linked_mates(docs, apart, nodes, text, percent), "near-links")
         components = connected_components(links.union(more), "a", "b")
     named_sets = nodes.select("set_id", F.col("doc_id").alias("node")).join(components, "node", "left")
     named_sets = named_sets.select("set_id", F.coalesce("component", "node").alias("component_id"))

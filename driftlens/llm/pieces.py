@@ -285,7 +285,10 @@ class Decoder:
     def decode_all(self, ids: np.ndarray, bounds: np.ndarray) -> list[bytes]:
         """Bytes of the texts with the ids ``ids[bounds[i]:bounds[i + 1]]``."""
         size, at = self.size[ids], self.at[ids]
-        first = bounds[:-1][bounds[:-1] < bounds[1:]]
+        some = bounds[:-1] < bounds[1:]
+        first, last = bounds[:-1][some].copy(), bounds[1:][some] - 1
+        while (silent := (size[first] == 0) & (first < last)).any():
+            first[silent] += 1
         first = first[self.marked[ids[first]]]
         size[first] -= 1
         at[first] += 1
