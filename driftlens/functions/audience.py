@@ -36,15 +36,15 @@ def read_gazetteer(spark: SparkSession, path: str) -> DataFrame:
     return places.unionByName(names).dropDuplicates(["alias", "is_city"])
 
 
-def infer_region(accounts: DataFrame, gazetteer: DataFrame, keep: str = "a-z&", location: str = "location_text",
-                 max_words: int = 8) -> DataFrame:
+def infer_region(accounts: DataFrame, gazetteer: DataFrame, keep: str = "a-z&", location: str = "location_text") -> DataFrame:
     """``accounts`` plus ``region``: whole-word gazetteer match on the location.
 
     Cities beat states, longer aliases beat shorter ones. The match is an equi
     join of word n-grams with the alias, on distinct locations, so a location
-    shared by a third of all accounts is resolved once. ``max_words`` is the
-    longest alias in words.
+    shared by a third of all accounts is resolved once. Phrases are as
+    long as the gazetteer's longest alias.
     """
+    max_words = gazetteer.agg(F.max(F.size(F.split(F.trim("alias"), " +")))).first()[0] or 1
     locations = accounts.select(location).where(F.col(location).isNotNull()).distinct()
     cleaned = F.trim(F.regexp_replace(F.lower(F.col(location)), f"[^{keep}]+", " "))
     words = F.split(cleaned, " ")

@@ -4,11 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from driftlens.operators.links import hash_embed
 
@@ -26,43 +22,30 @@ def embed(texts: DataFrame, key: str, engine: str = "hashing") -> DataFrame:
     return _EMBEDDERS[engine](texts, key)
 
 
-def register_functions(spark: SparkSession) -> None:
-    """SQL: burstiness(gap) and gap_entropy(gap) as aggregates over a column of
-    gaps, kleinberg_bursts(TABLE(ts in seconds)) as a table function."""
-
-    @F.pandas_udf(T.DoubleType())
-    def burstiness(gap: pd.Series) -> float:
-        g = gap.dropna().to_numpy(dtype=float)
-        if len(g) < 2:
-            return 0.0
-        mean, sd = g.mean(), g.std()
-        return float((sd - mean) / (sd + mean)) if sd + mean > 0 else 0.0
-
-    @F.pandas_udf(T.DoubleType())
-    def gap_entropy(gap: pd.Series) -> float:
-        g = gap.dropna().to_numpy(dtype=float)
-        if len(g) < 2:
-            return 1.0
-        position = np.floor(12 * np.log10(np.clip(g, 1.0, 86400.0)) / np.log10(86400.0))
-        share = np.bincount(np.minimum(position, 11).astype(int), minlength=12) / len(g)
-        share = share[share > 0]
-        return float(-(share * np.log2(share)).sum() / np.log2(12))
-
-    @F.udtf(returnType="start_s double, end_s double, level int, weight double")
-    class KleinbergBursts:
-        """Bursts of one partition of event times; needs no ordering."""
+BINS = 12
+DAY_S = 86_400
+_SQL = {
+    # how regular gaps are, from aggregates that combine map-side
+    "burstiness": (
+        "n BIGINT, mean DOUBLE, sd DOUBLE", "DOUBLE",
+        "CASE WHEN n < 2 OR sd + mean <= 0 THEN 0.0D ELSE (sd - mean) / (sd + mean) END",
+    ),
+    "gap_bin": (
+        "gap DOUBLE", "INT",
+        f"least(CAST(floor({BINS} * log10(least(greatest(gap, 1.0D), {DAY_S}.0D)) / log10({DAY_S}.0D)) AS INT), {BINS - 1})",
+    ),
+    "gap_entropy": (
+        "counts ARRAY<BIGINT>", "DOUBLE",
+        "CASE WHEN aggregate(counts, 0L, (a, c) -> a + c) < 2 THEN 1.0D ELSE aggregate(filter(counts, c -> c > 0), 0.0D,"
+        " (a, c) -> a - c / aggregate(counts, 0L, (x, y) -> x + y) * log2(c / aggregate(counts, 0L, (x, y) -> x + y)))"
+        f" / log2({BINS}.0D) END",
+    ),
+}
 
-        def __init__(self):
-            self.times = set()
 
-        def eval(self, row):
-            self.times.add(float(row[0]))
-
-        def terminate(self):
-            from driftlens.operators.bursts import burst_runs
-
-            yield from burst_runs(np.array(sorted(self.times)))
-
-    spark.udf.register("burstiness", burstiness)
-    spark.udf.register("gap_entropy", gap_entropy)
-    spark.udtf.register("kleinberg_bursts", KleinbergBursts)
+def register_functions(spark: SparkSession) -> None:
+    """SQL functions over built-in aggregates: ``burstiness(count(gap), avg(gap),
+    stddev_pop(gap))``, ``gap_bin(gap)``, and ``gap_entropy(counts)`` over the
+    number of gaps in each bin. No group is ever gathered for them."""
+    for name, (arguments, kind, body) in _SQL.items():
+        spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {name}({arguments}) RETURNS {kind} RETURN {body}")

@@ -81,7 +81,7 @@ def collapse_repeats(text: Column) -> Column:
 
 def phonetic_key(token: Column) -> Column:
     squeezed = collapse_repeats(F.lower(token))
-    tail = F.regexp_replace(F.substring(squeezed, 2, 1_000_000), "[aeiou]", "")
+    tail = F.regexp_replace(F.right(squeezed, F.length(squeezed) - 1), "[aeiou]", "")
     return F.when(token == "", token).otherwise(F.concat(F.lower(F.substring(token, 1, 1)), tail))
 
 
@@ -239,7 +239,7 @@ def label_from_text(text: Column, max_words: int = 7) -> Column:
     def capitalised(s: Column) -> Column:
         shouting = (F.upper(s) == s) & (F.lower(s) != s)
         cased = F.when(shouting, F.initcap(F.lower(s))).otherwise(s)
-        return bind(cased, lambda c: F.concat(F.upper(F.substring(c, 1, 1)), F.substring(c, 2, 1_000_000)))
+        return bind(cased, lambda c: F.concat(F.upper(F.substring(c, 1, 1)), F.right(c, F.length(c) - 1)))
 
     return bind(bind(parts, lambda p: without_prefix(longest(p))), finish)
 

@@ -22,34 +22,45 @@ def best_burst_per_topic(bursts: DataFrame, min_level: int = 1) -> DataFrame:
     ).select("topic_id", "b.*")
 
 
-def burst_membership(bursts: DataFrame, posts: DataFrame, assign: DataFrame) -> DataFrame:
-    """Posts of burst topics plus the burst and ``inside``. Equi join on the
-    topic; the time range is a residual condition, so it never becomes a
-    nested loop."""
-    d = with_topic(posts, assign).join(bursts, "topic_id")
-    return d.withColumn("inside", (F.col("created_at") >= F.col("start")) & (F.col("created_at") <= F.col("end")))
+SLOT_SECONDS = 21_600
+
+
+def _slot(moment: str | Column) -> Column:
+    return F.floor(F.unix_seconds(moment) / SLOT_SECONDS)
+
+
+def inside_bursts(bursts: DataFrame, posts: DataFrame) -> DataFrame:
+    """Posts (with a topic_id) that lie inside a burst of their topic, with the
+    burst. A burst is listed under each time slot that it touches and a post
+    under its own, so a post meets only the bursts around it; the exact range is
+    a residual condition."""
+    slots = bursts.withColumn("_slot", F.explode(F.sequence(_slot("start"), _slot("end"))))
+    d = posts.withColumn("_slot", _slot("created_at")).join(slots, ["topic_id", "_slot"])
+    return d.where((F.col("created_at") >= F.col("start")) & (F.col("created_at") <= F.col("end"))).drop("_slot")
 
 
 def burst_window_stats(bursts: DataFrame, posts: DataFrame, assign: DataFrame, emotions: DataFrame,
                        flagged: DataFrame) -> DataFrame:
     """Per burst: posts, coordinated share, accounts, anxiety shift against the
     topic's posts outside the window (0 without any), platforms."""
-    d = organic_flag(with_emotions(burst_membership(bursts, posts, assign), emotions), flagged)
-    inside = F.col("inside")
+    d = organic_flag(with_emotions(with_topic(posts, assign), emotions), flagged)
     keys = ["topic_id", "start", "end", "level", "weight"]
-    stats = d.groupBy(*keys).agg(
-        F.count_if(inside).alias("n_posts"),
-        F.count_if(inside & F.col("is_coordinated")).alias("_coord"),
-        F.countDistinct(F.when(inside, F.col("author_id"))).alias("n_accounts"),
-        F.avg(F.when(inside, F.col("anxiety"))).alias("_in"),
-        F.avg(F.when(~inside, F.col("anxiety"))).alias("_out"),
-        F.sort_array(F.collect_set(F.when(inside, F.col("platform")))).alias("platforms"),
+    inside = inside_bursts(bursts, d).groupBy(*keys).agg(
+        F.count("*").alias("n_posts"),
+        F.count_if("is_coordinated").alias("_coord"),
+        F.countDistinct("author_id").alias("n_accounts"),
+        F.sum("anxiety").alias("_sum"), F.count("anxiety").alias("_n"),
+        F.sort_array(F.collect_set("platform")).alias("platforms"),
     )
-    anxious = F.coalesce("_in", F.lit(0.0))
+    # outside a burst is all of the topic less what is inside
+    whole = d.groupBy("topic_id").agg(F.sum("anxiety").alias("_all_sum"), F.count("anxiety").alias("_all_n"))
+    stats = bursts.select(*keys).join(whole, "topic_id").join(inside, keys, "left").fillna(0, ["n_posts", "_coord", "n_accounts", "_n"]).fillna(0.0, ["_sum"])
+    anxious = F.coalesce(F.try_divide("_sum", "_n"), F.lit(0.0))
+    out = F.try_divide(F.coalesce("_all_sum", F.lit(0.0)) - F.col("_sum"), F.col("_all_n") - F.col("_n"))
     return stats.select(
         *keys, "n_posts", "n_accounts",
         F.coalesce(F.try_divide("_coord", "n_posts"), F.lit(0.0)).alias("coordinated_share"),
-        (anxious - F.coalesce("_out", anxious)).alias("anxiety_shift"), "platforms",
+        (anxious - F.coalesce(out, anxious)).alias("anxiety_shift"), F.coalesce("platforms", F.array().cast("array<string>")).alias("platforms"),
     )
 
 

@@ -54,7 +54,9 @@ def undirected(graph: DataFrame) -> DataFrame:
 
 def pagerank(graph: DataFrame, damping: float = 0.85, rounds: int = 100, tolerance: float = 1e-6) -> DataFrame:
     """(account_id, pagerank), weighted; mass of accounts without outgoing edges
-    is spread evenly. Stops when the total change is below n * tolerance.
+    is spread evenly. Stops when the total change is below n * tolerance; a
+    tolerance of 0 asks for exactly ``rounds`` rounds. Raises when the rounds do
+    not reach the tolerance.
 
     Edge shares are computed once and stay partitioned by source; each round is
     one join, one pre-combined aggregate and one scalar.
@@ -82,6 +84,9 @@ def pagerank(graph: DataFrame, damping: float = 0.85, rounds: int = 100, toleran
         ranks = new.drop("_old")
         if change < n * tolerance:
             break
+    else:
+        if tolerance > 0:
+            raise RuntimeError("pagerank did not converge; raise rounds")
     return ranks.select("account_id", "pagerank")
 
 
@@ -135,8 +140,7 @@ def interactors(graph: DataFrame, account_id: str) -> DataFrame:
     return first.union(second).distinct().where(F.col("who") != account_id).select(F.col("who").alias("account_id"))
 
 
-def sampled_betweenness(graph: DataFrame, pivots: int = 200, seed: int = 7, directed: bool = True,
-                        max_depth: int = 60) -> DataFrame:
+def sampled_betweenness(graph: DataFrame, pivots: int = 200, seed: int = 7, directed: bool = True) -> DataFrame:
     """(account_id, betweenness) from shortest paths of ``pivots`` sources.
 
     Breadth-first levels are joins on a (pivot, node) frame; dependencies flow
@@ -156,7 +160,7 @@ def sampled_betweenness(graph: DataFrame, pivots: int = 200, seed: int = 7, dire
                                          F.lit(1.0).alias("paths")), "level")
     levels = [frontier]
     seen = frontier.select("pivot", "node")
-    for _ in range(max_depth):
+    while True:
         step = frontier.join(e, frontier["node"] == e["src"]).groupBy("pivot", F.col("dst").alias("node")).agg(
             F.sum("paths").alias("paths")
         )
@@ -510,7 +514,7 @@ def account_detail(account_id: str, posts: DataFrame, accounts: DataFrame, edges
     return result
 
 
-def thread(posts: DataFrame, platform: str, post_id: str, max_depth: int = 100) -> DataFrame:
+def thread(posts: DataFrame, platform: str, post_id: str) -> DataFrame:
     """Posts reachable from a root over reply and repost links, with ``depth``.
 
     One frontier join per level; a level is written before the next, and each
@@ -521,7 +525,9 @@ def thread(posts: DataFrame, platform: str, post_id: str, max_depth: int = 100)
     root = posts.where((F.col("platform") == platform) & (F.col("post_id") == post_id)).select("post_id").distinct()
     frontier = cut_lineage(root.withColumn("depth", F.lit(0)), "thread")
     reached = frontier
-    for depth in range(1, max_depth + 1):
+    depth = 0
+    while True:
+        depth += 1
         step = links.join(frontier.select(F.col("post_id").alias("up")), "up").select(F.col("child").alias("post_id")).distinct()
         frontier = cut_lineage(
             step.join(reached.select("post_id"), "post_id", "left_anti").withColumn("depth", F.lit(depth)), "thread"

@@ -215,7 +215,7 @@ def audit_events(actions: DataFrame, first_seq: int, last_hash: str = fixed.GENE
     at = F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX")
     detail = F.coalesce("detail", F.lit("{}"))
     quoted = [F.to_json(F.struct(F.col(c).alias("v"))) for c in ("action", "actor")]
-    plain = [F.substring(q, 6, 1_000_000) for q in quoted]  # drops {"v": and keeps value plus the closing brace
+    plain = [F.right(q, F.length(q) - 5) for q in quoted]  # drops {"v": and keeps value plus the closing brace
     value = [F.left(p, F.length(p) - 1) for p in plain]
     payload = F.concat(F.lit('{"action":'), value[0], F.lit(',"actor":'), value[1], F.lit(',"detail":'), detail,
                        F.lit(',"ts":"'), at, F.lit('","type":"audit"}'))

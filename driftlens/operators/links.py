@@ -1,23 +1,21 @@
 """Linking: connected components, near-duplicate groups, similar pairs.
 
-Scale notes. A group of near copies may hold a third of all rows, so nothing
-here emits all pairs of a group. Equal texts collapse first; near copies are
-linked to a group leader (a star), never to each other; components then join
-the stars.
+Scale notes. A group of near copies may hold a third of all rows, so grouping
+never emits all pairs of a group. Equal vectors collapse first; the others are
+compared block by block on the executors, each task emits a spanning forest of
+what it sees, and components join the forests. Results are exact at every size;
+comparisons grow with the square of the distinct vectors of a scope.
 """
 
 from __future__ import annotations
 
-import math
-
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from driftlens.functions import fixed
 from driftlens.functions import text as tx
-from driftlens.functions.numeric import dot
 from driftlens.session import cut_lineage
 
 
@@ -100,186 +98,131 @@ def hash_embed(texts: DataFrame, key: str, text: str = "text", dims: int = 384)
 
 
 # -- similar pairs and near-duplicate groups ---------------------------------
-EXACT_LIMIT = 20_000  # vectors a task may hold: 20,000 x 384 x 4 bytes = 31 MB
+BLOCK = 2048  # vectors of one side of a comparison: 2,048 x 384 x 4 bytes = 3 MB
 
 
-def similar_pairs(vecs: DataFrame, min_sim: float = fixed.DUPLICATE_SIMILARITY, key: str = "key",
-                  exact_limit: int = EXACT_LIMIT) -> DataFrame:
-    """(a, b, similarity), a < b, for vectors with cosine >= ``min_sim``.
+def _compared(vecs: DataFrame, node: str, within: list[str], compare, schema: str) -> DataFrame:
+    """``compare(nodes, unit vectors, own block numbers or None)`` for every pair
+    of blocks with equal ``within``; its results as rows of ``schema``.
 
-    Exact while the number of vectors is at most ``exact_limit``: that many are
-    collected once, broadcast, and each partition multiplies its own rows with
-    them. Past the limit the pairs are the verified links of
-    :func:`near_groups`, a spanning set of every group instead of all pairs.
+    Vectors are dealt into blocks of about BLOCK by a hash. Each goes to the
+    groups of its block with every other block, so each two vectors meet in
+    exactly one group, and a task holds two blocks at most, whatever the number
+    of vectors or their distribution. Nothing is gathered or shared.
     """
-    if vecs.limit(exact_limit + 1).count() > exact_limit:
-        return _leader_links(vecs, min_sim, key).select(
-            F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b"), "similarity"
-        ).distinct()
-    names, unit, _ = _collect_unit(vecs, key, [])
-    shared = vecs.sparkSession.sparkContext.broadcast((names, unit))
-
-    def scan(batches):
-        all_names, all_unit = shared.value
-        for pdf in batches:
-            if pdf.empty:
-                continue
-            mine = _unit_rows(pdf["vector"])
-            sims = mine @ all_unit.T
-            left = pdf[key].to_numpy()
-            i, j = np.nonzero(sims >= min_sim)
-            keep = left[i] < all_names[j]
-            yield pd.DataFrame({"a": left[i][keep], "b": all_names[j][keep],
-                                "similarity": sims[i, j][keep].astype("float64")})
-
-    kind = vecs.schema[key].dataType.simpleString()
-    return vecs.select(key, "vector").mapInPandas(scan, f"a {kind}, b {kind}, similarity double")
+    scope = [F.col(w).cast("string") for w in within]
+    tagged = vecs.select(F.col(node).alias("n"), F.concat_ws("\u0001", F.lit(""), *scope).alias("scope"), F.col("vector").cast("array<float>").alias("v"))
+    sizes = tagged.groupBy("scope").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
+    d = tagged.join(sizes, "scope").withColumn("own", F.pmod(F.xxhash64("n"), "blocks"))
+    d = d.withColumn("other", F.explode(F.expr("sequence(0L, blocks - 1)")))
+    d = d.select("scope", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "n", "own", "v")
+    groups = d.repartition("scope", "lo", "hi").sortWithinPartitions("scope", "lo", "hi")
+    names = [f.split()[0] for f in schema.split(", ")]
+    types = [{"string": pa.string(), "double": pa.float64(), "bigint": pa.int64(), "int": pa.int32()}[f.split()[1]] for f in schema.split(", ")]
+
+    def run(batches):
+        key, parts = None, []
+
+        def flush():
+            if not parts:
+                return
+            whole = pa.Table.from_batches(parts).combine_chunks()
+            nodes = whole["n"].to_pandas().to_numpy()
+            unit = _unit_rows(whole["v"])
+            own = whole["own"].to_numpy()
+            found = compare(nodes, unit, own if key[1] != key[2] else None)
+            yield pa.RecordBatch.from_arrays([pa.array(x, type=t) for x, t in zip(found, types, strict=True)], names)
+
+        for batch in batches:
+            keys = list(zip(*(batch.column(c).to_pylist() for c in range(3)), strict=True))
+            at = 0
+            while at < len(keys):
+                to = at
+                while to < len(keys) and keys[to] == keys[at]:
+                    to += 1
+                if keys[at] != key:
+                    yield from flush()
+                    key, parts = keys[at], []
+                parts.append(batch.slice(at, to - at))
+                at = to
+        yield from flush()
+
+    return groups.mapInArrow(run, schema)
 
 
 def _unit_rows(vectors) -> np.ndarray:
-    m = np.asarray([np.asarray(v, dtype=np.float64) for v in vectors])
+    """Rows of unit length; a zero vector stays zero."""
+    if isinstance(vectors, pa.ChunkedArray):
+        flat = vectors.combine_chunks()
+        m = flat.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(flat), -1)
+    else:
+        m = np.asarray([np.asarray(v, dtype=np.float64) for v in vectors])
     n = np.linalg.norm(m, axis=1, keepdims=True)
     return m / np.where(n == 0, 1.0, n)
 
 
-def _collect_unit(vecs: DataFrame, key: str, within: list[str]):
-    """Driver copy of a set whose size was checked by the caller."""
-    pdf = vecs.select(key, "vector", *within).orderBy(key).toPandas()
-    scope = pdf[within].astype(str).agg("|".join, axis=1).to_numpy() if within else None
-    unit = _unit_rows(pdf["vector"]) if len(pdf) else np.zeros((0, 1))
-    return pdf[key].to_numpy(), unit, scope
+def similar_pairs(vecs: DataFrame, min_sim: float = fixed.DUPLICATE_SIMILARITY, key: str = "key") -> DataFrame:
+    """(a, b, similarity), a < b, for vectors with cosine >= ``min_sim``. Exact
+    at every size; work grows with the square of the number of vectors."""
+    def pairs(nodes, unit, own):
+        i, j = _near(unit, own, min_sim)
+        sims = np.einsum("ij,ij->i", unit[i], unit[j])
+        swap = nodes[i] > nodes[j]
+        i, j = np.where(swap, j, i), np.where(swap, i, j)
+        differ = nodes[i] != nodes[j]
+        return nodes[i][differ], nodes[j][differ], sims[differ]
+
+    kind = vecs.schema[key].dataType.simpleString()
+    return _compared(vecs, key, [], pairs, f"a {kind}, b {kind}, similarity double")
+
+
+def _near(unit: np.ndarray, own: np.ndarray | None, min_sim: float) -> tuple[np.ndarray, np.ndarray]:
+    """Positions of the near pairs: of all rows, or of rows of different blocks."""
+    if own is None:
+        i, j = np.nonzero(unit @ unit.T >= min_sim)
+        return i[i < j], j[i < j]
+    left, right = np.flatnonzero(own == own.min()), np.flatnonzero(own != own.min())
+    i, j = np.nonzero(unit[left] @ unit[right].T >= min_sim)
+    return left[i], right[j]
 
 
 def near_groups(vecs: DataFrame, min_sim: float = fixed.DUPLICATE_SIMILARITY, key: str = "key",
-                within: list[str] | None = None, exact_limit: int = EXACT_LIMIT) -> DataFrame:
+                within: list[str] | None = None) -> DataFrame:
     """(key, group[, within]): groups of vectors connected by cosine >= min_sim.
 
     ``within`` restricts links to equal values of those columns (for example a
-    time window); ``key`` must then be unique per (within, key). At most
-    ``exact_limit`` vectors: exact, each task emits a spanning forest of what it
-    sees, never the pairs. More: locality-sensitive leader rounds
-    (:func:`_leader_links`), whose links are verified but whose recall is below
-    one for pairs near the threshold.
+    time window); ``key`` must then be unique per (within, key). Equal vectors
+    collapse first. Exact at every size: blocks are compared with blocks, and a
+    task emits a spanning forest of its blocks, never the pairs.
     """
     within = within or []
     node = F.concat_ws("\u0001", *[F.col(w).cast("string") for w in within], F.col(key).cast("string"))
-    tagged = vecs.withColumn("_node", node)
-    if vecs.limit(exact_limit + 1).count() <= exact_limit:
-        links = _forest_links(tagged, min_sim, within)
-    else:
-        links = _leader_links(tagged, min_sim, "_node", within)
-    links = links.select("src", "dst")
-    components = connected_components(links).withColumnRenamed("node", "_node")
-    out = tagged.select(key, *within, "_node").join(components, "_node", "left")
-    return out.select(key, *within, F.coalesce("component", "_node").alias("group"))
-
-
-def _forest_links(tagged: DataFrame, min_sim: float, within: list[str]) -> DataFrame:
-    names, unit, scope = _collect_unit(tagged, "_node", within)
-    shared = tagged.sparkSession.sparkContext.broadcast((names, unit, scope))
-
-    def scan(batches):
-        all_names, all_unit, all_scope = shared.value
-        position = {n: i for i, n in enumerate(all_names)}
-        parent = np.arange(len(all_names))
-
-        def find(x):
-            while parent[x] != x:
-                parent[x] = parent[parent[x]]
-                x = parent[x]
-            return x
-
-        for pdf in batches:
-            if pdf.empty:
-                continue
-            rows = np.array([position[n] for n in pdf["_node"]])
-            groups = [(None, rows)] if all_scope is None else [
-                (s, rows[all_scope[rows] == s]) for s in np.unique(all_scope[rows])
-            ]
-            for s, mine in groups:
-                others = np.arange(len(all_names)) if s is None else np.nonzero(all_scope == s)[0]
-                for start in range(0, len(mine), 512):
-                    block = mine[start:start + 512]
-                    near = all_unit[block] @ all_unit[others].T >= min_sim
-                    for r, i in enumerate(block):
-                        for j in others[near[r]]:
-                            a, b = find(i), find(j)
-                            if a != b:
-                                parent[max(a, b)] = min(a, b)
-        linked = np.nonzero(parent != np.arange(len(parent)))[0]
-        if len(linked):
-            yield pd.DataFrame({"src": all_names[linked], "dst": all_names[parent[linked]]})
-
-    return tagged.select("_node").mapInPandas(scan, "src string, dst string")
-
-
-def _leader_links(tagged: DataFrame, min_sim: float, node: str, within: list[str] | None = None,
-                  bands: int = 12, seed: int = 7) -> DataFrame:
-    """(src, dst, similarity) verified links from hyperplane buckets.
-
-    One round per band: every bucket of the vectors still alive names its
-    smallest member leader, members with cosine >= ``min_sim`` to the leader are
-    linked to it and leave. The next round buckets what is left, the leaders
-    among it, by fresh hyperplanes. A bucket of near copies empties at once
-    whatever its size, and a round costs one comparison per vector alive, so
-    the work is linear. Leaders stand for those they absorbed: links that exist
-    only between absorbed members are not looked for.
-    """
-    within = within or []
-    spark = tagged.sparkSession
-    agree = 1.0 - math.acos(min(1.0, max(-1.0, min_sim))) / math.pi
-    width = max(2, min(40, int(math.log(0.35) / math.log(agree)))) if agree < 1 else 40
-    first = tagged.select("vector").first()
-    if first is None:
-        kind = tagged.schema[node].dataType.simpleString()
-        return spark.createDataFrame([], f"src {kind}, dst {kind}, similarity double")
-    dims = len(first["vector"])
-    planes = np.random.default_rng(seed).standard_normal((bands, width, dims)).astype(np.float32)
-    planes = planes - planes.mean(axis=2, keepdims=True)  # counts are positive: drop the common direction
-    shared = spark.sparkContext.broadcast(planes)
-
-    def sign(batches):
-        p = shared.value.reshape(bands * width, dims)
-        weights = 1 << np.arange(width, dtype=np.int64)
-        for pdf in batches:
-            if pdf.empty:
-                continue
-            unit = _unit_rows(pdf["vector"]).astype(np.float32)
-            codes = ((unit @ p.T >= 0).reshape(len(unit), bands, width) * weights).sum(axis=2).astype(np.int64)
-            out = pdf.drop(columns=["vector"])
-            out["codes"], out["unit"] = list(codes), list(unit)
-            yield out
-
-    scope = "".join(f", {w} {tagged.schema[w].dataType.simpleString()}" for w in within)
-    kind = tagged.schema[node].dataType.simpleString()
-    alive = cut_lineage(tagged.select(F.col(node).alias("n"), "vector", *within).mapInPandas(
-        sign, f"n {kind}{scope}, codes array<bigint>, unit array<float>"
-    ), "alive")
-    links = []
-    for band in range(bands):
-        bucket = [*within, "code"]
-        keyed = alive.withColumn("code", F.get("codes", F.lit(band)))
-        heads = keyed.groupBy(*bucket).agg(F.min("n").alias("leader"), F.max("n").alias("_hi")).where("leader != _hi").drop("_hi")
-        heads = cut_lineage(heads, "heads")
-        chosen = alive.join(heads.select(F.col("leader").alias("n")).distinct(), "n", "left_semi").select(
-            F.col("n").alias("leader"), F.col("unit").alias("_lead")
-        )
-        pairs = keyed.join(heads, bucket).where("n != leader").join(chosen, "leader")
-        good = cut_lineage(
-            pairs.select(F.col("n").alias("src"), F.col("leader").alias("dst"), dot(F.col("unit"), F.col("_lead")).alias("similarity"))
-            .where(F.col("similarity") >= min_sim), "linked",
-        )
-        links.append(good)
-        if good.limit(1).count():
-            alive = cut_lineage(alive.join(good.select(F.col("src").alias("n")), "n", "left_anti"), "alive")
-    out = links[0]
-    for more in links[1:]:
-        out = out.unionByName(more)
-    return out
-
-
-def text_groups(posts: DataFrame, min_sim: float | None = None, embedder=None,
-                exact_limit: int = EXACT_LIMIT) -> DataFrame:
+    tagged = cut_lineage(vecs.select(key, *within, "vector", node.alias("_node"), F.sha2(F.col("vector").cast("string"), 256).alias("_same")), "vectors")
+    heads = tagged.groupBy(*within, "_same").agg(F.min("_node").alias("_head"))
+    named = cut_lineage(tagged.join(heads, [*within, "_same"]), "heads")
+
+    def forest(nodes, unit, own):
+        comp = np.arange(len(nodes))
+        src, dst = [], []
+        i, j = _near(unit, own, min_sim)
+        bounds = np.concatenate([[0], np.flatnonzero(np.diff(i)) + 1, [len(i)]]) if len(i) else []
+        for lo, hi in zip(bounds[:-1], bounds[1:], strict=True):
+            one = i[lo]
+            apart = j[lo:hi][comp[j[lo:hi]] != comp[one]]
+            _, first = np.unique(comp[apart], return_index=True)
+            for k in apart[first]:  # one link to each component reached
+                src.append(nodes[one])
+                dst.append(nodes[k])
+            comp[np.isin(comp, comp[apart])] = comp[one]
+        return src, dst
+
+    links = _compared(named.where("_node = _head"), "_node", within, forest, "src string, dst string")
+    components = connected_components(links).withColumnRenamed("node", "_head")
+    out = named.select(key, *within, "_head").join(components, "_head", "left")
+    return out.select(key, *within, F.coalesce("component", "_head").alias("group"))
+
+
+def text_groups(posts: DataFrame, min_sim: float | None = None, embedder=None) -> DataFrame:
     """(text_key, text_group) of posts' texts.
 
     Equal normalised texts share a key. Without ``min_sim`` the key is the
@@ -293,5 +236,5 @@ def text_groups(posts: DataFrame, min_sim: float | None = None, embedder=None,
         return unique.select("text_key", F.col("text_key").alias("text_group"))
     embed = embedder or (lambda d: hash_embed(d, "text_key"))
     vecs = cut_lineage(embed(unique), "vectors")
-    groups = near_groups(vecs, min_sim, key="text_key", exact_limit=exact_limit)
+    groups = near_groups(vecs, min_sim, key="text_key")
     return groups.select("text_key", F.col("group").alias("text_group"))

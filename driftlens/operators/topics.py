@@ -11,7 +11,7 @@ from driftlens.functions import text as tx
 from driftlens.functions.numeric import cosine
 from driftlens.functions.sequence import top_n_per_group
 from driftlens.operators.filters import POST_KEY
-from driftlens.operators.links import EXACT_LIMIT, hash_embed, near_groups
+from driftlens.operators.links import hash_embed, near_groups
 from driftlens.session import cut_lineage
 
 MIN_POSTS = 15
@@ -47,8 +47,7 @@ def window_number(posts: DataFrame, hours: int = 24) -> DataFrame:
 
 
 def window_clusters(posts: DataFrame, vecs: DataFrame, *, window_hours: int = 24, distance: float = 0.35,
-                    min_posts: int = MIN_POSTS, text_key: str = "topic_key",
-                    exact_limit: int = EXACT_LIMIT) -> DataFrame:
+                    min_posts: int = MIN_POSTS, text_key: str = "topic_key") -> DataFrame:
     """(platform, post_id, window, cluster, text_key): clusters per time window.
 
     Distinct texts of a window at cosine >= 1 - distance are connected (single
@@ -60,7 +59,7 @@ def window_clusters(posts: DataFrame, vecs: DataFrame, *, window_hours: int = 24
     sizes = d.groupBy("window").agg(F.count("*").alias("n")).where(F.col("n") >= min_posts).select("window")
     d = cut_lineage(d.join(sizes, "window"), "windowed")
     unique = d.select("window", text_key).distinct().join(vecs, text_key)
-    groups = near_groups(unique, 1.0 - distance, key=text_key, within=["window"], exact_limit=exact_limit)
+    groups = near_groups(unique, 1.0 - distance, key=text_key, within=["window"])
     members = d.join(groups.select("window", text_key, F.col("group").alias("cluster")), ["window", text_key])
     big = members.groupBy("cluster").agg(F.count("*").alias("n")).where(F.col("n") >= min_posts).select("cluster")
     return members.join(big, "cluster").select(*POST_KEY, "created_at", "window", "cluster", text_key)
@@ -162,8 +161,8 @@ def _match_by_window(spark, rows: DataFrame, tau: float) -> tuple[DataFrame, Dat
                 topics.select(F.concat(F.lit("t"), F.col("topic_id").cast("string")).alias("key"), "vector")
             )
             pairs = similar_pairs(pool, tau).where(F.col("a").startswith("c") & F.col("b").startswith("t"))
-            best = pairs.where(F.col("similarity") > tau).groupBy(F.substring("a", 2, 1_000_000).alias("cluster")).agg(
-                F.max_by(F.substring("b", 2, 1_000_000).cast("bigint"), "similarity").alias("topic_id")
+            best = pairs.where(F.col("similarity") > tau).groupBy(F.right(F.col("a"), F.length(F.col("a")) - 1).alias("cluster")).agg(
+                F.max_by(F.right(F.col("b"), F.length(F.col("b")) - 1).cast("bigint"), "similarity").alias("topic_id")
             )
             matched = now.select("window", "cluster", "vector", "n").join(best, "cluster", "left")
         fresh = matched.where("topic_id IS NULL").select("cluster").orderBy("cluster").coalesce(1)
@@ -210,8 +209,7 @@ def topic_label(members: DataFrame, keywords: DataFrame, cluster: str = "cluster
 
 
 def run_topics(posts: DataFrame, *, window_hours: int = 24, distance: float = 0.35, tau_assign: float = 0.55,
-               tau_match: float = 0.80, min_posts: int = MIN_POSTS, embedder=None,
-               exact_limit: int = EXACT_LIMIT) -> tuple[DataFrame, DataFrame]:
+               tau_match: float = 0.80, min_posts: int = MIN_POSTS, embedder=None) -> tuple[DataFrame, DataFrame]:
     """(topics, topic_assign) over the whole range. Topic ids follow the order
     of (window, smallest member), so a rerun gives the same ids."""
     written = posts.where(F.col("text") != "")
@@ -221,8 +219,7 @@ def run_topics(posts: DataFrame, *, window_hours: int = 24, distance: float = 0.
     unique = cut_lineage(unique.withColumn("text", tx.topic_text(F.col("text"))), "texts")
     embed = embedder or (lambda d: hash_embed(d, "topic_key"))
     vecs = cut_lineage(embed(unique), "vectors")
-    members = window_clusters(keyed, vecs, window_hours=window_hours, distance=distance, min_posts=min_posts,
-                              exact_limit=exact_limit)
+    members = window_clusters(keyed, vecs, window_hours=window_hours, distance=distance, min_posts=min_posts)
     kept = cut_lineage(assign_posts(members, vecs, tau=tau_assign, min_posts=min_posts), "assigned")
     texts = kept.groupBy("window", "cluster", "topic_key").agg(F.count("*").alias("w"), F.max("prob").alias("prob"))
     bounds = kept.groupBy("window", "cluster").agg(F.min("created_at").alias("first_seen"), F.max("created_at").alias("last_seen"))

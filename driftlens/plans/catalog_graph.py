@@ -172,4 +172,4 @@ def _(v: Views):
      "walk(post_id, depth)": "SELECT post_id, 0 FROM v_core WHERE post_id = '0' UNION SELECT child, depth + 1 FROM walk JOIN up ON up.up = walk.post_id"}, recursive=True))
 def _(v: Views):
     first = v.posts_core.where("post_id = '0'").select("platform").first()["platform"]
-    return gr.thread(v.posts_core, first, "0", max_depth=2000).select("platform", "post_id", "depth")
+    return gr.thread(v.posts_core, first, "0").select("platform", "post_id", "depth")

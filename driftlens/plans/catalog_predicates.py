@@ -156,8 +156,11 @@ def _(v: Views):
     SELECT topic_id, {sql_ts('start_ts')} AS start_ts, count(*) FILTER (created_at BETWEEN start_ts AND end_ts) AS inside, count(*) FILTER (NOT created_at BETWEEN start_ts AND end_ts) AS outside
     FROM v_core JOIN v_assign USING (platform, post_id) JOIN v_bursts USING (topic_id) GROUP BY 1, 2"""))
 def _(v: Views):
-    d = al.burst_membership(v.day_bursts, v.posts_core, v.assign)
-    return d.groupBy("topic_id", ts("start").alias("start_ts")).agg(F.count_if("inside").alias("inside"), F.count_if(~F.col("inside")).alias("outside"))
+    posts = tl.with_topic(v.posts_core, v.assign)
+    inside = al.inside_bursts(v.day_bursts, posts).groupBy("topic_id", "start").agg(F.count("*").alias("inside"))
+    whole = posts.groupBy("topic_id").agg(F.count("*").alias("_all"))
+    d = v.day_bursts.select("topic_id", "start").join(whole, "topic_id").join(inside, ["topic_id", "start"], "left").fillna(0, ["inside"])
+    return d.select("topic_id", ts("start").alias("start_ts"), "inside", (F.col("_all") - F.col("inside")).alias("outside"))
 
 
 @query("j12_posts_records", with_views(["v_core", "v_assign", "v_hashed"], """

@@ -111,7 +111,21 @@ def _(v: Views):
 def _(v: Views):
     registry.register_functions(v.spark)
     gp.inter_post_gaps(v.posts_core, ["platform", "author_id"]).createOrReplaceTempView("post_gaps")
-    return v.spark.sql("SELECT platform, author_id, round(burstiness(gap_s), 6) AS burstiness FROM post_gaps GROUP BY platform, author_id")
+    return v.spark.sql("""SELECT platform, author_id, burstiness(count(gap_s), avg(gap_s), stddev_pop(gap_s)) AS burstiness
+        FROM post_gaps GROUP BY platform, author_id""").withColumn("burstiness", r6("burstiness"))
+
+
+@query("p04_gap_entropy", with_views(["v_gaps"], """
+    WITH b AS (SELECT platform, author_id, least(floor(12 * log10(least(greatest(gap_s, 1.0), 86400.0)) / log10(86400.0)), 11) AS bin FROM v_gaps WHERE gap_s IS NOT NULL),
+    c AS (SELECT platform, author_id, bin, count(*) AS n FROM b GROUP BY ALL), t AS (SELECT platform, author_id, sum(n) AS total FROM c GROUP BY ALL)
+    SELECT c.platform, c.author_id, round(CASE WHEN any_value(total) < 2 THEN 1.0 ELSE -sum(n / total * log2(n / total)) / log2(12) END, 6) AS gap_entropy
+    FROM c JOIN t ON c.platform = t.platform AND c.author_id = t.author_id GROUP BY c.platform, c.author_id"""))
+def _(v: Views):
+    registry.register_functions(v.spark)
+    gp.inter_post_gaps(v.posts_core, ["platform", "author_id"]).createOrReplaceTempView("post_gaps")
+    return v.spark.sql("""SELECT platform, author_id, gap_entropy(collect_list(n)) AS gap_entropy FROM (
+        SELECT platform, author_id, gap_bin(gap_s) AS bin, count(*) AS n FROM post_gaps WHERE gap_s IS NOT NULL GROUP BY ALL)
+        GROUP BY platform, author_id""").withColumn("gap_entropy", r6("gap_entropy"))
 
 
 @query("p02_embed")

@@ -47,7 +47,8 @@ def shared_folder(spark: SparkSession) -> str:
     """The folder all executors can reach, as the cluster names it.
 
     ``spark.checkpoint.dir`` wins; a directory already set on the context comes
-    next. Only when neither exists (tests, notebooks) is a local folder made.
+    next. A local folder is made only on a local master (tests, notebooks): on a
+    cluster each executor would write to its own disk.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
@@ -55,6 +56,8 @@ def shared_folder(spark: SparkSession) -> str:
     current = spark.sparkContext.getCheckpointDir()
     if current:
         return current
+    if not (spark.sparkContext.master or "").startswith("local[") and spark.sparkContext.master != "local":
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
     return spark.sparkContext.getCheckpointDir()
 

@@ -107,7 +107,7 @@ def resolve_pending_edges(edges: DataFrame, posts: DataFrame) -> DataFrame:
     """Edges whose ``post:<id>`` target has arrived since, pointed at its author."""
     pending = edges.where(F.col("dst_account").startswith("post:"))
     settled = edges.where(~F.col("dst_account").startswith("post:"))
-    resolved = _resolve(pending.withColumn("target", F.substring("dst_account", 6, 1_000_000)), posts)
+    resolved = _resolve(pending.withColumn("target", F.right(F.col("dst_account"), F.length(F.col("dst_account")) - 5)), posts)
     fixed_up = resolved.select(
         "src_platform", "src_account",
         F.coalesce("_platform", "dst_platform").alias("dst_platform"),

@@ -84,12 +84,13 @@ def test_components(spark):
     assert got == {n: find(n) for n in list(parent)}
 
 
-def test_near_groups_both_ways(spark):
+def test_near_groups(spark, monkeypatch):
     base = ["the dam has cracked evacuate the town at once", "petrol price rises again across the city today", "what a match from the team last night indeed"]
     rows = [(f"{b}-{i:02d}", t + (" please" if i % 2 else "") + ("!" * (i % 3))) for b, t in enumerate(base) for i in range(20)]
     vecs = cut_lineage(links.hash_embed(spark.createDataFrame(rows, "key STRING, text STRING"), "key"))
-    for limit in (1000, 0):
-        groups = links.near_groups(vecs, 0.85, exact_limit=limit).collect()
+    for block in (1000, 7):
+        monkeypatch.setattr(links, "BLOCK", block)
+        groups = links.near_groups(vecs, 0.85).collect()
         by = {}
         for r in groups:
             by.setdefault(r["group"], set()).add(r["key"][0])
@@ -98,6 +99,21 @@ def test_near_groups_both_ways(spark):
     assert pairs.where("a >= b").count() == 0 and pairs.count() > 0
 
 
+def test_every_planted_pair_is_grouped(spark, monkeypatch):
+    """2,500 pairs with a cosine of 0.9 or more, all found, whatever the blocks."""
+    monkeypatch.setattr(links, "BLOCK", 900)
+    rng = np.random.default_rng(3)
+    one = rng.standard_normal((2500, 48))
+    two = one + 0.2 * rng.standard_normal(one.shape)
+    rows = [(f"{i:05d}{side}", v.tolist()) for side, m in (("a", one), ("b", two)) for i, v in enumerate(m)]
+    groups = links.near_groups(spark.createDataFrame(rows, "key STRING, vector ARRAY<FLOAT>"), 0.9).collect()
+    by = {}
+    for r in groups:
+        by.setdefault(r["group"], set()).add(r["key"][:5])
+    cosines = (one * two).sum(1) / np.linalg.norm(one, axis=1) / np.linalg.norm(two, axis=1)
+    assert len(groups) == 5000 and (cosines >= 0.9).all() and len(by) == 2500 and all(len(v) == 1 for v in by.values())
+
+
 def test_exact_median(spark):
     rng = np.random.default_rng(8)
     pdf = pd.DataFrame({"g": rng.integers(0, 3, 501), "v": rng.exponential(50, 501)})

@@ -1,6 +1,7 @@
 """Graph, topics, bursts, forecasts, ledger, images, privacy."""
 
 import hashlib
+import itertools
 import math
 
 import numpy as np
@@ -54,16 +55,38 @@ def test_pagerank_sums_to_one(spark):
     assert abs(sum(r.values()) - 1) < 1e-9 and r["a"] > r["b"] > r["d"]
 
 
-def brute_bursts(t, s=2.0, gamma=1.0):
-    return bu.burst_runs(np.array(sorted(set(t)), dtype=float), s, gamma)
+def bursts_of(spark, times, **options):
+    d = spark.createDataFrame([(1, int(round(t * 1e6))) for t in times], "topic_id BIGINT, t BIGINT")
+    rows = bu.kleinberg_bursts(d, **options).collect()
+    return sorted((r["start"].timestamp(), r["end"].timestamp(), r["level"], round(r["weight"], 6)) for r in rows)
+
+
+def test_bursts_are_the_cheapest_states(spark):
+    """Every sequence of states of a short series is tried."""
+    times = [0.0, 300.0, 590.0, 600.0, 611.0, 619.0, 1000.0, 1300.0]
+    gaps, gamma = np.diff(times), 0.5
+    mean = (times[-1] - times[0]) / len(times)
+    k = max(2, math.ceil(math.log2((times[-1] - times[0]) / gaps.min())) + 1)
+    rates = 2.0 ** np.arange(k) / mean
+    cost = rates[None, :] * gaps[:, None] - np.log(rates)[None, :]
+    climb = gamma * math.log(len(times))
+
+    def price(states):
+        steps = np.diff(np.array([0, *states]))
+        return cost[np.arange(len(gaps)), list(states)].sum() + climb * steps[steps > 0].sum()
+
+    best = min(itertools.product(range(k), repeat=len(gaps)), key=price)
+    busy = [i for i, state in enumerate(best) if state]
+    assert busy and busy == list(range(busy[0], busy[-1] + 1))
+    (start, end, level, _), = bursts_of(spark, times, gamma=gamma, chunk=2)
+    assert (start, end, level) == (times[busy[0]], times[busy[-1] + 1], max(best))
 
 
 def test_bursts_in_chunks_equal_one_pass(spark):
     rng = np.random.default_rng(6)
     times = sorted(set(np.round(np.cumsum(rng.exponential(200, 300)), 3)) | set(np.round(20_000 + np.arange(60) * 3.0, 3)))
-    d = spark.createDataFrame([(1, int(round(t * 1e6))) for t in times], "topic_id BIGINT, t BIGINT")
-    got = sorted((r["start"].timestamp(), r["end"].timestamp(), r["level"], round(r["weight"], 6)) for r in bu.kleinberg_bursts(d, gamma=0.5, chunk=37, slot_seconds=3600).collect())
-    want = sorted((round(a, 6), round(b, 6), lv, round(w, 6)) for a, b, lv, w in brute_bursts(times, gamma=0.5))
+    got = bursts_of(spark, times, gamma=0.5, chunk=37, slot_seconds=3600)
+    want = bursts_of(spark, times, gamma=0.5, chunk=10_000, slot_seconds=10**7)
     assert got == want and any(lv >= 1 for _, _, lv, _ in got)
 
 
