@@ -89,6 +89,72 @@ def verify_chain(raw_records: DataFrame, chain: str | None = None) -> DataFrame:
     )
 
 
+def _head_hash(prev: Column) -> Column:
+    return F.sha2(F.concat_ws("|", prev, "first_seq", "last_seq", "records", "final_hash"), 256)
+
+
+def segment_heads(sealed: DataFrame, chain: str = "segment") -> DataFrame:
+    """(chain, first_seq, last_seq, records, final_hash, prev_head, head_hash): one
+    row per segment of a ledger sealed in segments. Each head covers the head
+    before it, so removing a segment, or records from the end of one, shows. The
+    heads are a chain and pass through one task, a row per segment."""
+    d = sealed.groupBy(chain).agg(
+        F.min("seq").alias("first_seq"), F.max("seq").alias("last_seq"), F.count("*").alias("records"), F.max_by("entry_hash", "seq").alias("final_hash")
+    )
+    kind = sealed.schema[chain].dataType.simpleString()
+
+    def run(batches):
+        prev = fixed.GENESIS_HASH
+        for pdf in batches:
+            heads, before = [], []
+            for row in pdf[["first_seq", "last_seq", "records", "final_hash"]].itertuples(index=False):
+                before.append(prev)
+                prev = hashlib.sha256("|".join(map(str, (prev, *row))).encode()).hexdigest()
+                heads.append(prev)
+            yield pdf.assign(prev_head=before, head_hash=heads)
+
+    return d.repartition(1).sortWithinPartitions("first_seq").mapInPandas(
+        run, f"{chain} {kind}, first_seq bigint, last_seq bigint, records bigint, final_hash string, prev_head string, head_hash string"
+    )
+
+
+def verify_segments(raw_records: DataFrame, heads: DataFrame, chain: str = "segment") -> DataFrame:
+    """(status, records, first_bad_seq, reason) of a ledger in segments against its
+    heads: altered records, missing records anywhere, missing segments, altered
+    or missing heads. Parallel: every check is local once a predecessor is
+    attached."""
+    found = raw_records.groupBy(chain).agg(
+        F.min("seq").alias("_first"), F.max("seq").alias("_last"), F.count("*").alias("_records"), F.max_by("entry_hash", "seq").alias("_final")
+    )
+    both = heads.join(found, chain, "full")
+    differ = both.select(
+        chain,
+        F.when(F.col("first_seq").isNull(), F.struct(F.col("_first").alias("seq"), F.lit("segment without a head").alias("reason")))
+        .when(F.col("_first").isNull() | (F.col("_first") != F.col("first_seq")), F.struct(F.col("first_seq").alias("seq"), F.lit("missing record").alias("reason")))
+        .when(F.col("_last") != F.col("last_seq"), F.struct((F.col("_last") + 1).alias("seq"), F.lit("missing record").alias("reason")))
+        .when(F.col("_final") != F.col("final_hash"), F.struct(F.col("last_seq").alias("seq"), F.lit("final hash mismatch").alias("reason"))).alias("b"),
+        (F.col("_records") != F.col("records")).alias("_short"),
+    )
+    # inside a segment that is short, a record whose predecessor is not the one before
+    short = raw_records.join(differ.where("_short").select(chain), chain, "left_semi")
+    gaps = with_previous(short.select(chain, "seq"), [chain], ["seq"], F.floor(F.col("seq") / SLOT).cast("bigint"), {"_prev": "seq"})
+    gaps = gaps.where("seq > _prev + 1").select(F.struct((F.col("_prev") + 1).alias("seq"), F.lit("missing record").alias("reason")).alias("b"))
+    linked = heads.withColumn("_all", F.lit(0))
+    linked = with_previous(linked, ["_all"], ["first_seq"], F.floor(F.col("first_seq") / (SLOT * 1000)).cast("bigint"), {"_head": "head_hash", "_end": "last_seq"})
+    prev = F.coalesce("_head", F.lit(fixed.GENESIS_HASH))
+    broken = linked.where((F.col("prev_head") != prev) | (_head_hash(prev) != F.col("head_hash")) | (F.col("first_seq") != F.col("_end") + 1))
+    broken = broken.select(F.struct(F.coalesce(F.col("_end") + 1, "first_seq").alias("seq"), F.lit("head chain break").alias("reason")).alias("b"))
+    altered = chain_failures(raw_records, chain).select(F.struct("seq", "reason").alias("b"))
+    bad = altered.unionByName(gaps).unionByName(differ.where("b IS NOT NULL").select("b")).unionByName(broken)
+    empty = F.lit(None).cast("bigint")
+    total = raw_records.agg(F.count("*").alias("records")).select(F.lit(None).cast("struct<seq:bigint,reason:string>").alias("b"), "records")
+    d = bad.agg(F.min("b").alias("b")).select("b", empty.alias("records")).unionByName(total).agg(F.max("b").alias("b"), F.max("records").alias("records"))
+    return d.select(
+        F.when(F.col("b").isNull(), "PASS").otherwise("FAIL").alias("status"), "records",
+        F.col("b.seq").alias("first_bad_seq"), F.col("b.reason").alias("reason"),
+    )
+
+
 def _levels(leaves: DataFrame, size: int) -> list[DataFrame]:
     """Merkle layers as (id, pos, h), leaves first; an odd last node is paired
     with itself. A layer halves, so there are ceil(log2(size)) rounds, all

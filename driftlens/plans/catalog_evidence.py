@@ -100,6 +100,32 @@ def _(v: Views):
     return lg.verify_chain(v.raw_records.withColumn("payload_canonical", changed), chain="segment")
 
 
+def _without(v: Views, gone: str):
+    """Verification of the ledger after the records ``gone`` were removed."""
+    heads = lg.segment_heads(v.raw_records)
+    return lg.verify_segments(v.raw_records.where(f"NOT ({gone})"), heads)
+
+
+@query("l03_verify_segments", with_views(["v_core"], "SELECT 'PASS' AS status, count(*) AS records, CAST(NULL AS BIGINT) AS first_bad_seq, CAST(NULL AS VARCHAR) AS reason FROM v_core"))
+def _(v: Views):
+    return _without(v, "false")
+
+
+@query("l03_deleted_record", with_views(["v_core"], "SELECT 'FAIL' AS status, count(*) AS records, 300 AS first_bad_seq, 'missing record' AS reason FROM v_core WHERE NOT (ledger_seq = 300)"))
+def _(v: Views):
+    return _without(v, "seq = 300")
+
+
+@query("l03_deleted_last_record", with_views(["v_core"], "SELECT 'FAIL' AS status, count(*) AS records, 1000 AS first_bad_seq, 'missing record' AS reason FROM v_core WHERE NOT (ledger_seq = 1000)"))
+def _(v: Views):
+    return _without(v, "seq = 1000")
+
+
+@query("l03_deleted_segment", with_views(["v_core"], "SELECT 'FAIL' AS status, count(*) AS records, 1001 AS first_bad_seq, 'missing record' AS reason FROM v_core WHERE NOT (ledger_seq BETWEEN 1001 AND 2000)"))
+def _(v: Views):
+    return _without(v, "seq BETWEEN 1001 AND 2000")
+
+
 @query("l04_seal_records", with_views(["v_sealed"], "SELECT seq, record_hash, entry_hash, prev_entry_hash FROM v_sealed"))
 def _(v: Views):
     return lg.seal_records(v.records, chain="segment").select("seq", "record_hash", "entry_hash", "prev_entry_hash")
@@ -118,7 +144,7 @@ def _(v: Views):
     return lg.merkle_roots(v.raw_records)
 
 
-@query("l06_inclusion_proofs")
+@query("l06_inclusion_proofs", with_views(["v_sealed"], "SELECT seq, id AS checkpoint_id, CAST(ceil(log2(m0.n)) AS INT) AS steps, m7.h AS merkle_root FROM v_sealed JOIN m0 ON entry_hash = m0.h JOIN m7 USING (id)", _merkle_views()))
 def _(v: Views):
     d = lg.inclusion_proofs(v.raw_records, v.checkpoints, v.raw_records.select("seq"))
     return d.select("seq", "checkpoint_id", F.size("path").alias("steps"), "merkle_root")

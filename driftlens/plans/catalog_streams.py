@@ -116,10 +116,12 @@ def _(v: Views):
 
 
 @query("p04_gap_entropy", with_views(["v_gaps"], """
-    WITH b AS (SELECT platform, author_id, least(floor(12 * log10(least(greatest(gap_s, 1.0), 86400.0)) / log10(86400.0)), 11) AS bin FROM v_gaps WHERE gap_s IS NOT NULL),
-    c AS (SELECT platform, author_id, bin, count(*) AS n FROM b GROUP BY ALL), t AS (SELECT platform, author_id, sum(n) AS total FROM c GROUP BY ALL)
     SELECT c.platform, c.author_id, round(CASE WHEN any_value(total) < 2 THEN 1.0 ELSE -sum(n / total * log2(n / total)) / log2(12) END, 6) AS gap_entropy
-    FROM c JOIN t ON c.platform = t.platform AND c.author_id = t.author_id GROUP BY c.platform, c.author_id"""))
+    FROM gap_counts c JOIN gap_totals t ON c.platform = t.platform AND c.author_id = t.author_id GROUP BY c.platform, c.author_id""", {
+    "gap_bins": "SELECT platform, author_id, least(floor(12 * log10(least(greatest(gap_s, 1.0), 86400.0)) / log10(86400.0)), 11) AS bin FROM v_gaps WHERE gap_s IS NOT NULL",
+    "gap_counts": "SELECT platform, author_id, bin, count(*) AS n FROM gap_bins GROUP BY ALL",
+    "gap_totals": "SELECT platform, author_id, sum(n) AS total FROM gap_counts GROUP BY ALL",
+}))
 def _(v: Views):
     registry.register_functions(v.spark)
     gp.inter_post_gaps(v.posts_core, ["platform", "author_id"]).createOrReplaceTempView("post_gaps")

@@ -188,3 +188,22 @@ def test_precision_and_sweep(spark):
     assert (r["tp"], r["fp"], r["fn"], r["f1"]) == (2, 1, 1, 0.6667)
     pdf = pd.DataFrame({"label": "a", "score": [0.2, 0.4, 0.6, 0.8], "truth": [False, False, True, True]})
     assert ev.threshold_sweep(spark.createDataFrame(pdf)).first()["threshold"] == 0.5
+
+
+def test_segments_notice_what_is_missing(spark):
+    rows = [(i, "x", "c", "t", f"p{i}", (i - 1) // 4) for i in range(1, 13)]
+    d = spark.createDataFrame(rows, "seq BIGINT, platform STRING, collector_id STRING, collected_at STRING, payload STRING, segment INT")
+    sealed = lg.seal_records(d, chain="segment").cache()
+    heads = lg.segment_heads(sealed).cache()
+
+    def verdict(where, heads=heads):
+        r = lg.verify_segments(sealed.where(where), heads).first()
+        return r["status"], r["first_bad_seq"]
+
+    assert verdict("true") == ("PASS", None)
+    assert verdict("seq != 6") == ("FAIL", 6)
+    assert verdict("seq != 8") == ("FAIL", 8)
+    assert verdict("seq != 5") == ("FAIL", 5)
+    assert verdict("segment != 1") == ("FAIL", 5)
+    assert verdict("segment != 2") == ("FAIL", 9)
+    assert verdict("segment != 1", heads.where("segment != 1")) == ("FAIL", 5)
