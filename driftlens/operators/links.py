@@ -101,9 +101,10 @@ def hash_embed(texts: DataFrame, key: str, text: str = "text", dims: int = 384)
 BLOCK = 2048  # vectors of one side of a comparison: 2,048 x 384 x 4 bytes = 3 MB
 
 
-def _compared(vecs: DataFrame, node: str, within: list[str], compare, schema: str) -> DataFrame:
-    """``compare(nodes, unit vectors, own block numbers or None)`` for every pair
-    of blocks with equal ``within``; its results as rows of ``schema``.
+def compared(vecs: DataFrame, node: str, within: list[str], compare, schema: str, extra: str | None = None) -> DataFrame:
+    """``compare(nodes, unit vectors, own block numbers or None, extra)`` for every
+    pair of blocks with equal ``within``; its results as rows of ``schema``.
+    ``extra`` names a BIGINT column to hand over.
 
     Vectors are dealt into blocks of about BLOCK by a hash. Each goes to the
     groups of its block with every other block, so each two vectors meet in
@@ -111,11 +112,11 @@ def _compared(vecs: DataFrame, node: str, within: list[str], compare, schema: st
     of vectors or their distribution. Nothing is gathered or shared.
     """
     scope = [F.col(w).cast("string") for w in within]
-    tagged = vecs.select(F.col(node).alias("n"), F.concat_ws("\u0001", F.lit(""), *scope).alias("scope"), F.col("vector").cast("array<float>").alias("v"))
+    tagged = vecs.select(F.col(node).alias("n"), F.concat_ws("\u0001", F.lit(""), *scope).alias("scope"), F.col("vector").cast("array<float>").alias("v"), (F.col(extra) if extra else F.lit(0)).cast("bigint").alias("x"))
     sizes = tagged.groupBy("scope").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
     d = tagged.join(sizes, "scope").withColumn("own", F.pmod(F.xxhash64("n"), "blocks"))
     d = d.withColumn("other", F.explode(F.expr("sequence(0L, blocks - 1)")))
-    d = d.select("scope", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "n", "own", "v")
+    d = d.select("scope", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "n", "own", "v", "x")
     groups = d.repartition("scope", "lo", "hi").sortWithinPartitions("scope", "lo", "hi")
     names = [f.split()[0] for f in schema.split(", ")]
     types = [{"string": pa.string(), "double": pa.float64(), "bigint": pa.int64(), "int": pa.int32()}[f.split()[1]] for f in schema.split(", ")]
@@ -130,7 +131,7 @@ def _compared(vecs: DataFrame, node: str, within: list[str], compare, schema: st
             nodes = whole["n"].to_pandas().to_numpy()
             unit = _unit_rows(whole["v"])
             own = whole["own"].to_numpy()
-            found = compare(nodes, unit, own if key[1] != key[2] else None)
+            found = compare(nodes, unit, own if key[1] != key[2] else None, whole["x"].to_numpy())
             yield pa.RecordBatch.from_arrays([pa.array(x, type=t) for x, t in zip(found, types, strict=True)], names)
 
         for batch in batches:
@@ -164,7 +165,7 @@ def _unit_rows(vectors) -> np.ndarray:
 def similar_pairs(vecs: DataFrame, min_sim: float = fixed.DUPLICATE_SIMILARITY, key: str = "key") -> DataFrame:
     """(a, b, similarity), a < b, for vectors with cosine >= ``min_sim``. Exact
     at every size; work grows with the square of the number of vectors."""
-    def pairs(nodes, unit, own):
+    def pairs(nodes, unit, own, _):
         i, j = _near(unit, own, min_sim)
         sims = np.einsum("ij,ij->i", unit[i], unit[j])
         swap = nodes[i] > nodes[j]
@@ -173,7 +174,7 @@ def similar_pairs(vecs: DataFrame, min_sim: float = fixed.DUPLICATE_SIMILARITY,
         return nodes[i][differ], nodes[j][differ], sims[differ]
 
     kind = vecs.schema[key].dataType.simpleString()
-    return _compared(vecs, key, [], pairs, f"a {kind}, b {kind}, similarity double")
+    return compared(vecs, key, [], pairs, f"a {kind}, b {kind}, similarity double")
 
 
 def _near(unit: np.ndarray, own: np.ndarray | None, min_sim: float) -> tuple[np.ndarray, np.ndarray]:
@@ -201,7 +202,7 @@ def near_groups(vecs: DataFrame, min_sim: float = fixed.DUPLICATE_SIMILARITY, ke
     heads = tagged.groupBy(*within, "_same").agg(F.min("_node").alias("_head"))
     named = cut_lineage(tagged.join(heads, [*within, "_same"]), "heads")
 
-    def forest(nodes, unit, own):
+    def forest(nodes, unit, own, _):
         comp = np.arange(len(nodes))
         src, dst = [], []
         i, j = _near(unit, own, min_sim)
@@ -216,7 +217,7 @@ def near_groups(vecs: DataFrame, min_sim: float = fixed.DUPLICATE_SIMILARITY, ke
             comp[np.isin(comp, comp[apart])] = comp[one]
         return src, dst
 
-    links = _compared(named.where("_node = _head"), "_node", within, forest, "src string, dst string")
+    links = compared(named.where("_node = _head"), "_node", within, forest, "src string, dst string")
     components = connected_components(links).withColumnRenamed("node", "_head")
     out = named.select(key, *within, "_head").join(components, "_head", "left")
     return out.select(key, *within, F.coalesce("component", "_head").alias("group"))

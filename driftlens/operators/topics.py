@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -11,7 +9,7 @@ from driftlens.functions import text as tx
 from driftlens.functions.numeric import cosine
 from driftlens.functions.sequence import top_n_per_group
 from driftlens.operators.filters import POST_KEY
-from driftlens.operators.links import hash_embed, near_groups
+from driftlens.operators.links import hash_embed, near_groups, similar_pairs
 from driftlens.session import cut_lineage
 
 MIN_POSTS = 15
@@ -83,73 +81,27 @@ def assign_posts(members: DataFrame, vecs: DataFrame, *, tau: float = 0.55, min_
     return members.join(near, [*cluster, key])
 
 
-MATCH_LIMIT = 100_000  # centroids folded in one task: 100,000 x 384 x 8 bytes = 307 MB
-
-
-def match_across_windows(clusters: DataFrame, tau: float = 0.80, limit: int = MATCH_LIMIT) -> tuple[DataFrame, DataFrame]:
+def match_across_windows(clusters: DataFrame, tau: float = 0.80) -> tuple[DataFrame, DataFrame]:
     """(mapping, topics): clusters of successive windows to lasting topics.
 
-    ``clusters``: window, cluster, vector, n, first_seen, last_seen. In order of
-    (window, cluster), a cluster joins the topic of highest cosine above
-    ``tau``, else starts one; a topic's centroid is the running mean. The fold
-    is sequential by definition, but sees one row per cluster, never posts. Its
-    size is checked: past ``limit`` rows the fold runs window by window, each
-    window against a written table of the topics so far.
+    ``clusters``: window, cluster, vector, n, first_seen, last_seen. Window after
+    window, each cluster joins the topic of highest cosine above ``tau`` among
+    those of earlier windows, else starts one; clusters of one window never join
+    each other. A topic's centroid is the mean of its clusters so far. One job
+    per window, against a written table of the topics so far.
     """
-    spark = clusters.sparkSession
     rows = clusters.select("window", "cluster", F.col("vector").cast("array<double>").alias("vector"),
                            F.col("n").cast("bigint").alias("n"), "first_seen", "last_seen")
-    if rows.count() <= limit:
-        folded = rows.withColumn("_g", F.lit(0)).groupBy("_g").applyInPandas(
-            lambda pdf: _fold(pdf, tau), "window bigint, cluster string, topic_id bigint, center array<double>, total bigint"
-        )
-        folded = cut_lineage(folded, "matched")
-        mapping = folded.select("window", "cluster", "topic_id")
-        centers = folded.groupBy("topic_id").agg(
-            F.max_by("center", F.struct("window", "total")).alias("centroid")
-        )
-    else:
-        mapping, centers = _match_by_window(spark, rows, tau)
+    mapping, centers = _match_by_window(rows, tau)
     topics = mapping.join(rows, ["window", "cluster"]).groupBy("topic_id").agg(
         F.min("first_seen").alias("first_seen"), F.max("last_seen").alias("last_seen"), F.sum("n").alias("n_posts")
     ).join(centers, "topic_id")
     return mapping, topics
 
 
-def _fold(pdf: pd.DataFrame, tau: float) -> pd.DataFrame:
-    pdf = pdf.sort_values(["window", "cluster"])
-    centers: list[np.ndarray] = []
-    sizes: list[int] = []
-    out = []
-    for window, cluster, vector, n in zip(pdf["window"], pdf["cluster"], pdf["vector"], pdf["n"]):
-        v = np.asarray(vector, dtype=np.float64)
-        best, best_sim = None, tau
-        if centers:
-            m = np.vstack(centers)
-            scale = np.linalg.norm(m, axis=1) * np.linalg.norm(v)
-            sims = np.divide(m @ v, scale, out=np.zeros(len(m)), where=scale > 0)
-            top = int(np.argmax(sims))
-            if sims[top] > best_sim:
-                best = top
-        if best is None:
-            centers.append(v)
-            sizes.append(int(n))
-            best = len(centers) - 1
-        else:
-            centers[best] = (centers[best] * sizes[best] + v * n) / (sizes[best] + n)
-            sizes[best] += int(n)
-        out.append((window, cluster, best + 1, centers[best].tolist(), sizes[best]))
-    return pd.DataFrame(out, columns=["window", "cluster", "topic_id", "center", "total"])
-
-
-def _match_by_window(spark, rows: DataFrame, tau: float) -> tuple[DataFrame, DataFrame]:
-    """The fold with one Spark job per window. Clusters of one window are
-    matched to the topics known before it, then merged into them together;
-    candidates come from verified similarity links, best cosine wins."""
-    from driftlens.operators.links import similar_pairs
-
+def _match_by_window(rows: DataFrame, tau: float) -> tuple[DataFrame, DataFrame]:
     rows = cut_lineage(rows, "clusters")
-    topics, mapping = None, None
+    topics, mapping = None, rows.where("false").select("window", "cluster", F.lit(0).cast("bigint").alias("topic_id"))
     for (window,) in rows.select("window").distinct().orderBy("window").collect():
         now = rows.where(F.col("window") == window)
         if topics is None:
@@ -162,7 +114,7 @@ def _match_by_window(spark, rows: DataFrame, tau: float) -> tuple[DataFrame, Dat
             )
             pairs = similar_pairs(pool, tau).where(F.col("a").startswith("c") & F.col("b").startswith("t"))
             best = pairs.where(F.col("similarity") > tau).groupBy(F.right(F.col("a"), F.length(F.col("a")) - 1).alias("cluster")).agg(
-                F.max_by(F.right(F.col("b"), F.length(F.col("b")) - 1).cast("bigint"), "similarity").alias("topic_id")
+                F.max_by(F.right(F.col("b"), F.length(F.col("b")) - 1).cast("bigint"), F.struct("similarity", "b")).alias("topic_id")
             )
             matched = now.select("window", "cluster", "vector", "n").join(best, "cluster", "left")
         fresh = matched.where("topic_id IS NULL").select("cluster").orderBy("cluster").coalesce(1)
@@ -171,11 +123,13 @@ def _match_by_window(spark, rows: DataFrame, tau: float) -> tuple[DataFrame, Dat
             matched.join(ids, "cluster", "left").withColumn("topic_id", F.coalesce("topic_id", "_new")).drop("_new"), "matched"
         )
         step = matched.select("window", "cluster", "topic_id")
-        mapping = step if mapping is None else mapping.unionByName(step)
+        mapping = mapping.unionByName(step)
         pieces = matched.select("topic_id", "vector", "n")
         if topics is not None:
             pieces = pieces.unionByName(topics.select("topic_id", "vector", "n"))
         topics = cut_lineage(centroid(pieces, ["topic_id"], weight="n"), "topics")
+    if topics is None:
+        return mapping, mapping.select("topic_id", F.array().cast("array<double>").alias("centroid"))
     return mapping, topics.select("topic_id", F.col("vector").alias("centroid"))
 
 

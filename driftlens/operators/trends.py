@@ -3,13 +3,13 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from driftlens.functions import fixed
 from driftlens.functions.time import time_bucket
 from driftlens.operators.filters import organic_flag
+from driftlens.operators.links import compared
 from driftlens.operators.timelines import with_topic
 
 
@@ -77,46 +77,28 @@ def ewma_acceleration(series: DataFrame, alpha: float = 0.3, last: int = 24, den
     return arrays.select("topic_id", smoothed.alias("acceleration"))
 
 
-def topic_novelty(topics: DataFrame, older_hours: int = 24, block: int = 20_000) -> DataFrame:
+def topic_novelty(topics: DataFrame, older_hours: int = 24) -> DataFrame:
     """(topic_id, novelty): 1 - the highest cosine to a topic first seen more
     than ``older_hours`` earlier (1 when there is none).
 
-    Older centroids are broadcast in blocks of at most ``block`` (31 MB of
-    float32 at 384 dimensions); a task keeps only the running maximum of its
-    rows, so pairs are never emitted.
+    Blocks of centroids are compared with blocks on the executors; a task hands
+    on the highest cosine of each of its rows, so pairs are never emitted.
     """
     t = topics.select("topic_id", F.col("centroid").alias("vector"), F.unix_micros("first_seen").alias("f"))
     gap = older_hours * 3600 * 1_000_000
+
+    def highest(ids, unit, own, seen):
+        sims = unit @ unit.T
+        allowed = (seen[:, None] - seen[None, :] > gap) & (ids[:, None] != ids[None, :])
+        if own is not None:  # rows of one block meet in its own group
+            allowed &= own[:, None] != own[None, :]
+        top = np.where(allowed, sims, -np.inf).max(axis=1)
+        some = np.isfinite(top)
+        return ids[some], top[some]
+
     kind = topics.schema["topic_id"].dataType.simpleString()
-    n = t.count()
-    parts = max(1, -(-n // block))
-    best = None
-    for p in range(parts):
-        chosen = t if parts == 1 else t.where(F.pmod(F.xxhash64("topic_id"), F.lit(parts)) == p)
-        pdf = chosen.toPandas()
-        old = (pdf["topic_id"].to_numpy(), _unit(pdf["vector"]), pdf["f"].to_numpy())
-        shared = topics.sparkSession.sparkContext.broadcast(old)
-
-        def scan(batches, shared=shared):
-            ids, unit, seen = shared.value
-            for b in batches:
-                if b.empty or not len(ids):
-                    continue
-                sims = _unit(b["vector"]) @ unit.T
-                allowed = (b["f"].to_numpy()[:, None] - seen[None, :] > gap) & (b["topic_id"].to_numpy()[:, None] != ids[None, :])
-                top = np.where(allowed, sims, -np.inf).max(axis=1)
-                yield pd.DataFrame({"topic_id": b["topic_id"], "sim": np.where(np.isfinite(top), top, np.nan)})
-
-        one = t.mapInPandas(scan, f"topic_id {kind}, sim double")
-        best = one if best is None else best.unionByName(one)
-    sim = F.max(F.when(~F.isnan("sim"), F.col("sim")))
-    return best.groupBy("topic_id").agg((1.0 - F.coalesce(sim, F.lit(0.0))).alias("novelty"))
-
-
-def _unit(vectors) -> np.ndarray:
-    m = np.asarray([np.asarray(v, dtype=np.float64) for v in vectors]).reshape(len(vectors), -1)
-    n = np.linalg.norm(m, axis=1, keepdims=True)
-    return m / np.where(n == 0, 1.0, n)
+    best = compared(t, "topic_id", [], highest, f"topic_id {kind}, sim double", extra="f").groupBy("topic_id").agg(F.max("sim").alias("sim"))
+    return topics.select("topic_id").distinct().join(best, "topic_id", "left").select("topic_id", (1.0 - F.coalesce("sim", F.lit(0.0))).alias("novelty"))
 
 
 def account_growth(posts: DataFrame, assign: DataFrame, recent_hours: int = 6) -> DataFrame:
