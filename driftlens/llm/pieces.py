@@ -189,7 +189,8 @@ class _Tokens:
 
     def stays(self, left: int, right: int) -> bool:
         n = len(self.pieces)
-        return self.encoder.fits(self.pieces[left % n] if left >= 0 else "", self.pieces[right % n])
+        pair = [self.pieces[t % n] for t in (left, right) if t >= 0]
+        return self.encoder.merged("".join(pair)) == pair
 
 
 _NARROW = 0x250  # characters below have a row of their own in the table of pairs

@@ -137,6 +137,14 @@ class _Table:
             slot[wait] = (slot[wait] + 1) & ((1 << self.bits) - 1)
 
 
+_NODE, _ZERO = (1 << 22) - 1, 1 << 12
+
+
+def _packed(node: int, left: int, count: int) -> int:
+    """One entry of a state as a number: there are very many states."""
+    return count + _ZERO << 44 | left + 1 << 22 | node
+
+
 class Transducer:
     """Transitions (next state, change of the count, token that ends here),
     compiled when first met. A state lists, for each place where a token under
@@ -159,7 +167,7 @@ class Transducer:
 
     def _clear(self) -> None:
         self._number: dict[tuple, int] = {}
-        self._states: list[tuple] = [(), ((0, -1, 0),)]  # unknown; start of a word
+        self._states: list[tuple] = [(), (_packed(0, -1, 0),)]  # unknown; start of a word
         self._number[self._states[_START]] = _START
         self.table = _Table()
 
@@ -167,10 +175,11 @@ class Transducer:
         if state == _UNKNOWN:
             return (_START if symbol >= END else _UNKNOWN), 0, -1
         token, before, kept = -1, 0, []
-        for under_way, left, count in self._states[state]:
-            node = self._child.get(under_way << 10 | symbol)
+        for entry in self._states[state]:
+            node = self._child.get((entry & _NODE) << 10 | symbol)
             if node is None:
                 continue
+            left, count = (entry >> 22 & _NODE) - 1, (entry >> 44) - _ZERO
             ended = self._token.get(node, -1)
             if token < 0 <= ended:
                 key = left << 32 | ended
@@ -186,9 +195,9 @@ class Transducer:
         total = before + 1 if token >= 0 else 0
         if symbol >= END:
             return _START, total, token
-        content = [(node, left, count - total) for node, left, count in kept]
+        content = [_packed(node, left, count - total) for node, left, count in kept]
         if token >= 0:
-            content.append((0, token, 0))
+            content.append(_packed(0, token, 0))
         content = tuple(content)
         number = self._number.get(content)
         if number is None:
