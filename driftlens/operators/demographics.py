@@ -39,15 +39,18 @@ def dimension_counts(accounts: DataFrame, posts: DataFrame, gazetteer: DataFrame
     return long.groupBy("dimension", "bucket").agg(F.count("*").alias("n"))
 
 
-def noisy_count(n: Column, k: int, epsilon: float, seed: int, *key: Column) -> Column:
+def noisy_count(n: Column, k: int, epsilon: float, seed: int | None, *key: Column) -> Column:
     """Rounded count with Laplace(1/epsilon) noise, never below k. The noise is
-    a function of (key, seed), so a rerun releases the same value; a production
-    release must use a secret seed or the noise can be subtracted."""
+    a function of (key, seed), so a rerun releases the same value. Whoever knows
+    the seed can subtract the noise, so there is no default: noise needs a secret
+    seed."""
+    if epsilon > 0 and seed is None:
+        raise ValueError("noise needs a secret seed")
     noise = laplace_from_uniform(uniform_from_key(*key, F.lit(seed)), 1.0 / epsilon) if epsilon > 0 else F.lit(0.0)
     return F.greatest(F.lit(k), F.rint(n + noise)).cast("bigint")
 
 
-def release_counts(counts: DataFrame, k: int = fixed.K_ANON, epsilon: float = fixed.EPSILON, seed: int = 0,
+def release_counts(counts: DataFrame, k: int = fixed.K_ANON, epsilon: float = fixed.EPSILON, seed: int | None = None,
                    keys: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame]:
     """(released, suppressed): buckets of at least k accounts with noisy counts,
     and per dimension the number of withheld buckets - never which."""
@@ -61,7 +64,7 @@ def release_counts(counts: DataFrame, k: int = fixed.K_ANON, epsilon: float = fi
 
 
 def cohort_demographics(accounts: DataFrame, posts: DataFrame, gazetteer: DataFrame, flagged: DataFrame | None = None, *,
-                        k: int = fixed.K_ANON, epsilon: float = fixed.EPSILON, seed: int = 0, as_of_year: int,
+                        k: int = fixed.K_ANON, epsilon: float = fixed.EPSILON, seed: int | None = None, as_of_year: int,
                         interests=None, keep: str = "a-z&") -> tuple[DataFrame, DataFrame]:
     """Released cohorts over all accounts, or organic ones when ``flagged`` is
     given."""
@@ -88,7 +91,7 @@ def topic_authors(posts: DataFrame, assign: DataFrame, topic_id: int) -> DataFra
 
 
 def topic_audience(posts: DataFrame, accounts: DataFrame, assign: DataFrame, gazetteer: DataFrame, topic_id: int | None = None,
-                   flagged: DataFrame | None = None, *, k: int = fixed.K_ANON, epsilon: float = fixed.EPSILON, seed: int = 0,
+                   flagged: DataFrame | None = None, *, k: int = fixed.K_ANON, epsilon: float = fixed.EPSILON, seed: int | None = None,
                    as_of_year: int, interests=None, keep: str = "a-z&") -> dict[str, DataFrame]:
     """released, suppressed and a coverage row for one topic's people (or for
     everyone): accounts to the nearest ten or NULL under k, released states,

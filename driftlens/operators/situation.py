@@ -54,16 +54,12 @@ def topic_facts(facts: DataFrame) -> DataFrame:
     )
 
 
-def topic_sectors(topics: DataFrame, posts: DataFrame, assign: DataFrame, texts_per_topic: int = 40,
-                  sectors=None, min_hits: int = 1) -> DataFrame:
-    """(topic_id, sector) from the label, the keywords and the topic's first
-    posts. Keyword hits are counted per text and summed, so a topic's texts are
-    never joined into one string."""
+def topic_sectors(topics: DataFrame, posts: DataFrame, assign: DataFrame, sectors=None, min_hits: int = 1) -> DataFrame:
+    """(topic_id, sector) from the label, the keywords and all posts of the topic.
+    Keyword hits are counted per text and summed, so a topic's texts are never
+    joined into one string."""
     names = list(fixed.SECTORS if sectors is None else sectors)
-    d = posts.join(assign.select(*POST_KEY, "topic_id"), POST_KEY)
-    first = top_n_per_group(d.select("topic_id", *POST_KEY, "created_at"), ["topic_id"],
-                            [F.col("created_at"), F.col("platform"), F.col("post_id")], texts_per_topic)
-    texts = first.join(posts.select(*POST_KEY, "text"), POST_KEY).select("topic_id", "text")
+    texts = posts.join(assign.select(*POST_KEY, "topic_id"), POST_KEY).select("topic_id", "text")
     own = topics.select("topic_id", F.concat_ws(" ", "label", F.array_join("keywords", " ")).alias("text"))
     hits = texts.unionByName(own).select("topic_id", sector_hits(F.col("text"), sectors).alias("h"))
     sums = hits.groupBy("topic_id").agg(*[F.sum(f"h.{n}").alias(n) for n in names])
