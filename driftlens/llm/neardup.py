@@ -249,7 +249,7 @@ def _across(percent: int, kind: pa.DataType):
     return run
 
 
-def _left_apart(crowded: DataFrame, nodes: DataFrame, components: DataFrame) -> DataFrame:
+def _left_apart(crowded: DataFrame, components: DataFrame) -> DataFrame:
     """(bucket, doc_id, component, blocks): bucket mates in different components,
     the bucket's centre aside (its pairs were all tested)."""
     comp = components.select(F.col("node").alias("doc_id"), "component")
@@ -291,7 +291,7 @@ def near_duplicates(docs: DataFrame, text: str = "text", percent: int = PERCENT)
     star = cut_lineage(_plausible(star, nodes, percent), "near-stars")
     links = cut_lineage(_confirmed(docs, star, text, percent), "near-links")
     components = connected_components(links, "a", "b")
-    apart = cut_lineage(_left_apart(crowded, nodes, components), "near-apart")
+    apart = cut_lineage(_left_apart(crowded, components), "near-apart")
     if not apart.isEmpty():
         more = cut_lineage(_linked_mates(docs, apart, nodes, text, percent), "near-links")
         components = connected_components(links.union(more), "a", "b")

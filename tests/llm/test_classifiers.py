@@ -9,7 +9,7 @@ from small import ODD_ROWS, corpus, frame
 
 from driftlens.llm import quality, toxicity
 
-SF = "/root/testdata/sf0.01"
+SF = "/root/testdata/sf0.1"  # some hundred labelled rows are held out
 WAYS = [(quality.train_quality, quality.score_quality, "quality", 0.3), (toxicity.train_toxicity, toxicity.score_toxicity, "toxic", 0.5)]
 
 
