@@ -3,8 +3,12 @@
 A tree builder reads the markup in one pass: it closes elements whose end tags
 are implied (paragraphs before blocks, items before items, cells and rows), closes
 what an end tag leaves open inside, and ignores end tags without a start.
-Elements that do not show (head, scripts, styles, templates, hidden ones) give no
-text. The tree is laid out: blocks start lines, paragraphs, headings, lists and
+Elements that do not show (head, scripts, styles, templates, noscript, choices of
+a datalist, what stands in for embedded media, hidden ones) give no text. Hidden
+are elements with the attribute hidden, or whose own style says so, with all that
+lies in them; style sheets are not read. Of drawings (svg) the text elements and
+embedded HTML show, each text on a line, but no definitions, and of formulas
+(math) all but annotations and phantoms. The tree is laid out: blocks start lines, paragraphs, headings, lists and
 tables are set off by a blank line, list items carry a mark or number and are
 indented by depth, and the cells of a table are padded to columns. All visible
 text is kept, navigation and footers included.
@@ -27,7 +31,7 @@ CELL = 40
 
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 RAW = {"script", "style", "textarea", "title", "xmp", "iframe", "noembed", "noframes"}
-UNSEEN = {"head", "script", "style", "template", "noscript", "title", "iframe", "object", "canvas", "audio", "video", "noembed", "noframes", "datalist", "svg", "math"}
+UNSEEN = {"head", "script", "style", "template", "noscript", "title", "iframe", "object", "canvas", "audio", "video", "noembed", "noframes", "datalist"}
 SPACED = {"p", "h1", "h2", "h3", "h4", "h5", "h6", "ul", "ol", "dl", "table", "blockquote", "pre", "figure", "hr", "fieldset", "menu"}
 BLOCKS = SPACED | {
     "html", "body", "div", "section", "article", "aside", "header", "footer", "main", "nav", "address", "center", "form", "li", "dt", "dd", "tr",
@@ -46,19 +50,68 @@ CLOSES = {
 WALLS = {"table": set(), "td": {"table"}, "th": {"table"}, "tr": {"table"}}
 _DEFAULT_WALLS = {"td", "th", "table", "caption"}
 _LISTS = {"ul", "ol", "menu", "dir"}
+#: not shown inside svg, and inside math
+_UNSEEN_IN = {
+    "svg": {"title", "desc", "metadata", "defs", "symbol", "clippath", "mask", "pattern", "marker", "lineargradient", "radialgradient", "filter", "style", "script"},
+    "math": {"annotation", "annotation-xml", "mphantom"},
+}
+#: content of these, inside svg or math, is HTML again
+_HTML_IN = {"svg": {"foreignobject", "desc", "title"}, "math": {"mi", "mo", "mn", "ms", "mtext", "annotation-xml"}}
+#: a start tag of these ends an svg or math that was left open
+_ENDS_FOREIGN = {
+    "b", "big", "blockquote", "body", "br", "center", "code", "dd", "div", "dl", "dt", "em", "embed", "h1", "h2", "h3", "h4", "h5", "h6", "head", "hr", "i", "img", "li", "listing",
+    "menu", "meta", "nobr", "ol", "p", "pre", "ruby", "s", "small", "span", "strong", "strike", "sub", "sup", "table", "tt", "u", "ul", "var",
+}
 
 _TAG = re.compile(r"""<(?:!--(?:-?>|.*?(?:--!?>|\Z))|[!?][^>]*>?|(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>?)""", re.S)
-_HIDDEN = re.compile(r"""(?:^|\s)hidden(?=[\s=/]|$)|style\s*=\s*["']?[^"'>]*?(?:display\s*:\s*none|visibility\s*:\s*hidden)""", re.I)
-_SPAN = re.compile(r"""colspan\s*=\s*["']?(\d{1,3})""", re.I)
-_FIRST = re.compile(r"""start\s*=\s*["']?(-?\d{1,9})""", re.I)
+_ATTR = re.compile(r"""([^\s/>][^\s/>=]*)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]*)))?""")
+_READ = re.compile("hidden|style|colspan|start|display|visibility", re.I)
+_REMARK = re.compile(r"/\*.*?(?:\*/|\Z)", re.S)
+_SPAN = re.compile(r"\s*(\d{1,3})")
+_FIRST = re.compile(r"\s*(-?\d{1,9})")
 _GAPS = re.compile(r"[ \t\n\r\f]+")
 
 
 class Node:
-    __slots__ = ("attrs", "children", "tag")
+    """``shown``: whether it shows by its own name and attributes. ``inner``: svg,
+    text (of an svg) or math where its content is not HTML."""
+
+    __slots__ = ("attrs", "children", "inner", "shown", "tag")
+
+    def __init__(self, tag: str, attrs: str = "", outer: str = ""):
+        self.tag, self.children = tag, []
+        self.attrs = _attributes(attrs) if attrs and _READ.search(attrs) else {}
+        kind = "svg" if outer == "text" else outer
+        if kind:
+            self.shown = tag not in _UNSEEN_IN[kind]
+            self.inner = "" if tag in _HTML_IN[kind] else "text" if kind == "svg" and tag == "text" else outer
+        else:
+            self.shown, self.inner = tag not in UNSEEN, ""
+        if tag in ("svg", "math"):
+            self.inner = tag
+        if self.attrs and self.shown:
+            self.shown = "hidden" not in self.attrs and not _hides(self.attrs, bool(kind) or tag == "svg")
+
+
+def _attributes(raw: str) -> dict[str, str]:
+    """Names, in lower case, and values; of a repeated name the first counts."""
+    out: dict[str, str] = {}
+    for m in _ATTR.finditer(raw):
+        out.setdefault(m[1].lower(), _words(m[2] or m[3] or m[4] or ""))
+    return out
 
-    def __init__(self, tag: str, attrs: str = ""):
-        self.tag, self.attrs, self.children = tag, attrs, []
+
+def _hides(attrs: dict[str, str], drawn: bool) -> bool:
+    """Whether the style, or in a drawing the attributes of that name, hide."""
+    found = {k: attrs[k].strip().lower() for k in ("display", "visibility") if drawn and k in attrs}
+    strong: set[str] = set()
+    for part in _REMARK.sub("", attrs.get("style", "")).split(";"):
+        name, _, value = part.partition(":")
+        name, (value, bang, _) = name.strip().lower(), value.partition("!")
+        if name in ("display", "visibility") and value.strip() and (bang or name not in strong):
+            found[name] = value.strip().lower()
+            strong |= {name} if bang else set()
+    return found.get("display") == "none" or found.get("visibility") in ("hidden", "collapse")
 
 
 def parse(page: str) -> Node:
@@ -81,11 +134,16 @@ def parse(page: str) -> Node:
         m = _TAG.search(page, at)
         if m is None:
             break
-        if m.start() > at:
+        if m.start() > at and stack[-1].inner != "svg":
             stack[-1].children.append(page[at : m.start()])
         at = m.end()
         tag = m[2]
         if tag is None:
+            if stack[-1].inner and page.startswith("<![CDATA[", m.start()):
+                start, end = m.start() + 9, page.find("]]>", m.start())
+                if stack[-1].inner != "svg":
+                    stack[-1].children.append(page[start : end if end >= 0 else len(page)].replace("&", "&amp;"))
+                at = end + 3 if end >= 0 else len(page)
             continue
         tag = tag.lower()
         if m[1]:
@@ -106,11 +164,15 @@ def parse(page: str) -> Node:
             continue
         if len(stack) > 1 and stack[1].tag == "head" and tag in BLOCKS and tag != "body":
             del stack[1:]  # content ends the head
-        if tag in CLOSES:
+        if stack[-1].inner and tag in _ENDS_FOREIGN:
+            while stack[-1].inner:
+                stack.pop()
+        outer = stack[-1].inner
+        if tag in CLOSES and not outer:
             close(*CLOSES[tag])
-        node = Node(tag, m[3])
+        node = Node(tag, m[3], outer)
         stack[-1].children.append(node)
-        if tag in VOID or m[3].endswith("/") and tag in UNSEEN:
+        if tag in VOID or m[3].endswith("/") and (outer or tag in UNSEEN or tag in ("svg", "math")):
             continue
         if tag in RAW:
             end = re.compile(rf"</{re.escape(tag)}(?=[\s/>]|\Z)[^>]*>?", re.I).search(page, at)
@@ -118,15 +180,11 @@ def parse(page: str) -> Node:
             at = end.end() if end else len(page)
             continue
         stack.append(node)
-    if at < len(page):
+    if at < len(page) and stack[-1].inner != "svg":
         stack[-1].children.append(page[at:])
     return root
 
 
-def _visible(node: Node) -> bool:
-    return node.tag not in UNSEEN and not (node.attrs and _HIDDEN.search(node.attrs))
-
-
 def _words(text: str) -> str:
     return html.unescape(text) if "&" in text else text
 
@@ -188,7 +246,7 @@ def _rows(table: Node) -> list[list[Node]]:
     while waiting:
         node = waiting.pop()
         for child in reversed(node.children) if node.tag in ("table", "thead", "tbody", "tfoot") else ():
-            if isinstance(child, Node) and _visible(child):
+            if isinstance(child, Node) and child.shown:
                 waiting.append(child)
             elif isinstance(child, str) and child.strip():
                 loose = Node("td")
@@ -198,7 +256,7 @@ def _rows(table: Node) -> list[list[Node]]:
             cells = []
             for child in node.children:
                 if isinstance(child, Node):
-                    if _visible(child):
+                    if child.shown:
                         cells.append(child)
                 elif child.strip():
                     loose = Node("td")
@@ -219,14 +277,14 @@ def layout(root: Node) -> str:
         node = waiting.pop()
         if node.tag == "table":
             order.append(node)
-        waiting.extend(c for c in node.children if isinstance(c, Node) and _visible(c))
+        waiting.extend(c for c in node.children if isinstance(c, Node) and c.shown)
     for table in reversed(order):
         rows = []
         for cells in _rows(table):
             row = []
             for cell in cells:
                 row.append(" ".join(_flow(cell, tables).split()))
-                span = _SPAN.search(cell.attrs) if cell.attrs else None
+                span = _SPAN.match(cell.attrs.get("colspan", ""))
                 row.extend([""] * (min(int(span[1]), 100) - 1 if span else 0))
             rows.append(row)
         widths: list[int] = []
@@ -251,7 +309,7 @@ def _flow(root: Node, tables: dict[int, str]) -> str:
             page.text(item, pre > 0)
             continue
         tag = item.tag
-        lines = 2 if tag in SPACED else 1 if tag in BLOCKS else 0
+        lines = 2 if tag in SPACED else 1 if tag in BLOCKS or tag == "text" and item.inner == "text" else 0
         if tag in _LISTS and (lists if opening else lists[1:]):
             lines = 1  # a list inside a list
         if not opening:
@@ -265,7 +323,7 @@ def _flow(root: Node, tables: dict[int, str]) -> str:
                 if tag == "li":
                     page.mark = ""
             continue
-        if item is not root and not _visible(item):
+        if item is not root and not item.shown:
             continue
         if tag == "br":
             page.turn(page.gap + 1 if page.gap else 1)
@@ -282,7 +340,7 @@ def _flow(root: Node, tables: dict[int, str]) -> str:
         if tag in ("td", "th") and not page.fresh and not page.gap:
             page.space = True
         if tag in _LISTS:
-            first = _FIRST.search(item.attrs) if item.attrs else None
+            first = _FIRST.match(item.attrs.get("start", ""))
             lists.append([tag, int(first[1]) if first else 1])
             page.indent += 1
         elif tag == "li" and lists:

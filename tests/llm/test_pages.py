@@ -31,6 +31,26 @@ def test_layout(page, want):
     assert visible_text(page) == want
 
 
+def test_only_the_attributes_hidden_and_style_hide():
+    shown = ['class="nav hidden md:flex"', "title='a hidden gem'", 'data-style="display:none"', 'data-x="style=display:none"', "alt=x data-hidden", 'style="--display: none"',
+             'style="display:none;display:block"', 'style="/* display:none */"', 'aria-hidden="false"']
+    for attrs in shown:
+        assert visible_text(f"<div {attrs}>a<b>b</b></div>c") == "ab\nc", attrs
+    for attrs in ["hidden", 'HIDDEN=""', "hidden=until-found id=x", 'id="x"hidden', "class='a' Style='color:red; DISPLAY : none'", "style=visibility:hidden", 'style="display&#58;none"',
+                  'style="display:none !important;display:block"']:
+        assert visible_text(f"<div {attrs}>a<b>b</b></div>c") == "c", attrs
+    assert visible_text('<ol data-start=7 title="start=9"><li>x</ol>') == "1. x"
+
+
+def test_text_of_drawings_and_formulas():
+    chart = '<svg viewBox="0 0 9 9">loose<title>t</title><defs><text>no</text></defs><path d="M0"/><text x="1">North <tspan>12</tspan></text><text>South<![CDATA[ <9]]></text></svg>'
+    assert visible_text(f"<p>Sales</p>{chart}<p>end</p>") == "Sales\n\nNorth 12\nSouth <9\n\nend"
+    assert visible_text("a <svg><foreignObject><p>in</p></foreignObject></svg> b").split() == ["a", "in", "b"]
+    assert visible_text("<p>if <math><semantics><mrow><mi>x</mi><mo>&lt;</mo><mn>3</mn></mrow><annotation>x<3</annotation></semantics></math> then") == "if x<3 then"
+    assert visible_text("x<svg/>y<svg><path d='M0'><p>z") == "xy\n\nz"
+    assert visible_text("<svg display=none><text>no</text></svg>yes") == "yes"
+
+
 def test_depth_and_length():
     assert visible_text("<div>" * 30_000 + "deep") == "deep"
     assert visible_text("<ul><li>" * 2_000 + "item").endswith("- item")
