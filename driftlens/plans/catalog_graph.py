@@ -55,9 +55,15 @@ def _(v: Views):
     return gr.pagerank(v.graph, rounds=ROUNDS, tolerance=0.0).select("account_id", F.round("pagerank", 7).alias("pagerank"))
 
 
+@query("n02_pagerank_converged")
+def _(v: Views):
+    """To the operator's tolerance; ``n02_pagerank`` is the check of its rounds."""
+    return gr.pagerank(v.graph).select("account_id", F.round("pagerank", 7).alias("pagerank"))
+
+
 @query("n03_sampled_betweenness")
 def _(v: Views):
-    return gr.sampled_betweenness(v.graph, pivots=64).select("account_id", r6("betweenness").alias("betweenness"))
+    return gr.sampled_betweenness(v.graph).select("account_id", r6("betweenness").alias("betweenness"))
 
 
 @query("n04_two_hop_reach", with_views(["v_graph"], """
@@ -86,7 +92,7 @@ def _(v: Views):
 
 @query("n07_bridge_accounts")
 def _(v: Views):
-    return gr.bridge_accounts(v.graph, gr.communities(v.graph), gr.sampled_betweenness(v.graph, pivots=64, directed=False))
+    return gr.bridge_accounts(v.graph, gr.communities(v.graph), gr.sampled_betweenness(v.graph, pivots=300, directed=False))
 
 
 @query("n08_graph_payload")
@@ -97,7 +103,7 @@ def _(v: Views):
 
 @query("n09_influence_views")
 def _(v: Views):
-    out = gr.influence_views(v.edges, v.flagged, v.coord_accounts, v.accounts, pivots=32, bridge_pivots=32)
+    out = gr.influence_views(v.edges, v.flagged, v.coord_accounts, v.accounts)
     return out["influencers"].select("view", "rank", "account_id", r6("influence").alias("influence"), "role", "rank_other_view", "handle")
 
 

@@ -289,7 +289,7 @@ def _(v: Views):
 # -- forecasts ---------------------------------------------------------------
 @query("b06_gbr_forecast")
 def _(v: Views):
-    d = fc.gbr_forecast(v.series, trees=40)
+    d = fc.gbr_forecast(v.series)
     return d.select("topic_id", "model", ts("bucket_start").alias("bucket_start"), *[r6(c).alias(c) for c in ("predicted", "lower", "upper")])
 
 
@@ -301,7 +301,7 @@ def _(v: Views):
 
 @query("b08_compute_forecasts")
 def _(v: Views):
-    d = fc.compute_forecasts(v.series, v.posts_core, v.assign, trees=20)
+    d = fc.compute_forecasts(v.series, v.posts_core, v.assign)
     return d.groupBy("topic_id", "model").agg(F.count("*").alias("hours"))
 
 
@@ -314,4 +314,4 @@ def _(v: Views):
 
 @query("b09_backtest")
 def _(v: Views):
-    return fc.backtest(v.series, v.posts_core, v.assign, trees=20)
+    return fc.backtest(v.series, v.posts_core, v.assign)

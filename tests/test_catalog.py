@@ -1,7 +1,10 @@
 """Catalogue wiring, SQL parity on the smallest tables, privacy of outputs."""
 
+import importlib
+import inspect
 import os
 import sys
+from unittest import mock
 
 import duckdb
 import pytest
@@ -41,3 +44,34 @@ def test_no_account_carries_an_audience_cue(spark):
     for name in ("x17_infer_region", "x18_infer_interest", "x19_infer_age_bracket", "g17_dimension_counts", "g19_cohort_demographics", "n12_account_detail"):
         columns = set(entry_module.queries()[name](spark, SF).columns)
         assert not ({"account_id", "author_id"} & columns and cues & columns)
+
+
+@pytest.mark.parametrize("name, operator, want", [
+    ("n02_pagerank_converged", "graph.pagerank", {"tolerance": 1e-6}), ("n03_sampled_betweenness", "graph.sampled_betweenness", {"pivots": 200}),
+    ("n07_bridge_accounts", "graph.sampled_betweenness", {"pivots": 300, "directed": False}),
+    ("n09_influence_views", "graph.influence_views", {"pivots": 200, "bridge_pivots": 300}),
+    ("b06_gbr_forecast", "forecast.gbr_forecast", {"trees": 150}), ("b08_compute_forecasts", "forecast.compute_forecasts", {"trees": 150}),
+    ("b09_backtest", "forecast.backtest", {"trees": 150}),
+])
+def test_queries_run_the_whole_job(monkeypatch, name, operator, want):
+    from driftlens.plans import catalog
+
+    class Called(Exception):
+        pass
+
+    module, attribute = operator.split(".")
+    module = importlib.import_module(f"driftlens.operators.{module}")
+    signature = inspect.signature(getattr(module, attribute))
+
+    def called(*args, **options):
+        bound = signature.bind(*args, **options)
+        bound.apply_defaults()
+        raise Called({k: bound.arguments[k] for k in want})
+
+    catalog.load()
+    monkeypatch.setattr(module, attribute, called)
+    if name.startswith("n07"):
+        monkeypatch.setattr(module, "communities", lambda graph: graph)
+    with pytest.raises(Called) as got:
+        catalog._QUERIES[name](mock.MagicMock())
+    assert got.value.args[0] == want
