@@ -226,22 +226,22 @@ def rank_in_other_view(raw: DataFrame, organic: DataFrame, depth: int = 500) ->
     return a.join(b, "account_id", "full")
 
 
-def communities(graph: DataFrame, rounds: int = 6, passes: int = 2, resolution: float = 1.0,
-                settled: float = 0.01) -> DataFrame:
+def communities(graph: DataFrame, rounds: int = 6, resolution: float = 1.0, max_rounds: int = 10_000) -> DataFrame:
     """(account_id, community) by modularity: local moving, then aggregation.
 
     In a round a node may move to the neighbouring community of the best
-    positive modularity gain. All nodes moving at once can swap for ever, so a
-    round moves the half picked by a hash of (node, round). A pass ends when
-    fewer than ``settled`` of the nodes move; its communities become the nodes
-    of a smaller graph for the next pass. The label is the smallest member.
+    positive modularity gain. A pass ends when no node has such a move; its
+    communities become the nodes of a smaller graph for the next pass, until a
+    pass merges nothing. The label is the smallest member.
     """
     links = cut_lineage(undirected(graph), "links")
+    two_m = links.agg(F.sum("weight")).first()[0]
     member = vertices(graph).select("account_id", F.col("account_id").alias("node"))
     loops = None
-    for _ in range(passes):
-        label = _local_moving(links, loops, rounds, resolution, settled)
-        if label is None:
+    while two_m and links.limit(1).count():
+        label = _local_moving(links, loops, two_m, rounds, resolution, max_rounds)
+        before, after = label.agg(F.count("*"), F.countDistinct("community")).first()
+        if after == before:
             break
         member = cut_lineage(
             member.join(label, "node", "left").select("account_id", F.coalesce("community", "node").alias("node")), "member"
@@ -258,50 +258,66 @@ def communities(graph: DataFrame, rounds: int = 6, passes: int = 2, resolution:
             inner = inner.unionByName(old).groupBy("node").agg(F.sum("loop").alias("loop"))
         loops = cut_lineage(inner, "loops")
         links = merged.where("src != dst")
-        if links.limit(1).count() == 0:
-            break
     smallest = member.groupBy("node").agg(F.min("account_id").alias("community"))
     return member.join(smallest, "node").select("account_id", "community")
 
 
-def _local_moving(links: DataFrame, loops: DataFrame | None, rounds: int, resolution: float, settled: float) -> DataFrame | None:
+def _local_moving(links: DataFrame, loops: DataFrame | None, two_m: float, rounds: int, resolution: float, max_rounds: int) -> DataFrame:
+    """(node, community) from which no node has a move of positive gain.
+
+    All nodes moving at once can swap for ever. The first rounds move the half
+    picked by a hash of (node, round), then the other half; they end at the
+    latest after ``rounds`` rounds without a new least number of moves. Later
+    rounds test all nodes, and of the moves that leave or enter one community
+    only the first by a hash is made: their gains add up, so each round raises
+    modularity and the rounds come to an end.
+    """
     degree = links.groupBy(F.col("src").alias("node")).agg(F.sum("weight").alias("k"))
     if loops is not None:
         degree = degree.join(loops, "node", "left").select("node", (F.col("k") + F.coalesce("loop", F.lit(0.0))).alias("k"))
     label = cut_lineage(degree.select("node", "k", F.col("node").alias("community")), "label")
-    two_m, n = label.agg(F.sum("k"), F.count("*")).first()
-    if not two_m:
-        return None
-    moved_any = False
-    quiet = 0
-    for r in range(2 * rounds):
+
+    def choices(active: Column) -> DataFrame:
         total = label.groupBy("community").agg(F.sum("k").alias("tot"))
-        active = F.pmod(F.xxhash64("node", F.lit(r // 2)), F.lit(2)) == r % 2
         movers = label.where(active).select("node", "k", F.col("community").alias("own"))
         toward = links.join(movers, F.col("src") == F.col("node")).join(
             label.select(F.col("node").alias("dst"), "community"), "dst"
         ).groupBy("node", "k", "own", "community").agg(F.sum("weight").alias("w"))
+        # a node without links into its own community may leave it too
+        toward = toward.unionByName(movers.select("node", "k", "own", F.col("own").alias("community"), F.lit(0.0).alias("w"))).groupBy(
+            "node", "k", "own", "community").agg(F.sum("w").alias("w"))
         rest = F.col("tot") - F.when(F.col("community") == F.col("own"), F.col("k")).otherwise(0.0)
         gain = toward.join(total, "community").withColumn("g", F.round(F.col("w") - resolution * F.col("k") * rest / F.lit(two_m), 9))
-        stay = F.max(F.when(F.col("community") == F.col("own"), F.col("g")))
-        best = gain.groupBy("node").agg(
-            F.coalesce(stay, F.lit(0.0)).alias("g0"),
+        best = gain.groupBy("node", "own").agg(
+            F.max(F.when(F.col("community") == F.col("own"), F.col("g"))).alias("g0"),
             F.max(F.when(F.col("community") != F.col("own"), F.struct("g", F.xxhash64("community").alias("tie"), F.col("community").alias("c")))).alias("b"),
         )
-        choice = best.where(F.col("b.g") > F.greatest(F.col("g0"), F.lit(0.0)) + 1e-9).select("node", F.col("b.c").alias("to"))
-        new = cut_lineage(
-            label.join(choice, "node", "left").select("node", "k", F.coalesce("to", "community").alias("community"),
-                                                      F.col("to").isNotNull().alias("moved")), "label",
-        )
-        moved = new.where("moved").count()
-        label = new.drop("moved")
-        moved_any = moved_any or moved > 0
-        quiet = quiet + 1 if moved <= settled * n else 0
-        if quiet == 2:
-            break
-    if not moved_any:
-        return None
-    return label.select("node", "community")
+        return best.where(F.col("b.g") > F.greatest(F.col("g0"), F.lit(0.0)) + 1e-9).select("node", "own", F.col("b.c").alias("to"))
+
+    def moved(choice: DataFrame) -> tuple[DataFrame, int]:
+        new = cut_lineage(label.join(choice.select("node", "to"), "node", "left").select(
+            "node", "k", F.coalesce("to", "community").alias("community"), F.col("to").isNotNull().alias("moved")), "label")
+        return new.drop("moved"), new.where("moved").count()
+
+    least, since, r = None, 0, 0
+    while since < rounds:
+        count = 0
+        for half in range(2):
+            label, n = moved(choices(F.pmod(F.xxhash64("node", F.lit(r)), F.lit(2)) == half))
+            count += n
+        r += 1
+        if count == 0:
+            return label.select("node", "community")
+        least, since = (count, 0) if least is None or count < least else (least, since + 1)
+    for r in range(max_rounds):
+        wish = cut_lineage(choices(F.lit(True)).withColumn("turn", F.struct(F.xxhash64("node", F.lit(r)).alias("h"), "node")), "wish")
+        ends = wish.select(F.col("own").alias("c"), "turn").unionByName(wish.select(F.col("to").alias("c"), "turn"))
+        first = ends.groupBy("c").agg(F.min("turn").alias("turn"))
+        free = first.groupBy("turn").agg(F.count("*").alias("n")).where("n = 2").select(F.col("turn.node").alias("node"))
+        label, n = moved(wish.join(free, "node"))
+        if n == 0:
+            return label.select("node", "community")
+    raise RuntimeError("communities did not settle; raise max_rounds")
 
 
 def bridge_accounts(graph: DataFrame, community: DataFrame, betweenness: DataFrame, top_n: int = 10) -> DataFrame:

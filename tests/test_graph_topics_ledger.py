@@ -49,6 +49,26 @@ def test_bridge_of_two_cliques(spark):
     assert max(exact, key=exact.get) == "bridge"
 
 
+def test_communities_end_at_their_criterion(spark):
+    """No move of a node and no merge of two communities gains modularity."""
+    n = 80
+    label = {int(r["account_id"][1:]): r["community"] for r in gr.communities(graph_of(spark, [(f"v{i:02d}", f"v{i + 1:02d}") for i in range(n - 1)])).collect()}
+    m, links = n - 1, [(i, i + 1) for i in range(n - 1)]
+    assert len(label) == n
+
+    def modularity(of):
+        degree = {}
+        for a, b in links:
+            for x in (a, b):
+                degree[of[x]] = degree.get(of[x], 0) + 1
+        return sum(of[a] == of[b] for a, b in links) / m - sum((d / (2 * m)) ** 2 for d in degree.values())
+
+    reached = modularity(label)
+    for a, b in links:
+        if label[a] != label[b]:
+            assert modularity({k: label[b] if c == label[a] else c for k, c in label.items()}) <= reached + 1e-6
+
+
 def test_pagerank_sums_to_one(spark):
     g = graph_of(spark, [("a", "b"), ("b", "c"), ("c", "a"), ("d", "a")])
     r = {x["account_id"]: x["pagerank"] for x in gr.pagerank(g).collect()}
