@@ -182,11 +182,57 @@ def _(v: Views):
     return d.select("cluster", "account_id", r6("co_sync").alias("co_sync"), r6("regularity").alias("regularity"), "n_posts", r6("score").alias("score"))
 
 
+# -- the same over all kinds of links; the queries above are checked by SQL on text links
+def all_clusters(v: Views):
+    return v.stage("all_clusters", lambda: co.narrative_clusters(grouped(v), co.narrative_links(grouped(v), tags="hashtags", text_slot=WEEK), MIN_POSTS))
+
+
+def all_features(v: Views):
+    return v.stage("all_features", lambda: co.cluster_features(grouped(v), all_clusters(v)))
+
+
+@query("c02_narrative_clusters_all_links")
+def _(v: Views):
+    return all_clusters(v)
+
+
+@query("g12_cross_account_dup_ratio_all_links")
+def _(v: Views):
+    return co.cross_account_duplicates(grouped(v).join(all_clusters(v), ["platform", "post_id"])).withColumn("dup_ratio", r6("dup_ratio"))
+
+
+@query("c03_cluster_score_all_links")
+def _(v: Views):
+    d = co.score_clusters(all_features(v), min_accounts=MIN_ACCOUNTS, threshold=0.05)
+    return d.select("cluster", "n_posts", "n_accounts", *[r6(c).alias(c) for c in ("hn", "burstiness", "sync", "dup_ratio", "score")])
+
+
+@query("g13_regular_share_all_links")
+def _(v: Views):
+    return all_features(v).select("cluster", r6("regular_share").alias("regular_share"))
+
+
+@query("g14_mode_topic_all_links")
+def _(v: Views):
+    return co.mode_topic(grouped(v), all_clusters(v), v.assign)
+
+
+@query("c04_co_sync_all_links")
+def _(v: Views):
+    return co.co_sync(grouped(v), all_clusters(v), seconds=43_200).withColumn("co_sync", r6("co_sync"))
+
+
+@query("c05_account_score_all_links")
+def _(v: Views):
+    d = co.score_accounts(co.account_features(grouped(v), all_clusters(v), all_features(v), seconds=43_200))
+    return d.select("cluster", "account_id", r6("co_sync").alias("co_sync"), r6("regularity").alias("regularity"), "n_posts", r6("score").alias("score"))
+
+
 @query("c06_run_coordination")
 def _(v: Views):
     """The whole detector with near-duplicate text groups."""
-    posts = v.posts.select("platform", "post_id", "author_id", "created_at", "origin_post_id", "text", "text_key")
-    _clusters, accounts = co.run_coordination(posts, v.assign, min_sim=0.98, text_slot=WEEK, use=("text",), min_posts=MIN_POSTS, min_accounts=MIN_ACCOUNTS, threshold=0.05)
+    posts = v.posts.select("platform", "post_id", "author_id", "created_at", "origin_post_id", "hashtags", "text", "text_key")
+    _clusters, accounts = co.run_coordination(posts, v.assign, tags="hashtags", text_slot=WEEK, min_posts=MIN_POSTS, min_accounts=MIN_ACCOUNTS, threshold=0.05)
     return accounts.select("platform", "account_id", "cluster", r6("score").alias("score"), "reasons.co_sync", "reasons.cluster_score")
 
 

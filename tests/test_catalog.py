@@ -75,3 +75,25 @@ def test_queries_run_the_whole_job(monkeypatch, name, operator, want):
     with pytest.raises(Called) as got:
         catalog._QUERIES[name](mock.MagicMock())
     assert got.value.args[0] == want
+
+
+@pytest.mark.parametrize("name, attribute", [("c06_run_coordination", "run_coordination"), ("c02_narrative_clusters_all_links", "narrative_links")])
+def test_coordination_over_all_links(spark, monkeypatch, name, attribute):
+    from driftlens.operators import coordination
+    from driftlens.plans import catalog
+
+    catalog.load()
+    signature, seen = inspect.signature(getattr(coordination, attribute)), {}
+
+    def called(*args, **options):
+        bound = signature.bind(*args, **options)
+        bound.apply_defaults()
+        seen.update(bound.arguments)
+        raise InterruptedError
+
+    monkeypatch.setattr(coordination, attribute, called)
+    views = mock.MagicMock()
+    views.stage = lambda name, build: build()
+    with pytest.raises(InterruptedError):
+        catalog._QUERIES[name](views)
+    assert set(seen["use"]) == {"text", "tag", "origin"} and seen.get("min_sim", 0.9) == 0.9 and seen["tags"] == "hashtags"
