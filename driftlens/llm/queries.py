@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from driftlens.llm import decontaminate, fim, fingerprints, linededup, neardup, pages, pieces, quality, toxicity, transducer, urls
+from driftlens.llm import decontaminate, fim, fingerprints, linededup, neardup, pages, pieces, quality, sharding, toxicity, transducer, urls
 from driftlens.llm.tables import table, tokenizer_path
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -155,3 +155,8 @@ FROM parts
 @query("op11_fill_in_middle", FIM_SQL)
 def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fim.fill_in_middle_digests(table(spark, sf_dir, "documents"))
+
+
+@query("op13_sharding")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.assign_shards(table(spark, sf_dir, "documents"))
