@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from driftlens.llm import decontaminate, fim, fingerprints, linededup, neardup, pages, pieces, quality, sharding, toxicity, transducer, urls
+from driftlens.llm import conversations, decontaminate, fim, fingerprints, linededup, neardup, pages, pieces, quality, sharding, toxicity, transducer, urls
 from driftlens.llm.tables import table, tokenizer_path
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -160,3 +160,42 @@ def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op13_sharding")
 def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign_shards(table(spark, sf_dir, "documents"))
+
+
+# crc32 of an id's decimal digits; sequences as lists of turn digests, nodes as their prefixes
+TRIE_SQL = """
+WITH turns AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL
+), tokens AS (
+  SELECT conv_id, turn, length(text) AS len, md5(length(role)::VARCHAR || ':' || role || text) AS t FROM turns
+), own AS (
+  SELECT conv_id, list({'t': t, 'len': len} ORDER BY turn NULLS FIRST, t) AS s FROM tokens GROUP BY conv_id
+), heads AS (
+  SELECT conv_id, s, conv_id - conv_id % 100 AS base,
+         (xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(conv_id::VARCHAR, ''), lambda x: ascii(x)::BIGINT)),
+              lambda a, b: list_reduce(list_prepend(xor(a, b), range(8)), lambda r, i: CASE WHEN r & 1 = 1 THEN xor(r >> 1, 3988292384) ELSE r >> 1 END)), 4294967295) % 6)::BIGINT AS h
+  FROM own
+), built AS (
+  SELECT x.conv_id, list_concat(coalesce(b.s[1:x.h], []), x.s[x.h + 1:]) AS s FROM heads x LEFT JOIN own b ON b.conv_id = x.base
+), prefixes AS (
+  SELECT conv_id, d, len(s) = d AS ends, md5(array_to_string(list_transform(s[1:d], lambda x: x.t), ',')) AS k,
+         CASE WHEN d > 0 THEN md5(array_to_string(list_transform(s[1:d - 1], lambda x: x.t), ',')) END AS up, CASE WHEN d > 0 THEN s[d].len ELSE 0 END AS len
+  FROM (SELECT conv_id, s, unnest(range(0, len(s) + 1)) AS d FROM built)
+), nodes AS (
+  SELECT d, k, any_value(up) AS up, min(conv_id) AS conv_id, count(*) AS n, any_value(len) AS len,
+         sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (WHERE ends), '')) AS ends_sha256
+  FROM prefixes GROUP BY d, k
+), children AS (SELECT d - 1 AS d, up AS k, count(*) AS c FROM nodes WHERE d > 0 GROUP BY ALL),
+known AS (SELECT n.*, coalesce(c.c, 0) AS c FROM nodes n LEFT JOIN children c ON n.d = c.d AND n.k = c.k),
+sums AS (
+  SELECT p.d, p.k, count(*) FILTER (WHERE x.c = 0) AS n_leaves, sum((x.n - 1) * x.len) AS saved
+  FROM known x JOIN prefixes p ON p.conv_id = x.conv_id AND p.d <= x.d GROUP BY p.d, p.k
+)
+SELECT x.conv_id, x.d AS depth, u.conv_id AS parent_conv_id, x.n AS n_convs, x.c AS n_children, s.n_leaves, s.saved::BIGINT AS saved_tokens, x.ends_sha256
+FROM known x JOIN sums s ON s.d = x.d AND s.k = x.k LEFT JOIN known u ON u.d = x.d - 1 AND u.k = x.up
+"""
+
+
+@query("op12_conversation_trie", TRIE_SQL)
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversations.conversation_trie(table(spark, sf_dir, "conversations"))

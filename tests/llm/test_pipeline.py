@@ -44,4 +44,4 @@ def test_registered():
 
     names = entry_module.queries()
     assert "pipeline" in names
-    assert {f"op{n}" for n in range(1, 12)} == {n.split("_")[0] for n in names if n.startswith("op")}
+    assert {f"op{n}" for n in range(1, 14)} == {n.split("_")[0] for n in names if n.startswith("op")}
