@@ -227,15 +227,19 @@ def text_groups(posts: DataFrame, min_sim: float | None = None, embedder=None) -
     """(text_key, text_group) of posts' texts.
 
     Equal normalised texts share a key. Without ``min_sim`` the key is the
-    group; with it, keys whose vectors are near duplicates share one. Each
-    distinct text is embedded once.
+    group; with it, keys whose n-gram counts are near duplicates share one, by the
+    prefix index of ``grams``. With ``embedder`` its dense vectors are compared
+    instead, block by block. Each distinct text is embedded once.
     """
     key = F.col("text_key") if "text_key" in posts.columns else tx.duplicate_key(F.col("text"))
     keyed = posts.select(key.alias("text_key"), "text")
     unique = keyed.groupBy("text_key").agg(F.min("text").alias("text"))
     if min_sim is None:
         return unique.select("text_key", F.col("text_key").alias("text_group"))
-    embed = embedder or (lambda d: hash_embed(d, "text_key"))
-    vecs = cut_lineage(embed(unique), "vectors")
-    groups = near_groups(vecs, min_sim, key="text_key")
+    if embedder is None:
+        from driftlens.operators.grams import near_texts
+
+        groups = near_texts(cut_lineage(unique, "texts"), min_sim)
+    else:
+        groups = near_groups(cut_lineage(embedder(unique), "vectors"), min_sim, key="text_key")
     return groups.select("text_key", F.col("group").alias("text_group"))

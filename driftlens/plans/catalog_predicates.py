@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from driftlens.functions import fixed
 from driftlens.functions.sequence import top_n_per_group, with_previous
 from driftlens.operators import alerts as al
 from driftlens.operators import coordination as co
@@ -291,8 +292,8 @@ def _(v: Views):
 
 @query("v03_near_duplicate_groups")
 def _(v: Views):
-    """Texts per near-duplicate group (cosine >= 0.98 of hashed n-grams)."""
-    groups = links.text_groups(v.texts, 0.98)
+    """Texts per near-duplicate group (cosine of n-gram counts >= 0.9)."""
+    groups = links.text_groups(v.texts, fixed.DUPLICATE_SIMILARITY)
     return groups.groupBy("text_group").agg(F.count("*").alias("texts")).where("texts > 1")
 
 
