@@ -101,10 +101,12 @@ def hash_embed(texts: DataFrame, key: str, text: str = "text", dims: int = 384)
 BLOCK = 2048  # vectors of one side of a comparison: 2,048 x 384 x 4 bytes = 3 MB
 
 
-def compared(vecs: DataFrame, node: str, within: list[str], compare, schema: str, extra: str | None = None) -> DataFrame:
+def compared(vecs: DataFrame, node: str, within: list[str], compare, schema: str, extra: str | None = None,
+             unit_length: bool = True) -> DataFrame:
     """``compare(nodes, unit vectors, own block numbers or None, extra)`` for every
     pair of blocks with equal ``within``; its results as rows of ``schema``.
-    ``extra`` names a BIGINT column to hand over.
+    ``extra`` names a BIGINT column to hand over. Without ``unit_length`` vectors
+    keep their lengths and double precision.
 
     Vectors are dealt into blocks of about BLOCK by a hash. Each goes to the
     groups of its block with every other block, so each two vectors meet in
@@ -112,7 +114,7 @@ def compared(vecs: DataFrame, node: str, within: list[str], compare, schema: str
     of vectors or their distribution. Nothing is gathered or shared.
     """
     scope = [F.col(w).cast("string") for w in within]
-    tagged = vecs.select(F.col(node).alias("n"), F.concat_ws("\u0001", F.lit(""), *scope).alias("scope"), F.col("vector").cast("array<float>").alias("v"), (F.col(extra) if extra else F.lit(0)).cast("bigint").alias("x"))
+    tagged = vecs.select(F.col(node).alias("n"), F.concat_ws("\u0001", F.lit(""), *scope).alias("scope"), F.col("vector").cast("array<float>" if unit_length else "array<double>").alias("v"), (F.col(extra) if extra else F.lit(0)).cast("bigint").alias("x"))
     sizes = tagged.groupBy("scope").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
     d = tagged.join(sizes, "scope").withColumn("own", F.pmod(F.xxhash64("n"), "blocks"))
     d = d.withColumn("other", F.explode(F.expr("sequence(0L, blocks - 1)")))
@@ -129,7 +131,7 @@ def compared(vecs: DataFrame, node: str, within: list[str], compare, schema: str
                 return
             whole = pa.Table.from_batches(parts).combine_chunks()
             nodes = whole["n"].to_pandas().to_numpy()
-            unit = _unit_rows(whole["v"])
+            unit = _unit_rows(whole["v"], unit_length)
             own = whole["own"].to_numpy()
             found = compare(nodes, unit, own if key[1] != key[2] else None, whole["x"].to_numpy())
             yield pa.RecordBatch.from_arrays([pa.array(x, type=t) for x, t in zip(found, types, strict=True)], names)
@@ -151,13 +153,16 @@ def compared(vecs: DataFrame, node: str, within: list[str], compare, schema: str
     return groups.mapInArrow(run, schema)
 
 
-def _unit_rows(vectors) -> np.ndarray:
-    """Rows of unit length; a zero vector stays zero."""
+def _unit_rows(vectors, scaled: bool = True) -> np.ndarray:
+    """Rows of unit length; a zero vector stays zero. As they are, if not
+    ``scaled``."""
     if isinstance(vectors, pa.ChunkedArray):
         flat = vectors.combine_chunks()
         m = flat.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(flat), -1)
     else:
         m = np.asarray([np.asarray(v, dtype=np.float64) for v in vectors])
+    if not scaled:
+        return m
     n = np.linalg.norm(m, axis=1, keepdims=True)
     return m / np.where(n == 0, 1.0, n)
 

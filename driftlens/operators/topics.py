@@ -9,6 +9,7 @@ from driftlens.functions import text as tx
 from driftlens.functions.numeric import cosine
 from driftlens.functions.sequence import top_n_per_group
 from driftlens.operators.filters import POST_KEY
+from driftlens.operators.linkage import average_clusters
 from driftlens.operators.links import hash_embed, near_groups, similar_pairs
 from driftlens.session import cut_lineage
 
@@ -48,17 +49,22 @@ def window_clusters(posts: DataFrame, vecs: DataFrame, *, window_hours: int = 24
                     min_posts: int = MIN_POSTS, text_key: str = "topic_key") -> DataFrame:
     """(platform, post_id, window, cluster, text_key): clusters per time window.
 
-    Distinct texts of a window at cosine >= 1 - distance are connected (single
-    linkage; an average-linkage tree of a window would need the window in one
-    task). Clusters and windows under ``min_posts`` posts are noise. Chains are
-    cut afterwards by :func:`assign_posts`.
+    The average-linkage tree of a window's posts, cut at a mean cosine distance of
+    ``distance``. Distinct texts are connected at that distance first, exactly; the tree is
+    then grown inside each component (``linkage``), where all its merges lie. Clusters
+    and windows under ``min_posts`` posts are noise, and so are components.
     """
     d = window_number(posts.select(*POST_KEY, "created_at", text_key), window_hours)
     sizes = d.groupBy("window").agg(F.count("*").alias("n")).where(F.col("n") >= min_posts).select("window")
     d = cut_lineage(d.join(sizes, "window"), "windowed")
-    unique = d.select("window", text_key).distinct().join(vecs, text_key)
-    groups = near_groups(unique, 1.0 - distance, key=text_key, within=["window"])
-    members = d.join(groups.select("window", text_key, F.col("group").alias("cluster")), ["window", text_key])
+    unique = cut_lineage(d.groupBy("window", text_key).agg(F.count("*").alias("weight")).join(vecs, text_key), "unique")
+    parts = near_groups(unique, 1.0 - distance, key=text_key, within=["window"]).withColumnRenamed("group", "component")
+    parts = unique.join(parts, ["window", text_key])
+    known = parts.groupBy("component").agg(F.sum("weight").alias("n")).where(F.col("n") >= min_posts).select("component")
+    groups = average_clusters(parts.join(known, "component"), 1.0 - distance, key=text_key)
+    named = F.concat_ws("\u0001", F.col("window").cast("string"), "cluster").alias("cluster")
+    groups = parts.select("window", text_key, "component").join(groups, ["component", text_key]).select("window", text_key, named)
+    members = d.join(groups, ["window", text_key])
     big = members.groupBy("cluster").agg(F.count("*").alias("n")).where(F.col("n") >= min_posts).select("cluster")
     return members.join(big, "cluster").select(*POST_KEY, "created_at", "window", "cluster", text_key)
 
