@@ -7,7 +7,7 @@ the driver sees counts and a few scalars only.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from driftlens.functions import fixed
@@ -213,7 +213,6 @@ def top_influencers(scored: DataFrame, top_n: int = 20) -> DataFrame:
 def ranked(scored: DataFrame, depth: int = 500) -> DataFrame:
     """(account_id, rank) of the first ``depth`` accounts: a bounded set, so the
     numbering window runs over at most ``depth`` rows."""
-    from pyspark.sql import Window
 
     top = top_influencers(scored, depth)
     return top.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("influence"), "account_id")))
@@ -226,20 +225,22 @@ def rank_in_other_view(raw: DataFrame, organic: DataFrame, depth: int = 500) ->
     return a.join(b, "account_id", "full")
 
 
-def communities(graph: DataFrame, rounds: int = 6, resolution: float = 1.0, max_rounds: int = 10_000) -> DataFrame:
+def communities(graph: DataFrame, resolution: float = 1.0, max_rounds: int = 1000, stats: list | None = None) -> DataFrame:
     """(account_id, community) by modularity: local moving, then aggregation.
 
-    In a round a node may move to the neighbouring community of the best
-    positive modularity gain. A pass ends when no node has such a move; its
-    communities become the nodes of a smaller graph for the next pass, until a
-    pass merges nothing. The label is the smallest member.
+    A pass moves nodes to the neighbouring community of the best positive gain until
+    no node has one; its communities become the nodes of a smaller graph for the next
+    pass, until a pass merges nothing. The label is the smallest member. ``stats`` receives
+    the number of moves of each round, a list for each pass.
     """
     links = cut_lineage(undirected(graph), "links")
     two_m = links.agg(F.sum("weight")).first()[0]
     member = vertices(graph).select("account_id", F.col("account_id").alias("node"))
     loops = None
     while two_m and links.limit(1).count():
-        label = _local_moving(links, loops, two_m, rounds, resolution, max_rounds)
+        label, moves = _local_moving(links, loops, two_m, resolution, max_rounds)
+        if stats is not None:
+            stats.append(moves)
         before, after = label.agg(F.count("*"), F.countDistinct("community")).first()
         if after == before:
             break
@@ -262,64 +263,75 @@ def communities(graph: DataFrame, rounds: int = 6, resolution: float = 1.0, max_
     return member.join(smallest, "node").select("account_id", "community")
 
 
-def _local_moving(links: DataFrame, loops: DataFrame | None, two_m: float, rounds: int, resolution: float, max_rounds: int) -> DataFrame:
-    """(node, community) from which no node has a move of positive gain.
+SLOTS = 64
 
-    All nodes moving at once can swap for ever. The first rounds move the half
-    picked by a hash of (node, round), then the other half; they end at the
-    latest after ``rounds`` rounds without a new least number of moves. Later
-    rounds test all nodes, and of the moves that leave or enter one community
-    only the first by a hash is made: their gains add up, so each round raises
-    modularity and the rounds come to an end.
+
+def _local_moving(links: DataFrame, loops: DataFrame | None, two_m: float, resolution: float, max_rounds: int) -> tuple[DataFrame, list[int]]:
+    """(node, community) from which no node has a move of positive gain, and the
+    moves of each round.
+
+    Each node wishes for one move. A wish's strength is its gain over the node's degree, so
+    strengths and sums of degrees are in one unit. A community is a target in this round
+    when its strongest wish is to enter it, else a source; wishes from sources to targets
+    are without conflict but for the degrees that enter or leave together with
+    them. Wishes are ordered by strength, in slots; one is granted when its strength exceeds
+    the degrees that enter its target and leave its source no later than its slot. Any
+    order of the granted moves then gains with each, so every round raises modularity;
+    the strongest wish of all is always granted. A hub takes in its leaves in one round.
     """
     degree = links.groupBy(F.col("src").alias("node")).agg(F.sum("weight").alias("k"))
     if loops is not None:
         degree = degree.join(loops, "node", "left").select("node", (F.col("k") + F.coalesce("loop", F.lit(0.0))).alias("k"))
     label = cut_lineage(degree.select("node", "k", F.col("node").alias("community")), "label")
-
-    def choices(active: Column) -> DataFrame:
-        total = label.groupBy("community").agg(F.sum("k").alias("tot"))
-        movers = label.where(active).select("node", "k", F.col("community").alias("own"))
-        toward = links.join(movers, F.col("src") == F.col("node")).join(
-            label.select(F.col("node").alias("dst"), "community"), "dst"
-        ).groupBy("node", "k", "own", "community").agg(F.sum("weight").alias("w"))
-        # a node without links into its own community may leave it too
-        toward = toward.unionByName(movers.select("node", "k", "own", F.col("own").alias("community"), F.lit(0.0).alias("w"))).groupBy(
-            "node", "k", "own", "community").agg(F.sum("w").alias("w"))
-        rest = F.col("tot") - F.when(F.col("community") == F.col("own"), F.col("k")).otherwise(0.0)
-        gain = toward.join(total, "community").withColumn("g", F.round(F.col("w") - resolution * F.col("k") * rest / F.lit(two_m), 9))
-        best = gain.groupBy("node", "own").agg(
-            F.max(F.when(F.col("community") == F.col("own"), F.col("g"))).alias("g0"),
-            F.max(F.when(F.col("community") != F.col("own"), F.struct("g", F.xxhash64("community").alias("tie"), F.col("community").alias("c")))).alias("b"),
-        )
-        return best.where(F.col("b.g") > F.greatest(F.col("g0"), F.lit(0.0)) + 1e-9).select("node", "own", F.col("b.c").alias("to"))
-
-    def moved(choice: DataFrame) -> tuple[DataFrame, int]:
-        new = cut_lineage(label.join(choice.select("node", "to"), "node", "left").select(
-            "node", "k", F.coalesce("to", "community").alias("community"), F.col("to").isNotNull().alias("moved")), "label")
-        return new.drop("moved"), new.where("moved").count()
-
-    least, since, r = None, 0, 0
-    while since < rounds:
-        count = 0
-        for half in range(2):
-            label, n = moved(choices(F.pmod(F.xxhash64("node", F.lit(r)), F.lit(2)) == half))
-            count += n
-        r += 1
-        if count == 0:
-            return label.select("node", "community")
-        least, since = (count, 0) if least is None or count < least else (least, since + 1)
+    moves: list[int] = []
     for r in range(max_rounds):
-        wish = cut_lineage(choices(F.lit(True)).withColumn("turn", F.struct(F.xxhash64("node", F.lit(r)).alias("h"), "node")), "wish")
-        ends = wish.select(F.col("own").alias("c"), "turn").unionByName(wish.select(F.col("to").alias("c"), "turn"))
-        first = ends.groupBy("c").agg(F.min("turn").alias("turn"))
-        free = first.groupBy("turn").agg(F.count("*").alias("n")).where("n = 2").select(F.col("turn.node").alias("node"))
-        label, n = moved(wish.join(free, "node"))
-        if n == 0:
-            return label.select("node", "community")
+        wish = cut_lineage(_wishes(links, label, two_m, resolution, r), "wish")
+        if wish.isEmpty():
+            return label.select("node", "community"), moves
+        ends = wish.select(F.col("own").alias("c"), F.col("turn").alias("out"), F.lit(None).cast(wish.schema["turn"].dataType).alias("into")).unionByName(
+            wish.select(F.col("to").alias("c"), F.lit(None).cast(wish.schema["turn"].dataType).alias("out"), F.col("turn").alias("into")))
+        role = ends.groupBy("c").agg(F.min("out").alias("out"), F.min("into").alias("into"))
+        role = role.withColumn("target", F.col("into").isNotNull() & (F.col("out").isNull() | (F.col("into") < F.col("out"))))
+        allowed = wish.join(role.where("target").select(F.col("c").alias("to"), F.col("into").alias("first_in")), "to").join(
+            role.where("NOT target").select(F.col("c").alias("own"), F.col("out").alias("first_out")), "own")
+        flow = allowed.select(F.col("to").alias("c"), "step", "k").unionByName(allowed.select(F.col("own").alias("c"), "step", "k"))
+        # a community has some hundred steps at most
+        until = Window.partitionBy("c").orderBy("step")
+        flow = flow.groupBy("c", "step").agg(F.sum("k").alias("k")).select("c", "step", F.sum("k").over(until).alias("until"))
+        d = allowed.join(flow.select(F.col("c").alias("to"), "step", F.col("until").alias("enter")), ["to", "step"]).join(
+            flow.select(F.col("c").alias("own"), "step", F.col("until").alias("leave")), ["own", "step"])
+        first = (F.col("turn") == F.col("first_in")) & (F.col("turn") == F.col("first_out"))
+        granted = d.where(first | (F.col("strength") > F.col("enter") + F.col("leave") - 2 * F.col("k"))).select("node", "to")
+        new = label.join(granted, "node", "left").select("node", "k", F.coalesce("to", "community").alias("community"), F.col("to").isNotNull().alias("moved"))
+        new = cut_lineage(new, "label")
+        moves.append(new.where("moved").count())
+        label = new.drop("moved")
     raise RuntimeError("communities did not settle; raise max_rounds")
 
 
+def _wishes(links: DataFrame, label: DataFrame, two_m: float, resolution: float, r: int) -> DataFrame:
+    """(node, k, own, to, strength, turn, step): the best move of each node that gains by
+    one. ``turn`` orders all wishes, ``step`` the slots in which they are summed."""
+    total = label.groupBy("community").agg(F.sum("k").alias("tot"))
+    toward = links.join(label.select(F.col("node").alias("dst"), "community"), "dst").groupBy(F.col("src").alias("node"), "community").agg(F.sum("weight").alias("w"))
+    # a node without links into its own community may leave it too
+    toward = toward.unionByName(label.select("node", "community", F.lit(0.0).alias("w"))).groupBy("node", "community").agg(F.sum("w").alias("w"))
+    toward = toward.join(total, "community").join(label.select("node", "k", F.col("community").alias("own")), "node")
+    rest = F.col("tot") - F.when(F.col("community") == F.col("own"), F.col("k")).otherwise(0.0)
+    gain = toward.withColumn("g", F.round(F.col("w") - resolution * F.col("k") * rest / F.lit(two_m), 9))
+    best = gain.groupBy("node", "k", "own").agg(
+        F.max(F.when(F.col("community") == F.col("own"), F.col("g"))).alias("g0"),
+        F.max(F.when(F.col("community") != F.col("own"), F.struct("g", F.xxhash64("community").alias("tie"), F.col("community").alias("c")))).alias("b"),
+    )
+    best = best.where(F.col("b.g") > F.greatest(F.col("g0"), F.lit(0.0)) + 1e-9)
+    strength = (F.col("b.g") - F.col("g0")) * F.lit(two_m / resolution) / F.col("k")
+    drawn = F.xxhash64("node", F.lit(r))
+    d = best.select("node", "k", "own", F.col("b.c").alias("to"), strength.alias("strength"), drawn.alias("drawn"))
+    # strengths within an eighth share a step, in 64 slots by lot
+    step = F.floor(F.log2("strength") * -6) * SLOTS + F.pmod("drawn", F.lit(SLOTS))
+    return d.select("node", "k", "own", "to", "strength", F.struct((-F.col("strength")).alias("s"), "drawn", "node").alias("turn"), step.cast("long").alias("step"))
+
+
 def bridge_accounts(graph: DataFrame, community: DataFrame, betweenness: DataFrame, top_n: int = 10) -> DataFrame:
     """Accounts touching more than one community (their own included), highest
     betweenness first."""
