@@ -14,6 +14,7 @@ from driftlens.functions import fixed
 from driftlens.functions.sequence import top_n_per_group
 from driftlens.functions.time import time_bucket
 from driftlens.operators.filters import POST_KEY
+from driftlens.operators.paths import weighted_betweenness
 from driftlens.operators.timelines import with_emotions, with_topic
 from driftlens.session import cut_lineage
 
@@ -399,13 +400,15 @@ def graph_payload(graph: DataFrame, coord_accounts: DataFrame, behaviour: DataFr
 def influence_views(edges: DataFrame, flagged: DataFrame, coord_accounts: DataFrame, accounts: DataFrame, *,
                     top_n: int = 50, depth: int = 500, pivots: int = 200, bridge_pivots: int = 300,
                     bridges: int = 8) -> dict[str, DataFrame]:
-    """Influencer and bridge rankings for all accounts and for organic ones."""
+    """Influencer and bridge rankings for all accounts and for organic ones.
+    Influencers are ranked by paths whose length is the sum of weights, bridges by
+    their number of edges."""
     graphs = {"raw": build_graph(edges), "organic": build_graph(edges, flagged)}
     scored, bridge_frames = {}, []
     for view, g in graphs.items():
         g = cut_lineage(g, "graph")
         scored[view] = cut_lineage(
-            influence(g, two_hop_reach(g), pagerank(g), sampled_betweenness(g, pivots)), "influence"
+            influence(g, two_hop_reach(g), pagerank(g), weighted_betweenness(g, pivots)), "influence"
         )
         central = sampled_betweenness(g, bridge_pivots, directed=False)
         b = bridge_accounts(g, communities(g), central, bridges)

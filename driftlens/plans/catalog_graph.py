@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from driftlens.operators import graph as gr
+from driftlens.operators import paths as pt
 from driftlens.plans.catalog import query, r6, sql_ts, ts
 from driftlens.plans.views import Views, with_views
 
@@ -66,6 +67,12 @@ def _(v: Views):
     return gr.sampled_betweenness(v.graph).select("account_id", r6("betweenness").alias("betweenness"))
 
 
+@query("n03_weighted_betweenness")
+def _(v: Views):
+    """Over paths whose length is the sum of weights, as influencers are ranked."""
+    return pt.weighted_betweenness(v.graph).select("account_id", r6("betweenness").alias("betweenness"))
+
+
 @query("n04_two_hop_reach", with_views(["v_graph"], """
     SELECT id AS account_id, coalesce(n, 0) AS reach FROM (SELECT src AS id FROM v_graph UNION SELECT dst FROM v_graph) LEFT JOIN (SELECT target AS id, count(DISTINCT who) AS n FROM
       (SELECT src AS who, dst AS target FROM v_graph UNION SELECT a.src, b.dst FROM v_graph a JOIN v_graph b ON b.src = a.dst) WHERE who <> target GROUP BY 1) USING (id)"""))
@@ -85,6 +92,14 @@ def _(v: Views):
     return out.select("account_id", r6("influence").alias("influence"), "role")
 
 
+@query("n05_influencers")
+def _(v: Views):
+    """The first twenty accounts by reach, PageRank and weighted betweenness."""
+    g = v.graph
+    d = gr.influence(g, gr.two_hop_reach(g), gr.pagerank(g), pt.weighted_betweenness(g))
+    return gr.top_influencers(d).select("account_id", r6("influence").alias("influence"), "reach", "role")
+
+
 @query("n06_communities")
 def _(v: Views):
     return gr.communities(v.graph)
