@@ -34,3 +34,21 @@ def top_n_per_group(df: DataFrame, group: list[str], order: list[Column], n: int
     """First ``n`` rows per group; the optimiser limits per map task first."""
     w = Window.partitionBy(*group).orderBy(*order)
     return df.withColumn(rank, F.row_number().over(w)).where(F.col(rank) <= n)
+
+
+def numbered(df: DataFrame, order: list[str], into: str) -> DataFrame:
+    """Rows with their place along ``order``, from 0 without gaps. Ranges are sorted in
+    parallel and written once; only the number of rows of each is gathered."""
+    from driftlens.session import cut_lineage
+
+    spark = df.sparkSession
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    d = df.repartitionByRange(parts, *order).sortWithinPartitions(*order)
+    d = cut_lineage(d.withColumn("_id", F.monotonically_increasing_id()), "numbered")
+    part, before, starts = F.shiftright("_id", 33), 0, []
+    for r in sorted(d.groupBy(part.alias("_part")).agg(F.count("*").alias("n")).collect()):
+        starts.append((r["_part"], before))
+        before += r["n"]
+    table = spark.createDataFrame(starts, "_part long, _from long")  # a row per partition
+    d = d.withColumn("_part", part).join(F.broadcast(table), "_part")
+    return d.withColumn(into, F.col("_id").bitwiseAND((1 << 33) - 1) + F.col("_from")).drop("_part", "_id", "_from")

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from itertools import combinations
+from math import comb
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -12,6 +15,7 @@ from driftlens.functions.sequence import top_n_per_group
 from driftlens.operators.filters import POST_KEY
 from driftlens.operators.links import connected_components
 from driftlens.operators.timelines import with_topic
+from driftlens.session import cut_lineage
 
 COLUMNS = ["topic_id", "platform", "post_id", "author_id", "text", "created_at", "origin_post_id", "kind"]
 
@@ -126,43 +130,54 @@ def media_first_seen(media: DataFrame, post_media: DataFrame, posts: DataFrame)
     return media.where("phash IS NOT NULL").select("media_id", "phash").join(used, "media_id")
 
 
-def _bands(max_distance: int) -> tuple[int, int]:
-    """(bands, radius) by the pigeonhole: hashes within T bits agree on some of
-    m bands up to T // m bits. Six bands of radius one up to T = 11, else the
-    fewest bands that keep the radius at one."""
-    m = 6 if max_distance >= 6 else max_distance + 1
-    radius = max_distance // m
-    while radius > 1 and m < 32:
-        m += 1
-        radius = max_distance // m
-    return m, radius
+MAX_NEIGHBOURS = 5_000  # band values looked up per hash and band
+
+
+def band_plan(max_distance: int, n: int) -> tuple[int, int, float]:
+    """(bands, radius, candidates and look-ups per hash) for ``n`` hashes.
+
+    By the pigeonhole, hashes within T bits agree on some of m bands up to T // m bits.
+    Wide bands have few candidates and many neighbours to look up, narrow ones the
+    reverse, so the best number of bands falls as the hashes grow in number.
+    """
+    best = None
+    for m in range(2, max(2, min(max_distance + 1, 64)) + 1):
+        radius, width = max_distance // m, 64 // m
+        neighbours = sum(comb(width + 1, r) for r in range(radius + 1))
+        if neighbours <= MAX_NEIGHBOURS:
+            cost = m * neighbours * (1 + n / 2**width)
+            if best is None or cost < best[2]:
+                best = (m, radius, cost)
+    return best
 
 
-def similar_hashes(hashes: DataFrame, max_distance: int = 10, value: str = "phash") -> DataFrame:
+def _flips(width: int, radius: int) -> list[int]:
+    """Numbers of ``width`` bits with up to ``radius`` bits set."""
+    return [sum(1 << j for j in bits) for r in range(radius + 1) for bits in combinations(range(width), r)]
+
+
+def similar_hashes(hashes: DataFrame, max_distance: int = 10, value: str = "phash", bands: int | None = None) -> DataFrame:
     """(a, b, hamming), a < b: distinct 64-bit hex hashes within the distance.
 
     Multi-index hashing, exact: one side is keyed by its band values, the other
     by band values and their neighbours within the radius; the equi join is
-    verified by the true distance. A pair that meets in several bands is kept
-    by its first meeting only, so no global distinct is needed.
+    verified by the true distance. The number of bands follows the number of
+    hashes (``band_plan``), unless ``bands`` gives it.
     """
-    m, radius = _bands(max_distance)
-    bounds = [round(i * 64 / m) for i in range(m + 1)]
     as_long = F.conv(value, 16, -10).cast("bigint")
-    d = hashes.select(F.col(value).alias("h"), as_long.alias("v")).distinct()
+    d = cut_lineage(hashes.select(F.col(value).alias("h"), as_long.alias("v")).distinct(), "hashes")
+    m = bands or band_plan(max_distance, d.count())[0]
+    radius = max_distance // m
+    bounds = [round(i * 64 / m) for i in range(m + 1)]
+
+    def band(i: int, radius: int):
+        lo, width = bounds[i], bounds[i + 1] - bounds[i]
+        own = F.shiftrightunsigned("v", lo).bitwiseAND((1 << width) - 1)
+        flips = F.split(F.lit(",".join(map(str, _flips(width, radius)))), ",").cast("array<bigint>")
+        return F.transform(flips, lambda f: F.struct(F.lit(i).alias("band"), own.bitwiseXOR(f).alias("key")))
 
     def keys(neighbours: bool):
-        parts = []
-        for i in range(m):
-            lo, width = bounds[i], bounds[i + 1] - bounds[i]
-            band = F.shiftrightunsigned("v", lo).bitwiseAND((1 << width) - 1)
-            flips = [0]
-            if neighbours and radius >= 1:
-                flips += [1 << j for j in range(width)]
-            if neighbours and radius >= 2:
-                flips += [(1 << j) | (1 << k) for j in range(width) for k in range(j)]
-            parts += [F.struct(F.lit(i).alias("band"), band.bitwiseXOR(f).alias("key")) for f in flips]
-        return F.array(*parts)
+        return F.flatten(F.array(*(band(i, radius if neighbours else 0) for i in range(m))))
 
     left = d.select(F.col("h").alias("a"), F.explode(keys(False)).alias("k"))
     right = d.select(F.col("h").alias("b"), F.explode(keys(True)).alias("k"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from driftlens.functions import text as tx
 from driftlens.functions.numeric import cosine
-from driftlens.functions.sequence import top_n_per_group
+from driftlens.functions.sequence import numbered, top_n_per_group
 from driftlens.operators.filters import POST_KEY
 from driftlens.operators.linkage import average_clusters
 from driftlens.operators.links import hash_embed, near_groups, similar_pairs
@@ -123,8 +123,8 @@ def _match_by_window(rows: DataFrame, tau: float) -> tuple[DataFrame, DataFrame]
                 F.max_by(F.right(F.col("b"), F.length(F.col("b")) - 1).cast("bigint"), F.struct("similarity", "b")).alias("topic_id")
             )
             matched = now.select("window", "cluster", "vector", "n").join(best, "cluster", "left")
-        fresh = matched.where("topic_id IS NULL").select("cluster").orderBy("cluster").coalesce(1)
-        ids = fresh.withColumn("_new", F.monotonically_increasing_id() + 1 + used)
+        fresh = matched.where("topic_id IS NULL").select("cluster")
+        ids = numbered(fresh, ["cluster"], "_place").select("cluster", (F.col("_place") + 1 + used).alias("_new"))
         matched = cut_lineage(
             matched.join(ids, "cluster", "left").withColumn("topic_id", F.coalesce("topic_id", "_new")).drop("_new"), "matched"
         )

@@ -97,3 +97,12 @@ def test_noise_has_the_right_scale(spark):
 def test_canonical_json(spark):
     d = spark.createDataFrame([(1, None, ("é", 2))], "b INT, a STRING, c STRUCT<z: STRING, y: INT>")
     assert d.select(tx.canonical_json(d).alias("j")).first()["j"] == '{"a":null,"b":1,"c":{"y":2,"z":"é"}}'
+
+
+def test_numbered(spark):
+    from driftlens.functions.sequence import numbered
+
+    names = [f"k{(i * 37) % 101:03d}" for i in range(101)]
+    got = numbered(spark.createDataFrame([(x,) for x in names], "name string"), ["name"], "place").collect()
+    assert {r["name"]: r["place"] for r in got} == {x: i for i, x in enumerate(sorted(names))}
+    assert numbered(spark.createDataFrame([], "name string"), ["name"], "place").collect() == []

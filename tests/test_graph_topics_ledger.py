@@ -192,6 +192,15 @@ def test_hash_search_is_exact(spark):
     want = {(a, b) for i, a in enumerate(hashes) for b in hashes[i + 1:] if bin(int(a, 16) ^ int(b, 16)).count("1") <= 10}
     d = spark.createDataFrame([(h,) for h in hashes], "phash STRING")
     assert {(r["a"], r["b"]) for r in ln.similar_hashes(d, 10).collect()} == want and want
+    for bands in (3, 4, 11):
+        assert {(r["a"], r["b"]) for r in ln.similar_hashes(d, 10, bands=bands).collect()} == want
+
+
+def test_bands_follow_the_number_of_hashes():
+    """A thousand times the hashes, far less than a thousand times the work per hash."""
+    plans = [ln.band_plan(10, n) for n in (10**3, 10**6, 10**9)]
+    assert [p[0] for p in plans] == sorted((p[0] for p in plans), reverse=True) and plans[0][0] > plans[-1][0]
+    assert plans[1][2] < 100 * plans[0][2] and plans[1][2] < 0.02 * 10**6 and plans[2][2] < 0.005 * 10**9
 
 
 def test_release_and_privacy(spark):
