@@ -1,7 +1,11 @@
 """Token counts and piece ids against the public libraries."""
 
+import os
 import random
+import subprocess
+import sys
 
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -117,3 +121,42 @@ def test_piece_query(spark, piece_library):
     for i, t in rows:
         assert got[i]["ids"] == piece_library.encode(t or "") and got[i]["round_trip"] and got[i]["n_tokens"] == len(got[i]["ids"])
     assert pieces.encode_documents(frame(spark, []), tokenizer_path(pieces.PIECE_MODEL)).collect() == []
+
+
+def test_words_and_parts(piece_library, monkeypatch):
+    """Texts cut into short parts, words walked in the window, a store that is cleared often."""
+    own = pieces.Encoder(pieces.Vocabulary.read(tokenizer_path(pieces.PIECE_MODEL)))
+    for name, n in (("PART_CHARS", 12), ("WINDOW", 5), ("MAX_FITS", 30), ("MAX_WORDS", 20)):
+        monkeypatch.setattr(pieces, name, n)
+    texts = ODD + ["a  b   c", "▁x ▁▁ y▁", "no spaces at  the   end  ", "x" * 40, "x" * 40 + "  y"] + [(t or "")[:3000] for _, t in corpus()]
+    for t in texts:
+        assert own.encode(t).tolist() == piece_library.encode(t)
+    ids, bounds = own.encode_all(pa.array(["left out", *texts, None])[1:-1])
+    assert [ids[i:j].tolist() for i, j in zip(bounds[:-1], bounds[1:], strict=True)] == piece_library.encode(texts)
+
+
+def test_memory_of_a_long_text():
+    """50 million characters: what a worker holds grows by the text, its ids and little else."""
+    script = """
+import resource
+import numpy as np
+from driftlens.llm import pieces
+from driftlens.llm.tables import tokenizer_path
+peak = lambda: resource.getrusage(resource.RUSAGE_SELF).ru_maxrss * 1024
+v = pieces.Vocabulary.read(tokenizer_path(pieces.PIECE_MODEL))
+encoder, decoder = pieces.Encoder(v), pieces.Decoder(v)
+words = ["".join(chr(97 + (i * k) % 26) for k in range(3, 9)) for i in range(4000)]
+text = " ".join(words)
+decoder.decode(encoder.encode((text + " ") * 20).tolist())
+before = peak()
+text = (text + " ") * (50_000_000 // (len(text) + 1))
+ids = encoder.encode(text)
+walked = peak()
+(back,) = decoder.decode_all(ids, np.array([0, len(ids)]))
+assert back.decode() == text and len(text) > 49_900_000
+print((walked - before) // len(text), (peak() - before) // len(text), before // 1_000_000)
+"""
+    run = subprocess.run([sys.executable, "-c", script], capture_output=True, text=True, timeout=240, cwd=os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__)))))
+    assert not run.stderr, run.stderr[-2000:]
+    walked, decoded, before = map(int, run.stdout.split())
+    assert walked <= 10 and decoded <= 24 and before < 700, (walked, decoded, before)
