@@ -7,6 +7,12 @@ value; each bin keeps its least value, and an empty bin takes over that of the
 first filled bin in its own fixed random order of bins. Bins are banded into
 bucket keys.
 
+Few shingles fill few bins, and bins that copy each other's values agree or differ together,
+so estimates of small sets would vary too much. Sets of under ``WIDE`` shingles are
+hashed with one function per bin instead; sets from ``NARROW`` on with the one
+permutation; sets between the two have both signatures, so that any two sets that can be
+linked have one in common.
+
 1. Documents of equal sets collapse first, so a group of copies of any size is
    one node afterwards.
 2. Each bucket links its members to its smallest member only: a bucket of m
@@ -19,7 +25,8 @@ bucket keys.
    tasks. So a bucket's choice of its centre loses no link.
 
 At similarity 0.75 a pair shares none of the 32 bands of 4 bins with a
-probability of 5e-6.
+probability of 5e-6; a signature of ``NARROW`` shingles or one function per bin falls below
+the agreement with less than that (``test_recall_at_the_threshold`` counts both).
 
 Defined results: null, empty and blank texts have an empty set and stay alone.
 Rows of equal doc_id are one document node; each row is returned. Rows without a
@@ -46,6 +53,7 @@ PERCENT = 75
 BANDS, ROWS = 32, 4
 BINS = BANDS * ROWS
 _BIN_SHIFT = np.uint64(64 - 7)
+NARROW, WIDE = 288, 384  # 100 * NARROW = 75 * WIDE: one of two linked sets is in both kinds or both are in one
 AGREEMENT = 0.55
 BLOCK = 512
 FILTER_BYTES = 32 << 20
@@ -73,6 +81,9 @@ def densify(values: np.ndarray, filled: np.ndarray) -> np.ndarray:
     return out
 
 
+_OF_BIN = tb.mix(np.arange(1, BINS + 1, dtype=np.uint64) * np.uint64(0xA24BAED4963EE407))
+
+
 def signatures(sets: list[np.ndarray]) -> np.ndarray:
     """(sets, BINS) densified one-permutation MinHash values."""
     values, filled = np.zeros((len(sets), BINS), np.uint64), np.zeros((len(sets), BINS), bool)
@@ -82,6 +93,25 @@ def signatures(sets: list[np.ndarray]) -> np.ndarray:
     return densify(values, filled)
 
 
+def small_signatures(sets: list[np.ndarray]) -> np.ndarray:
+    """(sets, BINS) MinHash values with a function per bin; 0 for empty sets."""
+    out = np.zeros((len(sets), BINS), np.uint64)
+    for i, s in enumerate(sets):
+        if len(s):
+            out[i] = ((s[:, None] ^ _OF_BIN) * (_OF_BIN | np.uint64(1))).min(axis=0)
+    return tb.mix(out)
+
+
+def both_signatures(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(small signatures, which sets have one, wide signatures, which have one)."""
+    n = np.array([len(s) for s in sets])
+    few, many = n < WIDE, n >= NARROW
+    small, wide = np.zeros((len(sets), BINS), np.uint64), np.zeros((len(sets), BINS), np.uint64)
+    small[few] = small_signatures([s for s, f in zip(sets, few, strict=True) if f])
+    wide[many] = signatures([s for s, m in zip(sets, many, strict=True) if m])
+    return small, few, wide, many
+
+
 def band_keys(sig: np.ndarray) -> np.ndarray:
     """(sets, BANDS) bucket keys."""
     total = np.broadcast_to(np.arange(1, BANDS + 1, dtype=np.uint64) << np.uint64(32), (len(sig), BANDS)).copy()
@@ -95,15 +125,16 @@ def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at = 0
         for b in tb.blocks(batch.column(1)):
             sets = tb.shingle_sets(b, SHINGLE)
-            sig = signatures(sets)
-            keys = band_keys(sig)
-            low = (sig & np.uint64(0xFFFF)).astype(np.uint16)
+            small, few, wide, many = both_signatures(sets)
+            keys = np.concatenate([band_keys(small), band_keys(wide) ^ 1], axis=1)
+            absent = np.repeat(np.stack([~few, ~many], axis=1), BANDS, axis=1)
+            low = [(x & np.uint64(0xFFFF)).astype(np.uint16) for x in (small, wide)]
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column(0).slice(at, len(b)), pa.array([len(s) for s in sets], pa.int64()),
                     pa.array([hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets], pa.binary()),
-                    pa.FixedSizeListArray.from_arrays(pa.array(keys.ravel()), BANDS).cast(pa.list_(pa.int64())),
-                    pa.array([x.tobytes() for x in low], pa.binary()),
+                    pa.FixedSizeListArray.from_arrays(pa.array(keys.ravel(), mask=absent.ravel()), 2 * BANDS).cast(pa.list_(pa.int64())),
+                    pa.array([(a.tobytes() if f else b"") + (b.tobytes() if m else b"") for a, f, b, m in zip(low[0], few, low[1], many, strict=True)], pa.binary()),
                 ],
                 ["doc_id", "n_shingles", "set_id", "buckets", "low"],
             )
@@ -118,9 +149,20 @@ def describe(docs: DataFrame, text: str = "text") -> DataFrame:
     )
 
 
-def _agreement(a: pa.Array, b: pa.Array) -> pa.Array:
-    x, y = (np.frombuffer(b"".join(v.to_pylist()), np.uint16).reshape(-1, BINS) for v in (a, b))
-    return pa.array((x == y).mean(axis=1), pa.float64())
+def _signature_table(n: np.ndarray, low: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """(small, wide) signatures of sets of sizes ``n``; absent ones are zero."""
+    out = np.zeros((2, len(low), BINS), np.uint16)
+    for kind, rows, at in ((0, n < WIDE, 0), (1, n >= NARROW, -2 * BINS)):
+        for i in np.flatnonzero(rows):
+            out[kind, i] = np.frombuffer(low[i], np.uint16, BINS, at % len(low[i]))
+    return out[0], out[1]
+
+
+def _agreement(a_n: pa.Array, a: pa.Array, b_n: pa.Array, b: pa.Array) -> pa.Array:
+    """Share of equal bins, in the kind of signature that both sets have."""
+    (n, x), (m, y) = ((k.to_numpy(), _signature_table(k.to_numpy(), v.to_pylist())) for k, v in ((a_n, a), (b_n, b)))
+    kind = (np.maximum(n, m) >= WIDE)[:, None]
+    return pa.array((np.where(kind, x[1], x[0]) == np.where(kind, y[1], y[0])).mean(axis=1), pa.float64())
 
 
 def _overlap(a: pa.Array, b: pa.Array) -> pa.Array:
@@ -179,7 +221,7 @@ def _plausible(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     enough."""
     agreement = F.arrow_udf(_agreement, "double")
     both = _with_sides(pairs, nodes, "n", "low").where(F.least("a_n", "b_n") * 100 >= F.greatest("a_n", "b_n") * percent)
-    return both.where(agreement("a_low", "b_low") >= AGREEMENT).select("a", "b")
+    return both.where(agreement("a_n", "a_low", "b_n", "b_low") >= AGREEMENT).select("a", "b")
 
 
 def _confirmed(docs: DataFrame, pairs: DataFrame, text: str, percent: int) -> DataFrame:
@@ -206,10 +248,10 @@ def _links_across(rows: list[tuple], bucket: int, percent: int) -> list[tuple]:
     on the full sets, and what a link joins is one component from then on."""
     node, comp, own, low, keys, sets = zip(*rows, strict=True)
     comp, own = np.unique(comp, return_inverse=True)[1], np.array(own)
-    sig = np.frombuffer(b"".join(low), np.uint16).reshape(-1, BINS)
-    keys = np.array(keys, np.int64)
+    keys = np.array([[k or 0 for k in row] for row in keys], np.int64)
     sets = [np.frombuffer(x, np.uint64) for x in sets]
     n = np.array([len(x) for x in sets])
+    small, wide = _signature_table(n, low)
     split, band = len(set(own.tolist())) > 1, int(np.flatnonzero(keys[0] == bucket)[0])
     found = []
     for i in range(len(node) - 1):
@@ -217,8 +259,9 @@ def _links_across(rows: list[tuple], bucket: int, percent: int) -> list[tuple]:
         if split:  # pairs of one block are compared in its own group
             rest = rest[own[rest] != own[i]]
         rest = rest[np.minimum(n[rest], n[i]) * 100 >= np.maximum(n[rest], n[i]) * percent]
-        rest = rest[(sig[rest] == sig[i]).mean(axis=1) >= AGREEMENT]
-        rest = rest[(keys[rest] == keys[i]).argmax(axis=1) == band]
+        kind = (np.maximum(n[rest], n[i]) >= WIDE)[:, None]
+        rest = rest[np.where(kind, wide[rest] == wide[i], small[rest] == small[i]).mean(axis=1) >= AGREEMENT]
+        rest = rest[((keys[rest] == keys[i]) & (keys[i] != 0)).argmax(axis=1) == band]
         if len(rest):
             common = _shared_counts(sets[i], [sets[k] for k in rest])
             for k in rest[common * 100 >= (n[rest] + n[i] - common) * percent]:
@@ -284,7 +327,7 @@ def near_duplicates(docs: DataFrame, text: str = "text", percent: int = PERCENT)
         named.groupBy("set_id").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n"), F.first("buckets").alias("buckets"), F.first("low").alias("low")),
         "near-nodes",
     )
-    members = nodes.select("doc_id", F.explode("buckets").alias("bucket"))
+    members = nodes.select("doc_id", F.explode("buckets").alias("bucket")).where("bucket IS NOT NULL")
     centres = members.groupBy("bucket").agg(F.min("doc_id").alias("centre"), F.max("doc_id").alias("_hi"), F.count("*").alias("m")).where("centre < _hi")
     crowded = cut_lineage(members.join(centres.drop("_hi"), "bucket"), "near-buckets")
     star = crowded.where("doc_id != centre").select(F.col("centre").alias("a"), F.col("doc_id").alias("b")).distinct()

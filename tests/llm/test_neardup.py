@@ -73,3 +73,41 @@ def test_agreement_estimates_similarity():
 def test_every_bin_is_filled():
     one = neardup.signatures([np.array([7 << 40], np.uint64), np.zeros(0, np.uint64)])
     assert (one[0] == 7 << 40).all() and (one[1] == 0).all()
+
+
+def test_short_texts(spark):
+    """Three shared shingles of four."""
+    one = "w69766 w84036 w54978 w27414 w86177 w29813 w92897"
+    rows = [(1, one), (2, f"{one} w33605"), (3, f"{one} w33605 w1 w2 w3 w4")]
+    assert found(neardup.near_duplicates(frame(spark, rows))) == plain(rows)
+
+
+def test_around_the_sizes_of_both_kinds(spark):
+    rng = random.Random(8)
+    rows = []
+    for i, n in enumerate([280, 290, 300, 370, 380, 384, 388, 392, 400, 500] * 3):
+        base = sentence(rng, n + 4, 50_000)
+        rows += [(3 * i, base), (3 * i + 1, f"{base} {sentence(rng, n // 4, 50_000)}"), (3 * i + 2, f"{base} {sentence(rng, n // 3, 50_000)}")]
+    assert found(neardup.near_duplicates(frame(spark, rows))) == plain(rows)
+
+
+def test_recall_at_the_threshold():
+    """100,000 pairs at exactly 0.75, of 3 to 480 shared shingles: none is lost but for
+    one in ten thousand at most (5e-6 expected)."""
+    rng = np.random.default_rng(11)
+    lost = 0
+    for shared in [3] * 20 + [6] * 8 + [30] * 8 + [90] * 6 + [150] * 4 + [210] * 2 + [300, 480]:
+        sets, extra = [], shared // 3
+        for _ in range(2000):
+            x = np.unique(rng.integers(1, 1 << 63, shared + extra, dtype=np.uint64) * np.uint64(2) + np.uint64(1))
+            mine = rng.permutation(x)
+            sets += [np.sort(mine[:shared]), x]
+        small, few, wide, many = neardup.both_signatures(sets)
+        kind = max(shared, len(sets[1])) >= neardup.WIDE
+        assert (many if kind else few).all()
+        sig = wide if kind else small
+        low = (sig & np.uint64(0xFFFF)).astype(np.uint16)
+        keys = neardup.band_keys(sig)
+        met = (keys[::2] == keys[1::2]).any(axis=1) & ((low[::2] == low[1::2]).mean(axis=1) >= neardup.AGREEMENT)
+        lost += int((~met).sum())
+    assert lost <= 10, lost
