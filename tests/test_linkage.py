@@ -38,7 +38,7 @@ def test_chains(seed):
     assert got == plain(v, w, 0.65)
 
 
-@pytest.mark.parametrize("local", [2048, 3])
+@pytest.mark.parametrize("local", [4096, 3])
 def test_in_tasks_and_by_rounds(spark, local):
     """The same clusters when components are finished in a task and by rounds."""
     rows, want = [], set()
