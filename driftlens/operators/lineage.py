@@ -5,6 +5,8 @@ from __future__ import annotations
 from itertools import combinations
 from math import comb
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -131,6 +133,8 @@ def media_first_seen(media: DataFrame, post_media: DataFrame, posts: DataFrame)
 
 
 MAX_NEIGHBOURS = 5_000  # band values looked up per hash and band
+LOOKUP_COST = 1_000  # comparisons of two hashes in a block that cost as much as one row of a band join
+HASH_BLOCK = 1 << 15  # hashes of one side of a comparison: 256 KB
 
 
 def band_plan(max_distance: int, n: int) -> tuple[int, int, float]:
@@ -159,14 +163,22 @@ def _flips(width: int, radius: int) -> list[int]:
 def similar_hashes(hashes: DataFrame, max_distance: int = 10, value: str = "phash", bands: int | None = None) -> DataFrame:
     """(a, b, hamming), a < b: distinct 64-bit hex hashes within the distance.
 
-    Multi-index hashing, exact: one side is keyed by its band values, the other
-    by band values and their neighbours within the radius; the equi join is
-    verified by the true distance. The number of bands follows the number of
-    hashes (``band_plan``), unless ``bands`` gives it.
+    Exact, by the cheaper of two ways. Multi-index hashing: one side is keyed by its
+    band values, the other by band values and their neighbours within the radius; the
+    equi join is verified by the true distance. A wide distance leaves so many
+    neighbours that comparing blocks of hashes with blocks costs less up to many
+    millions of hashes. ``bands`` sets the number of bands (``band_plan``).
     """
     as_long = F.conv(value, 16, -10).cast("bigint")
-    d = cut_lineage(hashes.select(F.col(value).alias("h"), as_long.alias("v")).distinct(), "hashes")
-    m = bands or band_plan(max_distance, d.count())[0]
+    d = cut_lineage(hashes.select(F.col(value).alias("h"), as_long.alias("v")).where("v IS NOT NULL").distinct(), "hashes")
+    n = d.count()
+    m, _, rows = band_plan(max_distance, n)
+    if bands is None and n / 2 <= LOOKUP_COST * rows:
+        return _near_in_blocks(d, n, max_distance)
+    return _near_by_bands(d, bands or m, max_distance)
+
+
+def _near_by_bands(d: DataFrame, m: int, max_distance: int) -> DataFrame:
     radius = max_distance // m
     bounds = [round(i * 64 / m) for i in range(m + 1)]
 
@@ -181,11 +193,49 @@ def similar_hashes(hashes: DataFrame, max_distance: int = 10, value: str = "phas
 
     left = d.select(F.col("h").alias("a"), F.explode(keys(False)).alias("k"))
     right = d.select(F.col("h").alias("b"), F.explode(keys(True)).alias("k"))
-    pairs = left.join(right, "k").where("a < b").select("a", "b", "k.band", hamming64(F.col("a"), F.col("b")).alias("hamming"))
+    # Spark's size estimate does not see what explode multiplies: neither side may be broadcast on it
+    pairs = left.hint("merge").join(right, "k").where("a < b").select("a", "b", hamming64(F.col("a"), F.col("b")).alias("hamming"))
     near = pairs.where(F.col("hamming") <= max_distance)
     return near.groupBy("a", "b").agg(F.first("hamming").alias("hamming"))
 
 
+def _near_in_blocks(d: DataFrame, n: int, max_distance: int) -> DataFrame:
+    """Blocks of hash values against blocks: a task holds two blocks and a few rows of
+    their distances; the numbers become texts again in joins of what was found."""
+    size = min(HASH_BLOCK, max(HASH_BLOCK >> 4, -(-n // 32)))
+    blocks = max(1, -(-n // size))
+    dealt = d.select("v").distinct().groupBy(F.pmod(F.xxhash64("v"), F.lit(blocks)).alias("own")).agg(F.collect_list("v").alias("vs"))
+    meet = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).select(
+        F.least("own", "other").cast("bigint").alias("lo"), F.greatest("own", "other").cast("bigint").alias("hi"), "own", "vs"
+    )
+    tasks = min(4096, blocks * (blocks + 1) // 2)
+
+    def near(key, table):
+        sides = [np.asarray(x.values.to_numpy(), np.int64).view(np.uint64) for x in table["vs"]]
+        one, two = sides[0], sides[-1]
+        within = key[0].as_py() == key[1].as_py()
+        if not within and len(sides) < 2:
+            return pa.table({"x": pa.array([], pa.int64()), "y": pa.array([], pa.int64()), "hamming": pa.array([], pa.int32())})
+        step = max(1, (1 << 16) // max(1, len(two)))
+        xs, ys, bits = [], [], []
+        for at in range(0, len(one), step):
+            apart = np.bitwise_count(one[at:at + step, None] ^ two)
+            i, j = np.nonzero(apart <= max_distance)
+            if within:
+                i, j = i[at + i < j], j[at + i < j]
+            xs.append(one[at + i])
+            ys.append(two[j])
+            bits.append(apart[i, j])
+        return pa.table({"x": np.concatenate(xs).view(np.int64), "y": np.concatenate(ys).view(np.int64),
+                         "hamming": np.concatenate(bits).astype(np.int32)})
+
+    found = meet.repartition(tasks, "lo", "hi").groupBy("lo", "hi").applyInArrow(near, "x bigint, y bigint, hamming int")
+    left, right = d.select(F.col("h").alias("p"), F.col("v").alias("x")), d.select(F.col("h").alias("q"), F.col("v").alias("y"))
+    apart = found.join(left, "x").join(right, "y").select("p", "q", "hamming")
+    written = left.join(right, F.col("x") == F.col("y")).where("p < q").select("p", "q", F.lit(0).alias("hamming"))  # one value written in two ways
+    return apart.unionByName(written).select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b"), "hamming")
+
+
 def similar_images(images: DataFrame, max_distance: int = 10) -> DataFrame:
     """Image pairs within the distance, the earlier one as ``a``.
 

@@ -196,6 +196,22 @@ def test_hash_search_is_exact(spark):
         assert {(r["a"], r["b"]) for r in ln.similar_hashes(d, 10, bands=bands).collect()} == want
 
 
+def test_wide_distances_are_compared_in_blocks(spark, monkeypatch):
+    """At 14 bits of 64 a hash has thousands of band neighbours; blocks need none of them."""
+    rng = np.random.default_rng(4)
+    base = [int(x) for x in rng.integers(0, 2 ** 64, 150, dtype=np.uint64)]
+    values = {*base, *(b ^ sum(1 << int(k) for k in rng.choice(64, rng.integers(1, 18), replace=False)) for b in base)}
+    hashes = sorted({f"{v:016x}" for v in values} | {f"{base[0]:016X}", "0", "00"})
+    want = {(a, b, d) for i, a in enumerate(hashes) for b in hashes[i + 1:] if (d := bin(int(a, 16) ^ int(b, 16)).count("1")) <= 14}
+    frame = spark.createDataFrame([(h,) for h in hashes] + [(None,)], "phash STRING")
+    banded = ln.similar_hashes(frame, 14, bands=4)
+    assert "Broadcast" not in banded._jdf.queryExecution().executedPlan().toString()
+    assert {tuple(r) for r in banded.collect()} == want
+    monkeypatch.setattr(ln, "_near_by_bands", None)
+    monkeypatch.setattr(ln, "HASH_BLOCK", 64)
+    assert sorted(tuple(r) for r in ln.similar_hashes(frame, 14).collect()) == sorted(want)
+
+
 def test_bands_follow_the_number_of_hashes():
     """A thousand times the hashes, far less than a thousand times the work per hash."""
     plans = [ln.band_plan(10, n) for n in (10**3, 10**6, 10**9)]
