@@ -22,19 +22,29 @@ from driftlens.session import cut_lineage
 COLUMNS = ["topic_id", "platform", "post_id", "author_id", "text", "created_at", "origin_post_id", "kind"]
 
 
+def with_stance(posts: DataFrame, decide=stance) -> DataFrame:
+    """Posts with their stance in place of their text, written once. What follows then shuffles and
+    writes no texts; ``first_per_platform`` looks up those it shows."""
+    return cut_lineage(posts.withColumn("stance", decide(F.col("text"), F.col("kind"))).drop("text"), "stances")
+
+
 def lineage_posts(posts: DataFrame, assign: DataFrame) -> DataFrame:
-    """Posts of each topic plus origin posts they point to outside the topic."""
-    inside = with_topic(posts, assign).select(*COLUMNS)
+    """Posts of each topic plus origin posts they point to outside the topic.
+    ``posts`` have a text, or the stance that ``with_stance`` made of it."""
+    columns = [c for c in [*COLUMNS, "stance"] if c == "topic_id" or c in posts.columns]
+    inside = with_topic(posts, assign).select(*columns)
     wanted = inside.where("origin_post_id IS NOT NULL").select("topic_id", F.col("origin_post_id").alias("post_id")).distinct()
     wanted = wanted.join(inside.select("topic_id", "post_id").distinct(), ["topic_id", "post_id"], "left_anti")
-    outside = posts.join(wanted, "post_id").select(*COLUMNS)
+    outside = posts.join(wanted, "post_id").select(*columns)
     return inside.unionByName(outside)
 
 
 def classified(lineage: DataFrame) -> DataFrame:
     """Lineage posts plus stance and ``traced``: spreading posts carry the
-    trace; in a topic without any, all posts do."""
-    d = lineage.withColumn("stance", stance(F.col("text"), F.col("kind")))
+    trace; in a topic without any, all posts do. Written once without texts: every
+    view of a lineage reads it."""
+    d = lineage if "stance" in lineage.columns else lineage.withColumn("stance", stance(F.col("text"), F.col("kind")))
+    d = cut_lineage(d.drop("text"), "lineage")
     has = d.groupBy("topic_id").agg(F.max((F.col("stance") == "spreading").cast("int")).alias("_any"))
     return d.join(has, "topic_id").withColumn("traced", (F.col("stance") == "spreading") | (F.col("_any") == 0)).drop("_any")
 
@@ -44,14 +54,21 @@ def stance_counts(classified_posts: DataFrame, by_platform: bool = False) -> Dat
     return classified_posts.groupBy(*keys).agg(*[F.count_if(F.col("stance") == s).alias(s) for s in fixed.STANCES])
 
 
-def first_per_platform(classified_posts: DataFrame) -> DataFrame:
+def first_per_platform(classified_posts: DataFrame, posts: DataFrame | None = None) -> DataFrame:
     """Earliest traced post per topic and platform with the number of traced
-    posts; an aggregate, so a busy platform does not sort in one task."""
-    row = F.struct("created_at", "post_id", "author_id", "text")
-    return classified_posts.where("traced").groupBy("topic_id", "platform").agg(
+    posts; an aggregate, so a busy platform does not sort in one task. The first 280
+    characters of its text come from ``posts`` (by default the rows themselves), where they
+    have one (else NULL)."""
+    posts = classified_posts if posts is None else posts
+    row = F.struct("created_at", "post_id", "author_id")
+    firsts = classified_posts.where("traced").groupBy("topic_id", "platform").agg(
         F.min_by(row, F.struct("created_at", "post_id")).alias("f"), F.count("*").alias("n_posts")
     ).select("topic_id", "platform", F.col("f.post_id").alias("first_post_id"), F.col("f.created_at").alias("first_seen"),
-             F.col("f.author_id").alias("author_id"), F.substring("f.text", 1, 280).alias("text"), "n_posts")
+             F.col("f.author_id").alias("author_id"), "n_posts")
+    if "text" not in posts.columns:
+        return firsts.withColumn("text", F.lit(None).cast("string"))
+    texts = posts.groupBy("platform", F.col("post_id").alias("first_post_id")).agg(F.min(F.substring("text", 1, 280)).alias("text"))
+    return firsts.join(texts, ["platform", "first_post_id"], "left")
 
 
 def platform_hops(firsts: DataFrame) -> DataFrame:
@@ -75,12 +92,13 @@ def repost_chains(classified_posts: DataFrame, limit: int = 200) -> DataFrame:
 def topic_lineage(posts: DataFrame, assign: DataFrame, post_media: DataFrame | None = None,
                   chain_limit: int = 200) -> dict[str, DataFrame]:
     """Lineage of every topic in ``assign`` in one pass, keyed by topic_id."""
-    return _trace(classified(lineage_posts(posts, assign)), post_media, chain_limit)
+    lean = posts if "stance" in posts.columns else with_stance(posts)
+    return _trace(classified(lineage_posts(lean, assign)), post_media, chain_limit, posts)
 
 
-def _trace(d: DataFrame, post_media: DataFrame | None, chain_limit: int) -> dict[str, DataFrame]:
+def _trace(d: DataFrame, post_media: DataFrame | None, chain_limit: int, posts: DataFrame | None = None) -> dict[str, DataFrame]:
     firsts = first_per_platform(d)
-    platforms = firsts.join(stance_counts(d, by_platform=True), ["topic_id", "platform"])
+    platforms = first_per_platform(d, posts).join(stance_counts(d, by_platform=True), ["topic_id", "platform"])
     if post_media is not None:
         marks = post_media.select("platform", F.col("post_id").alias("first_post_id")).distinct().withColumn("_m", F.lit(True))
         platforms = platforms.join(marks, ["platform", "first_post_id"], "left").withColumn("has_media", F.col("_m").isNotNull()).drop("_m")
@@ -100,11 +118,12 @@ def cluster_lineage(posts: DataFrame, assign: DataFrame, coord_clusters: DataFra
     """Lineage over posts that a cluster's accounts wrote in its topic; the key
     column ``topic_id`` holds the cluster."""
     who = coord_accounts.select("cluster", "platform", F.col("account_id").alias("author_id")).distinct()
-    d = with_topic(posts, assign).join(coord_clusters.select("cluster", "topic_id"), "topic_id").join(
+    lean = posts if "stance" in posts.columns else with_stance(posts)
+    d = with_topic(lean, assign).join(coord_clusters.select("cluster", "topic_id"), "topic_id").join(
         who, ["cluster", "platform", "author_id"]
     )
-    d = d.select(F.col("cluster").alias("topic_id"), *COLUMNS[1:])
-    return _trace(classified(d), None, 200)
+    d = d.select(F.col("cluster").alias("topic_id"), *(c for c in COLUMNS[1:] if c != "text"), "stance")
+    return _trace(classified(d), None, 200, posts)
 
 
 def lineage_overview(posts: DataFrame, assign: DataFrame, topics: DataFrame, accounts: DataFrame, n: int = 5,

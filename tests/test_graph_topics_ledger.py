@@ -252,3 +252,18 @@ def test_segments_notice_what_is_missing(spark):
     assert verdict("segment != 1") == ("FAIL", 5)
     assert verdict("segment != 2") == ("FAIL", 9)
     assert verdict("segment != 1", heads.where("segment != 1")) == ("FAIL", 5)
+
+
+def test_lineage_shuffles_and_writes_no_texts(spark):
+    """Texts are read for the stance, and again only for the first posts that are shown."""
+    rows = [("x", "1", "a", "they say so " + "long " * 100, "2024-01-01", None, "post"), ("x", "2", "b", "t2", "2024-01-02", "1", "repost"),
+            ("reddit", "3", "c", "t3", "2024-01-03", "1", "repost"), ("reddit", "9", "d", "is it so?", "2024-01-04", None, "comment")]
+    posts = spark.createDataFrame(rows, "platform STRING, post_id STRING, author_id STRING, text STRING, created_at STRING, origin_post_id STRING, kind STRING")
+    assign = spark.createDataFrame([("x", "1", 5), ("x", "2", 5), ("reddit", "3", 5), ("reddit", "9", 5)], "platform STRING, post_id STRING, topic_id BIGINT")
+    out = ln.topic_lineage(posts, assign)
+    d = ln.classified(ln.lineage_posts(ln.with_stance(posts), assign))
+    assert "text" not in d.columns and d.where("traced").count() == 3
+    assert {(r["platform"], r["first_post_id"], r["n_posts"], r["text"]) for r in out["platforms"].collect()} == {
+        ("x", "1", 2, rows[0][3][:280]), ("reddit", "3", 1, "t3")}
+    assert [(r["src"], r["dst"]) for r in out["chains"].collect()] == [("1", "2"), ("1", "3")]
+    assert out["summary"].first()["questioning"] == 1
