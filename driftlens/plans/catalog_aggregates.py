@@ -396,7 +396,7 @@ def _(v: Views):
 
 @query("g29_topic_sectors")
 def _(v: Views):
-    return st.topic_sectors(v.topics, v.posts, v.assign)
+    return st.topic_sectors(v.topics, v.posts_core, v.assign, texts=v.texts, text_id="doc_id")
 
 
 @query("g36_topic_list", with_views(["v_topics", "v_assign", "v_bursts"], f"""

@@ -277,3 +277,22 @@ def test_hot_topics_are_ranked_as_shown(spark):
     series = spark.createDataFrame([(1, 50), (2, 50), (3, 50)], "topic_id BIGINT, count_all BIGINT")
     facts = spark.createDataFrame([(1, "x"), (2, "x"), (3, "x")], "topic_id BIGINT, platform STRING")
     assert {r["topic_id"] for r in situation.hot_topics(table, series, 100.0, facts, n=2).collect()} == {1, 2}
+
+
+def test_sectors_search_each_text_once(spark):
+    """With texts apart from posts, hits count as often as posts use the text."""
+    searched = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def seen(text):
+        searched.add(1)
+        return text
+
+    posts = spark.createDataFrame([("x", str(i), i % 2) for i in range(60)], "platform STRING, post_id STRING, text_id INT")
+    texts = spark.createDataFrame([(0, "alpha alpha"), (1, "beta beta beta")], "text_id INT, text STRING")
+    assign = posts.select("platform", "post_id", (F.col("post_id").cast("int") < 30).cast("int").alias("topic_id"))
+    topics = spark.createDataFrame([(0, "alpha", ["alpha"]), (1, "none", ["none"])], "topic_id INT, label STRING, keywords ARRAY<STRING>")
+    words = {"a": ["alpha"], "b": ["beta"]}
+    want = {tuple(r) for r in situation.topic_sectors(topics, posts.join(texts, "text_id"), assign, words).collect()}
+    got = situation.topic_sectors(topics, posts, assign, words, texts=texts.withColumn("text", seen("text")))
+    assert {tuple(r) for r in got.collect()} == want == {(0, "b"), (1, "b")} and searched.value <= 2 * texts.count()
