@@ -260,7 +260,7 @@ def _(v: Views):
     SELECT keyword, count(*) AS hours, CAST(sum(n) AS BIGINT) AS posts FROM (SELECT keyword, date_trunc('hour', created_at) AS hour, count(*) AS n FROM (SELECT created_at,
       unnest(list_distinct(list_filter(list_transform(string_split_regex(text, '\\s+'), lambda w: lower(trim(w, '#!.,?'))), lambda w: length(w) >= 5))) AS keyword FROM v_posts) GROUP BY 1, 2) GROUP BY 1"""))
 def _(v: Views):
-    d = tr.keyword_hours(v.posts)
+    d = tr.keyword_hours(v.posts_core, texts=v.texts.select("doc_id", "text"), text_id="doc_id")
     return d.groupBy("keyword").agg(F.count("*").alias("hours"), F.sum("n").alias("posts"))
 
 

@@ -296,3 +296,13 @@ def test_sectors_search_each_text_once(spark):
     want = {tuple(r) for r in situation.topic_sectors(topics, posts.join(texts, "text_id"), assign, words).collect()}
     got = situation.topic_sectors(topics, posts, assign, words, texts=texts.withColumn("text", seen("text")))
     assert {tuple(r) for r in got.collect()} == want == {(0, "b"), (1, "b")} and searched.value <= 2 * texts.count()
+
+
+def test_keywords_split_each_text_once(spark):
+    """With texts apart from posts, the counts per word and hour are the same."""
+    from driftlens.operators import trends
+
+    posts = spark.createDataFrame([(i, i % 2, 1_700_000_000 + 1200 * i) for i in range(9)], "post_id INT, text_id INT, t BIGINT").withColumn("created_at", F.timestamp_seconds("t"))
+    texts = spark.createDataFrame([(0, "Market market, #rain rains!"), (1, "Market closed")], "text_id INT, text STRING")
+    got = sorted(map(tuple, trends.keyword_hours(posts, texts=texts).collect()))
+    assert got == sorted(map(tuple, trends.keyword_hours(posts.join(texts, "text_id")).collect())) and len(got) > 6
