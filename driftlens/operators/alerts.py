@@ -12,6 +12,7 @@ from driftlens.functions.rules import stance
 from driftlens.functions.sequence import top_n_per_group
 from driftlens.operators.filters import POST_KEY, organic_flag
 from driftlens.operators.timelines import with_emotions, with_topic
+from driftlens.session import cut_lineage
 
 
 def best_burst_per_topic(bursts: DataFrame, min_level: int = 1) -> DataFrame:
@@ -190,16 +191,24 @@ def evidence_index(alerts: DataFrame, posts: DataFrame, assign: DataFrame, raw_r
     return out
 
 
-def digest_input(posts: DataFrame, assign: DataFrame, max_posts: int = fixed.DIGEST_POSTS) -> DataFrame:
+def digest_input(posts: DataFrame, assign: DataFrame, max_posts: int = fixed.DIGEST_POSTS,
+                 texts: DataFrame | None = None, text_id: str = "text_id") -> DataFrame:
     """(topic_id, n, text, stance, ...): first use of each distinct text per
     topic, oldest first, sanitised. The texts meet by hash, and only the posts
-    that survive the cut carry their text."""
-    d = with_topic(posts, assign).withColumn("_hash", F.md5("text"))
-    first = d.groupBy("topic_id", "_hash").agg(
-        F.min_by(F.struct(*POST_KEY, "created_at", "kind"), F.struct("created_at", *POST_KEY)).alias("p")
+    that survive the cut carry their text. With ``texts`` (``text_id``, text), posts carry
+    ``text_hash`` and ``text_id`` instead of a text, and only the kept ones look theirs up."""
+    if texts is None:
+        posts, texts, where = posts.withColumn("text_hash", F.md5("text")), posts.select(*POST_KEY, "text"), POST_KEY
+    else:
+        texts, where = texts.select(text_id, "text"), [text_id]
+    d = with_topic(posts, assign)
+    first = d.groupBy("topic_id", "text_hash").agg(
+        F.min_by(F.struct(*dict.fromkeys([*POST_KEY, *where, "created_at", "kind"])), F.struct("created_at", *POST_KEY)).alias("p")
     ).select("topic_id", "p.*")
     kept = top_n_per_group(first, ["topic_id"], [F.col("created_at"), *[F.col(c) for c in POST_KEY]], max_posts, "n")
-    return kept.join(posts.select(*POST_KEY, "text"), POST_KEY).select(
+    if where != POST_KEY:
+        kept = cut_lineage(kept, "digest")  # few rows: measured, they go to the texts
+    return kept.join(texts, where).select(
         "topic_id", "n", "platform", "created_at",
         tx.sanitize_post(F.col("text")).alias("text"), stance(F.col("text"), F.col("kind")).alias("stance"),
     )

@@ -306,3 +306,37 @@ def test_keywords_split_each_text_once(spark):
     texts = spark.createDataFrame([(0, "Market market, #rain rains!"), (1, "Market closed")], "text_id INT, text STRING")
     got = sorted(map(tuple, trends.keyword_hours(posts, texts=texts).collect()))
     assert got == sorted(map(tuple, trends.keyword_hours(posts.join(texts, "text_id")).collect())) and len(got) > 6
+
+
+def test_texts_scored_in_place_equal_unique_scores(spark):
+    """Rows of texts get the scores that grouping equal texts gives, and nothing is shuffled."""
+    from driftlens.operators import emotions
+
+    words = ["Panic now!!", "panic NOW!!", "", None, "  ", "so happy and proud", "@someone https://a.b", "HATE this"]
+    posts = spark.createDataFrame([("x", str(i), t) for i, t in enumerate(words)], "platform STRING, post_id STRING, text STRING")
+    got = emotions.score_texts(posts)
+    want = emotions.score_unique_then_join(posts)
+    assert "Exchange" not in got._jdf.queryExecution().executedPlan().toString()
+    assert sorted(map(tuple, got.select(want.columns).collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_digest_looks_up_texts_of_kept_posts_only(spark):
+    from driftlens.operators import alerts
+
+    posts = spark.createDataFrame([("x", str(i), i % 3, "post", 1_700_000_000 + i) for i in range(30)],
+                                  "platform STRING, post_id STRING, text_id INT, kind STRING, t BIGINT").withColumn("created_at", F.timestamp_seconds("t"))
+    texts = spark.createDataFrame([(0, "one <b>bold</b>"), (1, "two"), (2, "two")], "text_id INT, text STRING")
+    assign = posts.select("platform", "post_id", (F.col("post_id").cast("int") % 2).alias("topic_id"))
+    keyed = posts.join(texts.select("text_id", F.md5("text").alias("text_hash")), "text_id")
+    got = sorted(map(tuple, alerts.digest_input(keyed, assign, texts=texts).collect()))
+    assert got == sorted(map(tuple, alerts.digest_input(posts.join(texts, "text_id"), assign).collect())) and len(got) == 4
+
+
+def test_views_without_texts_read_no_texts(spark):
+    """Behaviour, links and emotions of posts never shuffle a text: it is not in their plans."""
+    from driftlens.plans.catalog_behaviour import grouped
+    from driftlens.plans.views import Views
+
+    v = Views(spark, "/root/testdata/sf0.001")
+    for d in (v.behaviour_plan(), grouped(v), v.emotions):
+        assert "documents.parquet" not in str([f.rsplit("/", 2) for f in d.inputFiles()])
