@@ -14,21 +14,32 @@ def _padded(text: Column) -> Column:
     return F.concat(F.lit(" "), folded, F.lit(" "))
 
 
-def stance(text: Column, kind: Column, debunk=None, question=None, spread=None) -> Column:
-    """debunking > questioning > spreading > reacting, first rule that fires."""
-    def decide(t: Column) -> Column:
-        asks = kind.isin(fixed.COMMENT_KINDS) & F.trim(t).endswith("?")
-        return (
-            F.when(contains_any(t, fixed.DEBUNK_CUES if debunk is None else debunk), "debunking")
-            .when(contains_any(t, fixed.QUESTION_CUES if question is None else question) | asks, "questioning")
-            .when(
-                kind.isin(fixed.SPREAD_KINDS) | contains_any(t, fixed.SPREAD_CUES if spread is None else spread),
-                "spreading",
-            )
-            .otherwise("reacting")
+def stance_cues(text: Column, debunk=None, question=None, spread=None) -> Column:
+    """STRUCT of what a stance needs of a text: each cue is searched once, whatever the kinds of its posts."""
+    def search(t: Column) -> Column:
+        return F.struct(
+            contains_any(t, fixed.DEBUNK_CUES if debunk is None else debunk).alias("debunk"),
+            contains_any(t, fixed.QUESTION_CUES if question is None else question).alias("question"),
+            contains_any(t, fixed.SPREAD_CUES if spread is None else spread).alias("spread"),
+            F.trim(t).endswith("?").alias("asks"),
         )
 
-    return bind(_padded(text), decide)
+    return bind(_padded(text), search)
+
+
+def stance_from_cues(cues: Column, kind: Column) -> Column:
+    """debunking > questioning > spreading > reacting, first rule that fires."""
+    return (
+        F.when(cues["debunk"], "debunking")
+        .when(cues["question"] | (kind.isin(fixed.COMMENT_KINDS) & cues["asks"]), "questioning")
+        .when(kind.isin(fixed.SPREAD_KINDS) | cues["spread"], "spreading")
+        .otherwise("reacting")
+    )
+
+
+def stance(text: Column, kind: Column, debunk=None, question=None, spread=None) -> Column:
+    """Stance of a post: ``stance_from_cues`` of its own text."""
+    return bind(stance_cues(text, debunk, question, spread), lambda c: stance_from_cues(c, kind))
 
 
 def occurrences(text: Column, phrase: str) -> Column:

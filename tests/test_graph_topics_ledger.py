@@ -340,3 +340,29 @@ def test_views_without_texts_read_no_texts(spark):
     v = Views(spark, "/root/testdata/sf0.001")
     for d in (v.behaviour_plan(), grouped(v), v.emotions):
         assert "documents.parquet" not in str([f.rsplit("/", 2) for f in d.inputFiles()])
+
+
+def test_stance_from_cues_found_once_per_text(spark):
+    from driftlens.functions.rules import stance, stance_cues, stance_from_cues
+
+    words = ["is it so?", "zap it", "really", "pass on", "nothing", "", None, "why?\n", "really pass on zap"]
+    cues = (["zap"], ["really"], ["pass on"])
+    kinds = ["post", "reply", "comment", "forward", "other", None]
+    d = spark.createDataFrame([(t, k) for t in words for k in kinds], "text STRING, kind STRING")
+    texts = spark.createDataFrame([(t,) for t in words], "own STRING").select("own", stance_cues(F.col("own"), *cues).alias("c"))
+    met = d.join(texts, F.col("text").eqNullSafe(F.col("own"))).select("text", "kind", stance_from_cues(F.col("c"), F.col("kind")).alias("s"))
+    got = {(t, k): s for t, k, s in met.collect()}
+    assert got == {(t, k): s for t, k, s in d.select("text", "kind", stance(F.col("text"), F.col("kind"), *cues)).collect()}
+    assert got["is it so?", "reply"] == "questioning" and got["is it so?", "post"] == "spreading" and got["is it so?", None] == "reacting"
+    assert got["really pass on zap", "post"] == "debunking" and got["pass on", "other"] == "spreading" and got[None, "comment"] == "reacting"
+
+
+def test_lineage_queries_write_stances_once(spark):
+    """Two queries of a session share one table of stances and one lineage, both without texts."""
+    from driftlens import session
+    from driftlens.plans.catalog_evidence import _classified
+    from driftlens.plans.views import Views
+
+    first, second = (_classified(Views(spark, "/root/testdata/sf0.001")) for _ in range(2))
+    assert first.inputFiles() == second.inputFiles() and "text" not in first.columns
+    assert sum(k[2] == "stances_cued" and k[1].endswith("sf0.001") for k in session._STAGES) == 1
