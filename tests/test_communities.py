@@ -62,3 +62,33 @@ def test_star_and_path(spark):
     path = [(f"v{i:03d}", f"v{i + 1:03d}", 1) for i in range(100)]
     label, stats = found(spark, path)
     assert modularity(path, label) > 0.8 and sum(map(len, stats)) <= 40, stats
+
+
+def without_structure(seed, nodes, links):
+    rng = random.Random(seed)
+    names = [f"n{i:03d}" for i in range(nodes)]
+    return [(*rng.sample(names, 2), rng.choice([0.3, 0.8, 1.0])) for _ in range(links)]
+
+
+def test_dense_graph_settles_in_few_rounds(spark):
+    """Few communities of many links: rounds do not grow with the moves."""
+    edges = without_structure(3, 120, 1500)
+    label, stats = found(spark, edges)
+    assert sum(map(len, stats)) <= 8, stats
+    assert modularity(edges, label) >= modularity(edges, greedy(edges)) - 0.02
+
+
+def test_sets_of_communities(spark):
+    """Tasks that hold a part of the links end where no node gains either."""
+    edges = without_structure(4, 30, 120) + [("hub", f"n{i:03d}", 0.3) for i in range(20)]
+    out = {r["account_id"]: r["community"] for r in gr.communities(graph_of(spark, edges), room=120).collect()}
+    now = modularity(edges, out)
+    assert now >= modularity(edges, greedy(edges)) - 0.04
+    links = gr.undirected(graph_of(spark, edges))
+    two_m = links.agg({"weight": "sum"}).first()[0]
+    label, moves = gr._local_moving(links, None, two_m, 1.0, 300, 120)
+    at = {r["node"]: r["community"] for r in label.collect()}
+    assert sum(moves) > 0
+    for x in at:
+        for c in set(at.values()):
+            assert modularity(edges, {**at, x: c}) <= modularity(edges, at) + 1e-7
