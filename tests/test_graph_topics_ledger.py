@@ -366,3 +366,11 @@ def test_lineage_queries_write_stances_once(spark):
     first, second = (_classified(Views(spark, "/root/testdata/sf0.001")) for _ in range(2))
     assert first.inputFiles() == second.inputFiles() and "text" not in first.columns
     assert sum(k[2] == "stances_cued" and k[1].endswith("sf0.001") for k in session._STAGES) == 1
+
+
+def test_hubs_pass_no_more_rows_than_interactors(spark):
+    """Sparse hubs: a fixed-size map per block of ids would outgrow the ids it holds."""
+    g = graph_of(spark, {(f"n{i:03d}", f"hub{h}") for h in range(3) for i in range(h * 7, 400, 40)} | {("hub0", "top"), ("hub1", "top")})
+    assert sorted(gr.two_hop_reach(g, 10_000).collect()) == sorted(gr.two_hop_reach(g, 3).collect())
+    plan = gr.two_hop_reach(g, 3)._jdf.queryExecution().toString()
+    assert "bit_or" in plan and "bitmap" not in plan
