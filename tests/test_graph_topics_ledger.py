@@ -374,3 +374,24 @@ def test_hubs_pass_no_more_rows_than_interactors(spark):
     assert sorted(gr.two_hop_reach(g, 10_000).collect()) == sorted(gr.two_hop_reach(g, 3).collect())
     plan = gr.two_hop_reach(g, 3)._jdf.queryExecution().toString()
     assert "bit_or" in plan and "bitmap" not in plan
+
+
+def test_windows_matched_together(spark, monkeypatch):
+    """Many small windows take a few jobs, with the topics of one window at a time."""
+    from driftlens.operators import topics as tp
+
+    rng = np.random.default_rng(5)
+    base = rng.normal(size=(4, 6))
+    rows = [(w, f"c{c}", [float(x) for x in base[c] + rng.normal(scale=0.4, size=6)], c + 1 + w % 3) for w in range(5) for c in range(4)]
+    d = spark.createDataFrame(rows, "window bigint, cluster string, vector array<double>, n bigint").selectExpr("*", "timestamp_seconds(window) as first_seen", "timestamp_seconds(window) as last_seen")
+
+    def mapped(group):
+        spark.sparkContext.setJobGroup(group, group)
+        m, t = tp.match_across_windows(d, 0.7)
+        out = sorted(map(tuple, m.collect())), {r["topic_id"]: [round(x, 9) for x in r["centroid"]] for r in t.collect()}
+        return out, len(spark.sparkContext.statusTracker().getJobIdsForGroup(group))
+
+    together, jobs = mapped("together")
+    monkeypatch.setattr(tp, "TOGETHER", 0)
+    alone, more = mapped("alone")
+    assert together == alone and len(together[1]) > 2 and jobs < more / 2
