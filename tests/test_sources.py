@@ -98,3 +98,16 @@ def test_stream_ingest_resumes(spark, tmp_path):
     put(2), put(3), run()
     posts = streams.read_or_empty(spark, f"{out}/posts", schemas.POSTS)
     assert sorted(r["post_id"] for r in posts.collect()) == ["1", "2", "3"]
+
+
+def test_first_wins_shuffles_no_text(spark):
+    """Repeated keys (null ones too) keep their earliest record; posts that come once are not
+    moved by an exchange."""
+    rows = [("x", "1", "late", 5), ("x", "1", "early", 2), ("x", None, "null late", 9), ("x", None, "null early", 3), ("x", "2", "old", 4), ("y", "1", "other", 7)]
+    d = spark.createDataFrame(rows, "platform STRING, post_id STRING, text STRING, ledger_seq BIGINT")
+    got = {(r["platform"], r["post_id"], r["text"]) for r in ingest.insert_posts_first_wins(d, d.where("post_id = '2'")).collect()}
+    assert got == {("x", "1", "early"), ("x", None, "null early"), ("y", "1", "other")}
+    once = ingest.insert_posts_first_wins(d.where("text IN ('early', 'old', 'other')"), d.where("text = 'old'"))
+    assert {r["text"] for r in once.collect()} == {"early", "other"}
+    plan = once._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning" not in plan
