@@ -61,3 +61,20 @@ def test_edges_in_pieces(monkeypatch):
     monkeypatch.setattr(paths, "_PIECE", 3)
     assert all(np.allclose(f(edges, 0, 40)[0], w) for f, w in zip((paths._by_edges, paths._by_weight), whole, strict=True))
     assert whole[0].max() > 0 and whole[1].max() > 0
+
+
+def test_communities_in_few_jobs(spark):
+    """All passes are one task, however many rounds they take; a node alone stays so."""
+    g = made(spark, [*chain(200), ("alone", "alone", 2.0)])
+    stats = []
+    out, n = jobs(spark, lambda: {r["account_id"]: r["community"] for r in gr.communities(g, stats=stats).collect()})
+    assert n < 60 and len(stats) > 2, (n, stats)
+    assert out["alone"] == "alone" and 8 < len(set(out.values())) < 30
+    assert all(out[x] == min(y for y in out if out[y] == out[x]) for x in out)
+
+
+def test_passes_after_rounds(spark):
+    """A graph too large for a task is finished in one once its communities are few."""
+    edges = [(f"g{g}n{i}", f"g{g}n{j}", 1.0) for g in range(4) for i in range(6) for j in range(i)] + [(f"g{g}n0", f"g{(g + 1) % 4}n1", 0.2) for g in range(4)]
+    out = {r["account_id"]: r["community"] for r in gr.communities(made(spark, edges), room=80).collect()}
+    assert all(out[f"g{g}n{i}"] == f"g{g}n0" for g in range(4) for i in range(6))
