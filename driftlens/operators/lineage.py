@@ -153,7 +153,7 @@ def media_first_seen(media: DataFrame, post_media: DataFrame, posts: DataFrame)
 
 MAX_NEIGHBOURS = 5_000  # band values looked up per hash and band
 LOOKUP_COST = 1_000  # comparisons of two hashes in a block that cost as much as one row of a band join
-HASH_BLOCK = 1 << 15  # hashes of one side of a comparison: 256 KB
+HASH_BLOCK = 1 << 18  # hashes of one side of a comparison: 2 MB
 
 
 def band_plan(max_distance: int, n: int) -> tuple[int, int, float]:
@@ -221,7 +221,7 @@ def _near_by_bands(d: DataFrame, m: int, max_distance: int) -> DataFrame:
 def _near_in_blocks(d: DataFrame, n: int, max_distance: int) -> DataFrame:
     """Blocks of hash values against blocks: a task holds two blocks and a few rows of
     their distances; the numbers become texts again in joins of what was found."""
-    size = min(HASH_BLOCK, max(HASH_BLOCK >> 4, -(-n // 32)))
+    size = min(HASH_BLOCK, max(HASH_BLOCK >> 4, -(-n // 16)))
     blocks = max(1, -(-n // size))
     dealt = d.select("v").distinct().groupBy(F.pmod(F.xxhash64("v"), F.lit(blocks)).alias("own")).agg(F.collect_list("v").alias("vs"))
     meet = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).select(
@@ -231,22 +231,13 @@ def _near_in_blocks(d: DataFrame, n: int, max_distance: int) -> DataFrame:
 
     def near(key, table):
         sides = [np.asarray(x.values.to_numpy(), np.int64).view(np.uint64) for x in table["vs"]]
-        one, two = sides[0], sides[-1]
         within = key[0].as_py() == key[1].as_py()
         if not within and len(sides) < 2:
             return pa.table({"x": pa.array([], pa.int64()), "y": pa.array([], pa.int64()), "hamming": pa.array([], pa.int32())})
-        step = max(1, (1 << 16) // max(1, len(two)))
-        xs, ys, bits = [], [], []
-        for at in range(0, len(one), step):
-            apart = np.bitwise_count(one[at:at + step, None] ^ two)
-            i, j = np.nonzero(apart <= max_distance)
-            if within:
-                i, j = i[at + i < j], j[at + i < j]
-            xs.append(one[at + i])
-            ys.append(two[j])
-            bits.append(apart[i, j])
-        return pa.table({"x": np.concatenate(xs).view(np.int64), "y": np.concatenate(ys).view(np.int64),
-                         "hamming": np.concatenate(bits).astype(np.int32)})
+        x, y = _near_values(sides[0], sides[-1], max_distance)
+        if within:
+            x, y = x[x < y], y[x < y]
+        return pa.table({"x": x.view(np.int64), "y": y.view(np.int64), "hamming": np.bitwise_count(x ^ y).astype(np.int32)})
 
     found = meet.repartition(tasks, "lo", "hi").groupBy("lo", "hi").applyInArrow(near, "x bigint, y bigint, hamming int")
     left, right = d.select(F.col("h").alias("p"), F.col("v").alias("x")), d.select(F.col("h").alias("q"), F.col("v").alias("y"))
@@ -255,6 +246,78 @@ def _near_in_blocks(d: DataFrame, n: int, max_distance: int) -> DataFrame:
     return apart.unionByName(written).select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b"), "hamming")
 
 
+_TOGETHER = 1 << 20  # pairs that are compared at once
+
+
+def _near_values(one: np.ndarray, two: np.ndarray, max_distance: int) -> tuple[np.ndarray, np.ndarray]:
+    """(x of ``one``, y of ``two``) of all pairs within the distance.
+
+    Of bands with radii r that add up, each plus one, to one more than the distance, two near
+    values are within r in one band at least: values of ``two`` are looked up by each band
+    value of ``one`` and its neighbours. All pairs are compared where that costs less, or where so
+    many values share their bands that the candidates come near all pairs.
+    """
+    bands, cost = _task_bands(max_distance, len(one), len(two))
+    found = _by_lookup(one, two, max_distance, bands) if cost < 1.5 * len(one) * len(two) else None
+    if found is None:
+        step, xs, ys = max(1, (1 << 16) // max(1, len(two))), [one[:0]], [two[:0]]
+        for at in range(0, len(one), step):
+            i, j = np.nonzero(np.bitwise_count(one[at:at + step, None] ^ two) <= max_distance)
+            xs.append(one[at + i])
+            ys.append(two[j])
+        found = np.concatenate(xs), np.concatenate(ys)
+    return found
+
+
+def _task_bands(max_distance: int, n: int, m: int) -> tuple[list[tuple[int, int, int]], float]:
+    """((first bit, width, radius) of each band, nanoseconds) of the cheapest plan."""
+    best = None
+    for k in range(3, min(max_distance + 1, 8) + 1):
+        least, more = divmod(max_distance + 1, k)
+        bounds = [i * 64 // k for i in range(k + 1)]
+        bands = [(lo, hi - lo, least - (i >= more)) for i, (lo, hi) in enumerate(zip(bounds[:-1], bounds[1:], strict=True))]
+        cost = sum(sum(comb(width, r) for r in range(radius + 1)) * (20 * n + 15 * n * m / 2**width) for _, width, radius in bands)
+        if best is None or cost < best[1]:
+            best = (bands, cost)
+    return best or ([], float("inf"))
+
+
+def _by_lookup(one: np.ndarray, two: np.ndarray, max_distance: int, bands: list[tuple[int, int, int]]) -> tuple[np.ndarray, np.ndarray] | None:
+    """The pairs, or nothing where there are too many candidates."""
+    left, xs, ys = len(one) * len(two) / 10, [one[:0]], [two[:0]]
+    value = lambda v, band: ((v >> np.uint64(band[0])) & np.uint64((1 << band[1]) - 1)).astype(np.int64)
+    for place, band in enumerate(bands):
+        a, b = one[np.argsort(value(one, band))], two[np.argsort(value(two, band))]
+        mine = value(a, band)
+        starts = np.concatenate([[0], np.cumsum(np.bincount(value(b, band), minlength=1 << band[1]))])
+        for flip in _flips(band[1], band[2]):
+            key = mine ^ flip
+            first = starts[key]
+            many = starts[key + 1] - first
+            some = np.flatnonzero(many)
+            first, many = first[some], many[some]
+            ends = np.cumsum(many)
+            left -= int(ends[-1]) if len(ends) else 0
+            if left < 0:
+                return None
+            at = 0
+            while at < len(some):
+                to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + _TOGETHER, "right")))
+                n, done = many[at:to], ends[at - 1] if at else 0
+                x = np.repeat(a[some[at:to]], n)
+                y = b[np.arange(int(ends[to - 1] - done)) + np.repeat(first[at:to] - (ends[at:to] - n - done), n)]
+                apart = x ^ y
+                keep = np.flatnonzero(np.bitwise_count(apart) <= max_distance)
+                x, y, apart = x[keep], y[keep], apart[keep]
+                for before in bands[:place]:  # a pair counts in its first band
+                    new = np.bitwise_count(value(apart, before).view(np.uint64)) > before[2]
+                    x, y, apart = x[new], y[new], apart[new]
+                xs.append(x)
+                ys.append(y)
+                at = to
+    return np.concatenate(xs), np.concatenate(ys)
+
+
 def similar_images(images: DataFrame, max_distance: int = 10) -> DataFrame:
     """Image pairs within the distance, the earlier one as ``a``.
 
